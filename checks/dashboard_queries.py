@@ -309,9 +309,9 @@ SELECT {I('customer_id')} AS customer_id, {I('max(c)')} AS "rows",
   max(CASE WHEN k = c THEN subcategory END) AS last_subcategory
 FROM n GROUP BY customer_id""")
 add("qcut_price_by_value", "product_id original_price",
-    lambda sales: qcut.qcut_by_value(
+    lambda sales: qcut.qcut(
         sales.groupBy("product_id").agg(F.sum("original_price").alias("amount")),
-        "amount", "quarter", bins=4).groupBy("quarter").agg(
+        quarter=qcut.Cut("amount", bins=4)).groupBy("quarter").agg(
         F.count(F.lit(1)).alias("products"), F.max("amount").alias("highest")), """
 WITH p AS (SELECT product_id, sum(original_price) AS amount FROM sales GROUP BY 1),
   q AS (SELECT amount, CASE WHEN CAST(amount AS DOUBLE) <= (SELECT quantile_cont(CAST(amount AS

@@ -52,7 +52,7 @@ SALES_SQL = """sales AS (
     JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 )"""
 
-DIGITS = 9
+DIGITS = 6
 # Sums of squares depend on the order of addition further up.
 FEWER_DIGITS = {"std": 4}
 

@@ -268,19 +268,21 @@ POSITION = f"""t AS (SELECT subcategory, brand, sum(quantity) AS q,
   p AS (SELECT *, sum(q) OVER (PARTITION BY subcategory) AS whole FROM t)"""
 add("brand_position", "subcategory brand quantity final_amount", pricing.brand_position, f"""
 WITH {POSITION} SELECT subcategory, brand, {I('q')} AS quantity,
-  {R('average_price')} AS average_price, {I('whole')} AS category_quantity,
-  {R('CAST(q AS DOUBLE) / CAST(whole AS DOUBLE)')} AS market_share FROM p""")
+  {R('average_price', 8)} AS average_price, {I('whole')} AS category_quantity,
+  {R('CAST(q AS DOUBLE) / CAST(whole AS DOUBLE)')} AS market_share FROM p""",
+    digits={"average_price": 8})
 for matrix, cell in (
     ("market_share", "CAST(q AS DOUBLE) / CAST(whole AS DOUBLE)"),
     ("average_price", "average_price"),
 ):
     columns = ", ".join(
-        R(f"coalesce(sum(CASE WHEN subcategory = '{noun}' THEN {cell} END), 0)") + f" AS {noun}"
+        R(f"coalesce(sum(CASE WHEN subcategory = '{noun}' THEN {cell} END), 0)", 8) + f" AS {noun}"
         for noun in NOUNS
     )
     add(f"brand_matrix_{matrix}", "subcategory brand quantity final_amount",
         partial(pricing.brand_matrix, value=matrix, subcategories=NOUNS), f"""
-WITH {POSITION} SELECT brand, {columns} FROM p GROUP BY brand""")
+WITH {POSITION} SELECT brand, {columns} FROM p GROUP BY brand""",
+        digits=dict.fromkeys(NOUNS, 8))
 
 # ---- Delivery and returns ---------------------------------------------------------------------------
 RATED = """(SELECT * FROM sales WHERE delivery_days IS NOT NULL AND customer_rating IS NOT NULL)"""

@@ -62,17 +62,21 @@ def duplicate_groups(
     return grouped.withColumn("duplicate_type", kind).drop("_first")
 
 
-def classify_duplicates(df: DataFrame, keys: Sequence[str] = DUPLICATE_KEYS, **names) -> DataFrame:
+def attach_classes(
+    df: DataFrame, groups: DataFrame, keys: Sequence[str] = DUPLICATE_KEYS
+) -> DataFrame:
     """Add ``is_duplicate`` (missing keys equal each other) and ``duplicate_type`` to every row."""
-    groups = duplicate_groups(df, keys, **names).select(
-        *keys, "copies", "duplicate_type", F.lit(True).alias("is_duplicate")
-    )
-    labelled = attach(df, groups, keys, "copies", null_safe=True)
+    classes = groups.select(*keys, "copies", "duplicate_type", F.lit(True).alias("is_duplicate"))
+    labelled = attach(df, classes, keys, "copies", null_safe=True)
     return labelled.withColumn(
         "is_duplicate", F.coalesce("is_duplicate", F.lit(False))
     ).withColumn("duplicate_type", F.coalesce("duplicate_type", F.lit(NORMAL)))
 
 
+def classify_duplicates(df: DataFrame, keys: Sequence[str] = DUPLICATE_KEYS, **names) -> DataFrame:
+    return attach_classes(df, duplicate_groups(df, keys, **names), keys)
+
+
 def consolidate_bulk_orders(
     df: DataFrame,
     keys: Sequence[str] = DUPLICATE_KEYS,

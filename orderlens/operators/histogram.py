@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.functions.numeric import as_column
-from orderlens.operators.quantiles import value_table
+from orderlens.operators.frames import with_keys
+from orderlens.operators.settle import settle
 from orderlens.operators.skew import attach
 
 
@@ -33,30 +34,27 @@ def histogram(
     task sends at most ``bins`` rows per group.
     """
     keys = list(keys)
-    all_bins = F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
+    amount = as_column(value).cast("double")
+    rows = (
+        with_keys(df, *keys)
+        .where(as_column(value).isNotNull())
+        .select(*keys, amount.alias("_x"), (F.lit(1) if weight is None else weight).alias("_w"))
+    )
+    bounds = rows.groupBy(*keys).agg(
+        F.min("_x").alias("_low"), F.max("_x").alias("_high"), F.count(F.lit(1)).alias("_rows")
+    )
     if keys:
-        # The value table serves both passes; its shuffle is reused.
-        table = value_table(df, value, keys, weight)
-        bounds = table.groupBy(*keys).agg(
-            F.min("value").alias("_low"), F.max("value").alias("_high"), F.sum("n").alias("_rows")
-        )
-        binned = attach(table, bounds, keys, "_rows").withColumn(
-            "bin", _bin_of(F.col("value"), F.col("_low"), F.col("_high"), bins)
-        )
-        counts = binned.groupBy(*keys, "bin").agg(F.sum("n").alias("count"))
+        bounds = settle(bounds)
+        located = attach(rows, bounds, keys, "_rows")
     else:
-        amount = as_column(value).cast("double")
-        table = df.where(as_column(value).isNotNull()).select(
-            amount.alias("value"), (F.lit(1) if weight is None else weight).alias("n")
-        )
-        bounds = table.agg(F.min("value").alias("_low"), F.max("value").alias("_high")).where(
-            F.col("_low").isNotNull()
-        )
+        bounds = bounds.where(F.col("_low").isNotNull())
         one = bounds.select(F.struct("_low", "_high").alias("b")).scalar()
-        located = table.withColumn("_b", one)
-        place = _bin_of(F.col("value"), F.col("_b._low"), F.col("_b._high"), bins)
-        counts = located.groupBy(place.alias("bin")).agg(F.sum("n").alias("count"))
-    spine = bounds.select(*keys, "_low", "_high", all_bins)
+        located = rows.withColumn("_b", one).select("_x", "_w", "_b.*")
+    place = _bin_of(F.col("_x"), F.col("_low"), F.col("_high"), bins)
+    counts = located.groupBy(*keys, place.alias("bin")).agg(F.sum("_w").alias("count"))
+    spine = bounds.select(
+        *keys, "_low", "_high", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
+    )
 
     step = (F.col("_high") - F.col("_low")) / bins
     return spine.join(counts, [*keys, "bin"], "left").select(
@@ -82,7 +80,7 @@ def density(
     the histogram is ``resolution * points`` per group, however many rows there are.
     """
     keys = list(keys)
-    table = histogram(df, value, resolution, keys, weight)
+    table = settle(histogram(df, value, resolution, keys, weight))
     center = (F.col("bin_start") + F.col("bin_end")) / 2
     # Weighted sample deviation of the binned data, from two exact sums about the low end.
     offset = center - F.col("_low")

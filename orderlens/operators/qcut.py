@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,48 +12,70 @@ from orderlens.operators.quantiles import quantiles_of_table, value_table
 SPLITTERS = 200
 
 
-def qcut_by_value(
-    df: DataFrame,
-    value: str,
-    into: str,
-    bins: int = 5,
-    descending: bool = False,
-    few_values: bool = False,
-) -> DataFrame:
-    """Add ``into``: 1..k by quantile edges, right-closed.
+@dataclass(frozen=True)
+class Cut:
+    """How to bin one column.
+
+    Without ``tie`` the bins follow the values: edges are quantiles, closed on the
+    right, and equal edges collapse (there may be fewer labels than ``bins``, and
+    none when all edges coincide). With ``tie``, a unique column, rows are ranked
+    by (value, tie) and the bins are of equal size: row r of n falls in bin
+    ``max(1, ceil((r - 1) * bins / (n - 1)))``.
 
-    Equal edges collapse, so there may be fewer than ``bins`` labels; with
-    ``descending`` the smallest values get the highest label. When all edges
-    coincide there is no bin and the result is NULL.
+    ``descending`` gives the smallest values the highest label. ``few_values``
+    promises a small domain (days, counts of a bounded thing).
     """
-    probs = [i / bins for i in range(bins + 1)]
-    edges = quantiles_of_table(value_table(df, value), probs, (), few_values).select(
-        F.array_sort(F.array_distinct(F.array(*[f"q{i}" for i in range(bins + 1)]))).alias("e")
-    )
-    amount = F.col(value).cast("double")
-    labels = F.size("_edges") - 1
-    inner = F.expr("slice(_edges, 2, greatest(size(_edges) - 2, 0))")
-    below = F.size(F.filter(inner, lambda edge: edge < F.col("_x"))) + 1
-    rank = labels - below + 1 if descending else below
-    return (
-        df.withColumn("_edges", edges.scalar())
-        .withColumn("_x", amount)
-        .withColumn(into, F.when((labels >= 1) & F.col("_x").isNotNull(), rank).cast("int"))
-        .drop("_edges", "_x")
-    )
+
+    value: str
+    tie: str | None = None
+    bins: int = 5
+    descending: bool = False
+    few_values: bool = False
+
+
+def qcut(df: DataFrame, **cuts: Cut) -> DataFrame:
+    """Add one integer column per cut. ``df`` is read once per cut and once for the result."""
+    limits = {
+        name: _rank_bounds(df, cut) if cut.tie else _value_edges(df, cut)
+        for name, cut in cuts.items()
+    }
+    placed = df.select("*", *[limit.alias(f"_limits_{name}") for name, limit in limits.items()])
+    labels = [_label(cut, f"_limits_{name}").alias(name) for name, cut in cuts.items()]
+    return placed.select(*df.columns, *labels)
+
+
+def _label(cut: Cut, limits: str) -> Column:
+    if cut.tie:
+        position = F.struct(F.col(cut.value).alias("v"), F.col(cut.tie).alias("t"))
+        inner, most = F.col(limits), F.lit(cut.bins)
+    else:
+        position = F.col(cut.value).cast("double")
+        inner = F.slice(limits, F.lit(2), F.greatest(F.size(limits) - 2, F.lit(0)))
+        most = F.size(limits) - 1
+    label = F.size(F.filter(inner, lambda limit: limit < position)) + 1
+    if cut.descending:
+        label = most + 1 - label
+    return F.when((most >= 1) & F.col(cut.value).isNotNull(), label).cast("int")
 
 
-def _rank_bounds(df: DataFrame, value: str, tie: str, bins: int) -> Column:
+def _value_edges(df: DataFrame, cut: Cut) -> Column:
+    probs = [i / cut.bins for i in range(cut.bins + 1)]
+    edges = quantiles_of_table(value_table(df, cut.value), probs, (), cut.few_values)
+    found = F.array(*[f"q{i}" for i in range(cut.bins + 1)])
+    return edges.select(F.array_sort(F.array_distinct(found)).alias("e")).scalar()
+
+
+def _rank_bounds(df: DataFrame, cut: Cut) -> Column:
     """The rows at which the bins of a global ranking end, as a sorted scalar array.
 
     Some hundred splitters (the rows with the smallest hash of their id: a fixed,
-    even choice) cut the order ``(value, tie)`` into buckets. Counting the buckets
+    even choice) cut the order (value, tie) into buckets. Counting the buckets
     tells which of them hold a boundary rank, and only those are sorted.
     Splitters are data, not partition numbers, so recomputing a lost task gives
     the same buckets.
     """
-    key = F.struct(F.col(value).alias("v"), F.col(tie).alias("t"))
-    keyed = df.where(F.col(value).isNotNull()).select(key.alias("_key"))
+    key = F.struct(F.col(cut.value).alias("v"), F.col(cut.tie).alias("t"))
+    keyed = df.where(F.col(cut.value).isNotNull()).select(key.alias("_key"))
     splitters = (
         keyed.orderBy(F.xxhash64("_key.t"), "_key.t")
         .limit(SPLITTERS)
@@ -62,43 +86,28 @@ def _rank_bounds(df: DataFrame, value: str, tie: str, bins: int) -> Column:
         "_key", F.size(F.filter("_s", lambda s: s < F.col("_key"))).alias("_bucket")
     )
     counts = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_in"))
+    # At most SPLITTERS + 1 rows are left here.
     running = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last_rank = [
-        F.expr(f"(({k} * (_n - 1)) div {bins}) + 1").cast("bigint") for k in range(1, bins)
+    last_ranks = [
+        F.expr(f"(({k} * (_n - 1)) div {cut.bins}) + 1").cast("bigint")
+        for k in range(1, cut.bins)
     ]
     wanted = (
         counts.withColumn("_n", F.sum("_in").over(Window.partitionBy()))
         .withColumn("_before", F.sum("_in").over(running) - F.col("_in"))
-        .withColumn("_rank", F.explode(F.array(*last_rank)))
+        .withColumn("_rank", F.explode(F.array(*last_ranks)))
         .where("_rank > _before and _rank <= _before + _in")
         .select("_bucket", (F.col("_rank") - F.col("_before")).alias("_local"))
+        .groupBy("_bucket")
+        .agg(F.collect_list("_local").alias("_locals"))
     )
-    # At most bins-1 rows by construction.
-    ranked = bucketed.join(F.broadcast(wanted.select("_bucket").distinct()), "_bucket").withColumn(
-        "_local",
-        F.row_number().over(Window.partitionBy("_bucket").orderBy("_key")).cast("bigint"),
-    )
+    # At most bins - 1 buckets are wanted.
+    in_bucket = Window.partitionBy("_bucket").orderBy("_key")
     return (
-        ranked.join(F.broadcast(wanted), ["_bucket", "_local"])
+        bucketed.join(F.broadcast(wanted), "_bucket")
+        .withColumn("_at", F.row_number().over(in_bucket).cast("bigint"))
+        .select("_key", F.explode("_locals").alias("_local"), "_at")
+        .where("_at = _local")
         .agg(F.array_sort(F.collect_list("_key")).alias("b"))
         .scalar()
     )
-
-
-def qcut_by_rank(
-    df: DataFrame, value: str, tie: str, into: str, bins: int = 5, descending: bool = False
-) -> DataFrame:
-    """Add ``into``: 1..bins of equal size by rank; ``tie`` (unique) orders equal values.
-
-    Row with rank r of n falls in bin ``max(1, ceil((r - 1) * bins / (n - 1)))``.
-    """
-    bounds = _rank_bounds(df, value, tie, bins)
-    key = F.struct(F.col(value).alias("v"), F.col(tie).alias("t"))
-    label = F.size(F.filter("_bounds", lambda b: b < F.col("_key"))) + 1
-    label = bins + 1 - label if descending else label
-    return (
-        df.withColumn("_bounds", bounds)
-        .withColumn("_key", key)
-        .withColumn(into, F.when(F.col(value).isNotNull(), label).cast("int"))
-        .drop("_bounds", "_key")
-    )

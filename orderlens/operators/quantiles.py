@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.functions.numeric import as_column, ratio
@@ -61,60 +61,51 @@ def quantiles_of_table(
         )
 
     keys = list(keys)
+    in_keys = ", ".join(keys) or "0"
     binned = table.withColumn("_bin", value_bin(F.col("value")))
     by_bin = binned.groupBy(*keys, "_bin").agg(F.sum("n").alias("_in_bin"))
-    whole = Window.partitionBy(*keys)
-    upto = whole.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    position = lambda p: F.lit(float(p)) * (F.col("rows") - 1)
-    wanted = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("which"),
-                F.lit(side).alias("side"),
-                (F.floor(position(p)) if side == 0 else F.ceil(position(p))).alias("rank"),
-                (position(p) - F.floor(position(p))).alias("fraction"),
-            )
-            for i, p in enumerate(probs)
-            for side in (0, 1)
-        ]
+
+    # The two neighbours of every wanted position, as ranks counted from 0.
+    def neighbour(which: int, prob: float, side: int) -> str:
+        at = f"(cast({prob!r} AS double) * (rows - 1))"
+        rank = f"floor({at})" if side == 0 else f"ceil({at})"
+        return f"struct({which} AS which, {side} AS side, {rank} AS rank, {at} - floor({at}) AS part)"
+
+    wanted = ", ".join(
+        neighbour(i, float(p), side) for i, p in enumerate(probs) for side in (0, 1)
     )
     located = (
-        by_bin.withColumn("rows", F.sum("_in_bin").over(whole))
-        .withColumn("_before", F.sum("_in_bin").over(upto) - F.col("_in_bin"))
-        .withColumn("_wanted", wanted)
-        .withColumn(
-            "_wanted",
-            F.filter(
-                "_wanted",
-                lambda w: (w["rank"] >= F.col("_before"))
-                & (w["rank"] < F.col("_before") + F.col("_in_bin")),
-            ),
+        by_bin.selectExpr(
+            "*",
+            f"sum(_in_bin) OVER (PARTITION BY {in_keys}) AS rows",
+            f"sum(_in_bin) OVER (PARTITION BY {in_keys} ORDER BY _bin "
+            "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - _in_bin AS _before",
         )
-        .where(F.size("_wanted") > 0)
-        .select(*keys, "_bin", "rows", "_before", "_wanted")
+        .selectExpr(
+            *keys, "_bin", "rows", "_before",
+            f"filter(array({wanted}), w -> w.rank >= _before AND w.rank < _before + _in_bin)"
+            " AS _wanted",
+        )
+        .where("size(_wanted) > 0")
     )
-    inside = Window.partitionBy(*keys, "_bin").orderBy("value")
     picked = (
         binned.join(located, [*keys, "_bin"])
-        .withColumn("_end", F.col("_before") + F.sum("n").over(inside))
-        .withColumn("_start", F.col("_end") - F.col("n"))
-        .withColumn(
-            "_wanted",
-            F.filter(
-                "_wanted",
-                lambda w: (w["rank"] >= F.col("_start")) & (w["rank"] < F.col("_end")),
-            ),
-        )
-        .where(F.size("_wanted") > 0)
-        .select(*keys, "rows", "value", F.explode("_wanted").alias("w"))
+        .selectExpr(
+            *keys, "rows", "value", "n", "_wanted",
+            f"_before + sum(n) OVER (PARTITION BY {', '.join([*keys, '_bin'])} ORDER BY value "
+            "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _end",
+        )
+        .selectExpr(
+            *keys, "rows", "value",
+            "explode(filter(_wanted, w -> w.rank >= _end - n AND w.rank < _end)) AS w",
+        )
     )
 
     def interpolated(i: int) -> Column:
-        chosen = F.col("w.which") == i
-        low = F.max(F.when(chosen & (F.col("w.side") == 0), F.col("value")))
-        high = F.max(F.when(chosen & (F.col("w.side") == 1), F.col("value")))
-        fraction = F.max(F.when(chosen, F.col("w.fraction")))
-        return (low + (high - low) * fraction).alias(f"q{i}")
+        low = f"max(value) FILTER (WHERE w.which = {i} AND w.side = 0)"
+        high = f"max(value) FILTER (WHERE w.which = {i} AND w.side = 1)"
+        part = f"max(w.part) FILTER (WHERE w.which = {i})"
+        return F.expr(f"{low} + ({high} - {low}) * {part}").alias(f"q{i}")
 
     return picked.groupBy(*keys).agg(
         F.max("rows").alias("rows"), *[interpolated(i) for i in range(len(probs))]
@@ -185,19 +176,23 @@ def box_stats(
 ) -> DataFrame:
     """Quartiles, whiskers (furthest points within 1.5 IQR) and outlier count per group."""
     keys = list(keys)
-    table = value_table(df, value, keys)
-    quartiles = quantiles_of_table(table, [0.25, 0.5, 0.75], keys, few_values)
+    rows = (
+        with_keys(df, *keys)
+        .where(as_column(value).isNotNull())
+        .select(*keys, as_column(value).cast("double").alias("value"))
+    )
+    quartiles = exact_quantiles(rows, "value", [0.25, 0.5, 0.75], keys, few_values)
     if keys:
-        located = attach(table, quartiles, keys, "rows")
+        located = attach(rows, quartiles, keys, "rows")
     else:
         one = quartiles.select(F.struct("q0", "q1", "q2").alias("q")).scalar()
-        located = table.withColumn("_q", one).select("value", "n", "_q.*")
+        located = rows.withColumn("_q", one).select("value", "_q.*")
     iqr = F.col("q2") - F.col("q0")
     within = (F.col("value") >= F.col("q0") - whisker * iqr) & (
         F.col("value") <= F.col("q2") + whisker * iqr
     )
     return located.groupBy(*keys).agg(
-        F.sum("n").alias("rows"),
+        F.count(F.lit(1)).alias("rows"),
         F.min("value").alias("minimum"),
         F.min(F.when(within, F.col("value"))).alias("whisker_low"),
         F.max("q0").alias("q1"),
@@ -205,7 +200,7 @@ def box_stats(
         F.max("q2").alias("q3"),
         F.max(F.when(within, F.col("value"))).alias("whisker_high"),
         F.max("value").alias("maximum"),
-        F.coalesce(F.sum(F.when(~within, F.col("n"))), F.lit(0)).alias("outliers"),
+        F.count_if(~within).alias("outliers"),
     )
 
 

@@ -44,20 +44,24 @@ def transitions(
     df: DataFrame, key: str, date: str, order: Sequence[str], value: str
 ) -> DataFrame:
     """``previous, following, count`` over consecutive rows of a key, both values present."""
-    rows = df.where(F.col(key).isNotNull() & F.col(date).isNotNull())
     in_day = Window.partitionBy(key, date).orderBy(*order)
-    inside = rows.select(
-        F.lag(value).over(in_day).alias("previous"), F.col(value).alias("following")
+    rows = df.where(F.col(key).isNotNull() & F.col(date).isNotNull()).select(
+        key,
+        date,
+        F.lag(value).over(in_day).alias("previous"),
+        F.col(value).alias("following"),
+        (F.row_number().over(in_day) == 1).alias("_opens"),
+        F.lead(F.lit(True)).over(in_day).isNull().alias("_closes"),
     )
-    position = F.struct(*order)
-    # A struct wrapper keeps a missing value at either end of a day missing.
-    boxed = F.struct(F.col(value).alias("v"))
-    edges = rows.groupBy(key, date).agg(
-        F.min_by(boxed, position).alias("_first"), F.max_by(boxed, position).alias("_last")
+    inside = rows.where(~F.col("_opens"))
+    # The days are already together and sorted, so these groups cost no further shuffle.
+    days = rows.groupBy(key, date).agg(
+        F.max(F.when(F.col("_opens"), F.col("following"))).alias("_first"),
+        F.max(F.when(F.col("_closes"), F.col("following"))).alias("_last"),
     )
     by_key = Window.partitionBy(key).orderBy(date)
-    across = edges.select(
-        F.lag("_last").over(by_key)["v"].alias("previous"), F.col("_first.v").alias("following")
+    across = days.select(
+        F.lag("_last").over(by_key).alias("previous"), F.col("_first").alias("following")
     )
 
     def pairs(df: DataFrame) -> DataFrame:

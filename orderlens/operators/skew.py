@@ -8,6 +8,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orderlens.operators.settle import settle
+
+# A summary with at most this many (narrow) rows is broadcast as a whole.
+BROADCAST_ROWS = 100_000
 # A key owning more than 1/1000 of all rows is "hot". At most 1000 keys can be.
 HOT_FRACTION = 1000
 
@@ -18,14 +22,16 @@ def attach(
     keys: Sequence[str],
     rows: str,
     null_safe: bool = False,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Left-join ``summary`` (one row per key, ``rows`` = number of fact rows behind it).
 
-    Rows of hot keys look their key up in a broadcast table and are not shuffled:
-    since the row counts of hot keys add up to at most the total, there can be no
-    more than ``HOT_FRACTION`` of them, whatever the data. All other keys are each
-    small and go through a plain shuffle join, to which only their rows are sent.
-    With few groups (say 200 brands) every key is hot and nothing is shuffled at all.
+    The summary is computed first and its size looked at. A small one is
+    broadcast: facts stay where they are. A large one is split: rows of hot keys
+    look their key up in a broadcast table (since the row counts of hot keys add
+    up to at most the total, there can be no more than ``HOT_FRACTION`` of them,
+    whatever the data); all other keys are each small and go through a plain
+    shuffle join, to which only their rows are sent.
 
     With ``null_safe`` a missing key is a value like any other. Without it, facts
     with a missing key match nothing and skip the shuffle join, where they would
@@ -33,21 +39,27 @@ def attach(
     """
     attached = [c for c in summary.columns if c not in keys and c != rows]
     mirror = {key: f"_key_{i}" for i, key in enumerate(keys)}
-    threshold = summary.agg((F.sum(rows) / F.lit(HOT_FRACTION)).alias("t")).scalar()
-    weighed = (summary if null_safe else summary.dropna(subset=list(keys))).select(
-        *[F.col(key).alias(name) for key, name in mirror.items()],
-        *attached,
-        F.col(rows).alias("_weight"),
-        threshold.alias("_threshold"),
+    kept = settle(
+        (summary if null_safe else summary.dropna(subset=list(keys))).select(
+            *[F.col(key).alias(name) for key, name in mirror.items()],
+            *attached,
+            F.col(rows).alias("_weight"),
+        )
     )
-    hot = weighed.where("_weight > _threshold").drop("_threshold")
-    cold = weighed.where("_weight <= _threshold").drop("_threshold", "_weight")
+    size, weight = kept.agg(F.count(F.lit(1)), F.sum("_weight")).first()
 
     def equal(key: str):
         left, other = F.col(key), F.col(mirror[key])
         return left.eqNullSafe(other) if null_safe else left == other
 
     same = reduce(lambda a, b: a & b, [equal(key) for key in keys])
+    columns = [*facts.columns, *attached]
+    if size <= broadcast_rows:
+        return facts.join(F.broadcast(kept), same, "left").select(*columns)
+
+    threshold = weight / HOT_FRACTION
+    hot = kept.where(F.col("_weight") > threshold)
+    cold = kept.where(F.col("_weight") <= threshold).drop("_weight")
     missing = reduce(lambda a, b: a | b, [F.col(key).isNull() for key in keys])
     if null_safe:
         served = facts.join(F.broadcast(hot), same, "inner")
@@ -59,5 +71,4 @@ def attach(
         others = facts.where(~missing)
     rest = others.join(F.broadcast(hot.select(*mirror.values())), same, "left_anti")
     rest = rest.join(cold, same, "left")
-    columns = [*facts.columns, *attached]
     return served.select(*columns).unionAll(rest.select(*columns))

@@ -16,7 +16,7 @@ from orderlens.functions.text import (
     clean_rating,
     flag_to_int,
 )
-from orderlens.operators.duplicates import classify_duplicates
+from orderlens.operators.duplicates import attach_classes, duplicate_groups
 from orderlens.operators.outliers import flag_price_outliers
 
 # ---- Fixed values: what a missing value becomes when the file is finished ---------------
@@ -106,7 +106,10 @@ def clean_sales(
     if staging:
         typed.write.mode("overwrite").parquet(staging)
         typed = raw.sparkSession.read.parquet(staging)
-    return fill_missing(classify_duplicates(flag_price_outliers(typed)), final)
+    # Groups are taken from the typed rows, not from the flagged ones, so that
+    # neither statistic has to repeat the other's joins.
+    marked = attach_classes(flag_price_outliers(typed), duplicate_groups(typed))
+    return fill_missing(marked, final)
 
 
 def clean_catalogue(products: DataFrame) -> DataFrame:

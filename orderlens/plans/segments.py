@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from orderlens.functions.numeric import half_even, mean, total
 from orderlens.operators.frames import top_rows, value_counts, with_keys
-from orderlens.operators.qcut import qcut_by_rank, qcut_by_value
+from orderlens.operators.qcut import Cut, qcut
+from orderlens.operators.settle import settle
 
 # ---- Fixed values: lowest score sum of each segment, best first ----------------------
 REPORT_SEGMENTS = (
@@ -89,25 +90,29 @@ def _finish(scored: DataFrame, segment: Column | None, rules=None) -> DataFrame:
 
 def rfm_report(sales: DataFrame) -> DataFrame:
     """All three scores by value; distinct orders; five report segments."""
-    scored = rfm(sales)
-    scored = qcut_by_value(scored, "recency", "r_score", descending=True, few_values=True)
-    scored = qcut_by_value(scored, "frequency", "f_score")
-    scored = qcut_by_value(scored, "monetary", "m_score")
+    scored = qcut(
+        settle(rfm(sales)),
+        r_score=Cut("recency", descending=True, few_values=True),
+        f_score=Cut("frequency"),
+        m_score=Cut("monetary"),
+    )
     return _finish(scored, None, REPORT_SEGMENTS)
 
 
+def _exploration_scores(sales: DataFrame) -> DataFrame:
+    return qcut(
+        settle(rfm(sales, distinct_orders=False)),
+        r_score=Cut("recency", descending=True, few_values=True),
+        f_score=Cut("frequency", tie="customer_id"),
+        m_score=Cut("monetary"),
+    )
+
+
 def rfm_exploration(sales: DataFrame) -> DataFrame:
     """Frequency counts rows and is scored by rank, the others by value."""
     return _finish(_exploration_scores(sales), None, EXPLORATION_SEGMENTS)
 
 
-def _exploration_scores(sales: DataFrame) -> DataFrame:
-    scored = rfm(sales, distinct_orders=False)
-    scored = qcut_by_value(scored, "recency", "r_score", descending=True, few_values=True)
-    scored = qcut_by_rank(scored, "frequency", "customer_id", "f_score")
-    return qcut_by_value(scored, "monetary", "m_score")
-
-
 def rfm_rules(sales: DataFrame) -> DataFrame:
     """Same scores, missing ones neutral, segments by ordered rules."""
     scored = _exploration_scores(sales).fillna(
@@ -119,10 +124,12 @@ def rfm_rules(sales: DataFrame) -> DataFrame:
 
 def rfm_dashboard(sales: DataFrame) -> DataFrame:
     """All three scores by rank."""
-    scored = rfm(sales)
-    scored = qcut_by_rank(scored, "recency", "customer_id", "r_score", descending=True)
-    scored = qcut_by_rank(scored, "frequency", "customer_id", "f_score")
-    scored = qcut_by_rank(scored, "monetary", "customer_id", "m_score")
+    scored = qcut(
+        settle(rfm(sales)),
+        r_score=Cut("recency", tie="customer_id", descending=True),
+        f_score=Cut("frequency", tie="customer_id"),
+        m_score=Cut("monetary", tie="customer_id"),
+    )
     return _finish(scored, None, DASHBOARD_SEGMENTS)
 
 

@@ -12,6 +12,10 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Column expressions need not remember their Python call site.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # Checkpoints are removed once nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Bad input must surface as NULL through try_* functions, never silently.
     "spark.sql.ansi.enabled": "true",
 }

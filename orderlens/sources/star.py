@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # ---- Fixed values: how the star schema's codes read as retail terms ------------------
@@ -28,80 +28,63 @@ RETURNS = {"R": "Returned", "A": "Cancelled", "N": "Delivered"}
 # ------------------------------------------------------------------------------------------
 
 
-def _labels(code: Column, labels: dict[str, str]) -> Column:
-    chain = F.lit(None).cast("string")
-    for key, label in labels.items():
-        chain = F.when(code == key, label).otherwise(chain)
-    return chain
-
-
-def _definitions() -> dict[str, tuple[frozenset[str], Column]]:
-    """Column name -> (tables needed beyond lineitem, expression)."""
-    line: frozenset[str] = frozenset()
-    orders, part = frozenset({"orders"}), frozenset({"part"})
-    customer = frozenset({"orders", "customer"})
-    nation, region = customer | {"nation"}, customer | {"nation", "region"}
-
-    date = F.col("o_orderdate").cast("date")
-    original = F.col("l_extendedprice").cast("decimal(18,2)")
-    paid = (original * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)"))).cast("decimal(24,4)")
-    festival = _labels(F.date_format(date, "MM-dd"), FESTIVALS)
-    tier = F.lit(LOWEST_TIER)
-    for floor, label in reversed(TIERS):
-        tier = F.when(F.col("c_acctbal") >= floor, label).otherwise(tier)
-    return {
-        "transaction_id": (line, F.col("l_orderkey").cast("string")),
-        "customer_id": (orders, F.col("o_custkey")),
-        "product_id": (line, F.col("l_partkey")),
-        "l_linenumber": (line, F.col("l_linenumber")),
-        "l_suppkey": (line, F.col("l_suppkey")),
-        "order_date": (orders, date),
-        "order_year": (orders, F.year(date)),
-        "order_month": (orders, F.month(date)),
-        "category": (part, F.col("p_type")),
-        "subcategory": (part, F.split_part("p_name", F.lit(" "), F.lit(2))),
-        "brand": (part, F.col("p_brand")),
-        "product_title": (part, F.col("p_name")),
-        "customer_city": (nation, F.col("n_name")),
-        "customer_state": (region, F.col("r_name")),
-        "customer_tier": (customer, tier),
-        "customer_age_group": (customer, _labels(F.col("c_mktsegment"), AGE_GROUPS)),
-        "is_prime_member": (orders, F.col("o_custkey") % 3 == 0),
-        "festival_name": (orders, festival),
-        "is_festival_sale": (orders, festival.isNotNull()),
-        "payment_method": (orders, _labels(F.substring("o_orderpriority", 1, 1), PAYMENTS)),
-        "delivery_days": (
-            orders,
-            F.abs(F.datediff(F.col("l_shipdate").cast("date"), date)) % 12,
-        ),
-        "product_rating": (
-            part,
-            F.when(F.col("p_size") % 10 != 0, (1 + F.col("p_size") % 5).cast("double")),
-        ),
-        "customer_rating": (
-            line,
-            F.when(
-                F.col("l_suppkey") % 11 != 0,
-                (1 + (F.col("l_linenumber") + F.col("l_suppkey")) % 5).cast("double"),
-            ),
-        ),
-        "return_status": (line, _labels(F.col("l_returnflag"), RETURNS)),
-        "quantity": (line, F.col("l_quantity").cast("int")),
-        "discount_percent": (line, F.round(F.col("l_discount") * 100).cast("int") * 5),
-        "original_price": (line, original),
-        "discounted_price": (line, F.when(F.col("l_suppkey") % 7 != 0, paid)),
-        "final_amount": (line, paid),
-    }
-
-
-SALES_COLUMNS = (
-    "transaction_id", "customer_id", "product_id", "l_linenumber", "l_suppkey", "order_date",
-    "order_year", "order_month", "category", "subcategory", "brand", "product_title",
-    "customer_city", "customer_state", "customer_tier", "customer_age_group", "is_prime_member",
-    "festival_name", "is_festival_sale", "payment_method", "delivery_days", "product_rating",
-    "customer_rating", "return_status", "quantity", "discount_percent", "original_price",
-    "discounted_price", "final_amount",
-)
+def _labels(code: str, labels: dict[str, str]) -> str:
+    whens = " ".join(f"WHEN '{key}' THEN '{label}'" for key, label in labels.items())
+    return f"CASE {code} {whens} END"
+
+
+_DATE = "cast(o_orderdate AS date)"
+# Prices are binary doubles with two digits after the point. Whole cents and whole
+# percents as bigint are exact and much cheaper than casting doubles to decimal.
+_CENTS = "cast(l_extendedprice * 100 + 0.5D AS bigint)"
+_PERCENT_PAID = "(100 - cast(l_discount * 100 + 0.5D AS bigint))"
+_ORIGINAL = f"cast(cast({_CENTS} AS decimal(18,0)) * 0.01BD AS decimal(18,2))"
+_PAID = f"cast(cast({_CENTS} * {_PERCENT_PAID} AS decimal(20,0)) * 0.0001BD AS decimal(24,4))"
+_FESTIVAL = _labels(f"date_format({_DATE}, 'MM-dd')", FESTIVALS)
+_TIER_STEPS = " ".join(f"WHEN c_acctbal >= {floor} THEN '{label}'" for floor, label in TIERS)
+
+_LINE = frozenset()
+_ORDERS, _PART = frozenset({"orders"}), frozenset({"part"})
+_CUSTOMER = _ORDERS | {"customer"}
+_NATION = _CUSTOMER | {"nation"}
+_REGION = _NATION | {"region"}
+
+# Column name -> (tables needed beyond lineitem, SQL expression).
+DEFINITIONS: dict[str, tuple[frozenset[str], str]] = {
+    "transaction_id": (_LINE, "cast(l_orderkey AS string)"),
+    "customer_id": (_ORDERS, "o_custkey"),
+    "product_id": (_LINE, "l_partkey"),
+    "l_linenumber": (_LINE, "l_linenumber"),
+    "l_suppkey": (_LINE, "l_suppkey"),
+    "order_date": (_ORDERS, _DATE),
+    "order_year": (_ORDERS, f"year({_DATE})"),
+    "order_month": (_ORDERS, f"month({_DATE})"),
+    "category": (_PART, "p_type"),
+    "subcategory": (_PART, "split_part(p_name, ' ', 2)"),
+    "brand": (_PART, "p_brand"),
+    "product_title": (_PART, "p_name"),
+    "customer_city": (_NATION, "n_name"),
+    "customer_state": (_REGION, "r_name"),
+    "customer_tier": (_CUSTOMER, f"CASE {_TIER_STEPS} ELSE '{LOWEST_TIER}' END"),
+    "customer_age_group": (_CUSTOMER, _labels("c_mktsegment", AGE_GROUPS)),
+    "is_prime_member": (_ORDERS, "o_custkey % 3 = 0"),
+    "festival_name": (_ORDERS, _FESTIVAL),
+    "is_festival_sale": (_ORDERS, f"({_FESTIVAL}) IS NOT NULL"),
+    "payment_method": (_ORDERS, _labels("substring(o_orderpriority, 1, 1)", PAYMENTS)),
+    "delivery_days": (_ORDERS, f"abs(datediff(cast(l_shipdate AS date), {_DATE})) % 12"),
+    "product_rating": (_PART, "CASE WHEN p_size % 10 <> 0 THEN cast(1 + p_size % 5 AS double) END"),
+    "customer_rating": (
+        _LINE,
+        "CASE WHEN l_suppkey % 11 <> 0 "
+        "THEN cast(1 + (l_linenumber + l_suppkey) % 5 AS double) END",
+    ),
+    "return_status": (_LINE, _labels("l_returnflag", RETURNS)),
+    "quantity": (_LINE, "cast(l_quantity AS int)"),
+    "discount_percent": (_LINE, "cast(l_discount * 100 + 0.5D AS int) * 5"),
+    "original_price": (_LINE, _ORIGINAL),
+    "discounted_price": (_LINE, f"CASE WHEN l_suppkey % 7 <> 0 THEN {_PAID} END"),
+    "final_amount": (_LINE, _PAID),
+}
 
 # Total order of a customer's rows: date, order, line, then whatever still differs.
 ROW_ORDER = (
@@ -112,24 +95,21 @@ ROW_ORDER = (
 
 def sales(spark: SparkSession, folder: str, columns: Iterable[str] | None = None) -> DataFrame:
     """Order lines with the ``sales`` columns asked for (all by default)."""
-    wanted = list(dict.fromkeys(columns)) if columns is not None else list(SALES_COLUMNS)
-    definitions = _definitions()
-    tables = frozenset().union(*[definitions[name][0] for name in wanted])
+    wanted = list(dict.fromkeys(DEFINITIONS if columns is None else columns))
+    tables = frozenset().union(*[DEFINITIONS[name][0] for name in wanted])
 
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{folder}/{name}.parquet")
 
     lines = table("lineitem")
     if "orders" in tables:
-        lines = lines.join(table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        lines = lines.join(table("orders"), F.expr("l_orderkey = o_orderkey"))
     if "customer" in tables:
-        lines = lines.join(table("customer"), F.col("o_custkey") == F.col("c_custkey"))
+        lines = lines.join(table("customer"), F.expr("o_custkey = c_custkey"))
     if "part" in tables:
-        lines = lines.join(table("part"), F.col("l_partkey") == F.col("p_partkey"))
+        lines = lines.join(table("part"), F.expr("l_partkey = p_partkey"))
     if "nation" in tables:
-        nation = F.broadcast(table("nation"))
-        lines = lines.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        lines = lines.join(F.broadcast(table("nation")), F.expr("c_nationkey = n_nationkey"))
     if "region" in tables:
-        region = F.broadcast(table("region"))
-        lines = lines.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-    return lines.select(*[definitions[name][1].alias(name) for name in wanted])
+        lines = lines.join(F.broadcast(table("region")), F.expr("n_regionkey = r_regionkey"))
+    return lines.selectExpr(*[f"{DEFINITIONS[name][1]} AS {name}" for name in wanted])
