@@ -17,8 +17,8 @@ from orderlens.operators.skew import attach
 def _bin_of(value: Column, low: Column, high: Column, bins: int) -> Column:
     """0..bins-1; the maximum belongs to the last bin, a zero range to the first."""
     width = high - low
-    raw = F.floor((value - low) * bins / F.when(width > 0, width))
-    return F.coalesce(F.least(raw, F.lit(bins - 1)), F.lit(0)).cast("int")
+    place = F.floor((value - low) * bins / width)
+    return F.when(width > 0, F.least(place, F.lit(bins - 1))).otherwise(0).cast("int")
 
 
 def histogram(
