@@ -7,17 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accepted spellings of a date, tried in this order.
-DAY_FIRST_FORMATS = ("yyyy-M-d", "d/M/yyyy", "d-M-yyyy")
-TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
+# A date written with the year last, and where its parts go in ISO order.
+YEAR_LAST_PATTERN = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})(?!\d)"
+DAY_FIRST, MONTH_FIRST = "$3-$2-$1", "$3-$1-$2"
 
 
-def parse_date(text: Column, formats: Sequence[str] = DAY_FIRST_FORMATS) -> Column:
-    """First format that fits, else NULL. A trailing time of day is accepted after an ISO date."""
-    trimmed = F.trim(text)
-    tries = [F.try_to_date(trimmed, fmt) for fmt in formats]
-    tries.append(F.to_date(F.try_to_timestamp(trimmed, F.lit(TIMESTAMP_FORMAT))))
-    return F.coalesce(*tries)
+def parse_date(text: Column, day_first: bool = True, formats: Sequence[str] = ()) -> Column:
+    """Date from yyyy-mm-dd, dd/mm/yyyy or dd-mm-yyyy text (a time of day may follow), else NULL.
+
+    The text is put into ISO order and cast; unlike trying one format after the
+    other this raises no exception inside the engine for rows in another format.
+    Further ``formats`` are tried, in order, on rows that are still without a date.
+    """
+    order = DAY_FIRST if day_first else MONTH_FIRST
+    iso = F.regexp_replace(F.trim(text), YEAR_LAST_PATTERN, order)
+    return F.coalesce(iso.try_cast("date"), *[F.try_to_date(F.trim(text), f) for f in formats])
 
 
 def calendar_columns(date: Column) -> dict[str, Column]:

@@ -41,7 +41,8 @@ def alias_map(text: Column, aliases: Mapping[str, str]) -> Column:
 def title_case(text: Column) -> Column:
     """Capital after every non-letter (``initcap`` alone only looks at spaces)."""
     words = F.split(text, r"(?<=[^A-Za-z])")
-    return F.array_join(F.transform(words, F.initcap), "")
+    in_parts = F.array_join(F.transform(words, F.initcap), "")
+    return F.when(text.rlike("[^A-Za-z ]"), in_parts).otherwise(F.initcap(text))
 
 
 def normal_key(text: Column) -> Column:

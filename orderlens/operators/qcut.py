@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderlens.operators.quantiles import quantiles_of_table, value_table
+from orderlens.operators.quantiles import exact_quantiles
 
 SPLITTERS = 200
 
@@ -60,7 +60,7 @@ def _label(cut: Cut, limits: str) -> Column:
 
 def _value_edges(df: DataFrame, cut: Cut) -> Column:
     probs = [i / cut.bins for i in range(cut.bins + 1)]
-    edges = quantiles_of_table(value_table(df, cut.value), probs, (), cut.few_values)
+    edges = exact_quantiles(df, cut.value, probs, (), cut.few_values)
     found = F.array(*[f"q{i}" for i in range(cut.bins + 1)])
     return edges.select(F.array_sort(F.array_distinct(found)).alias("e")).scalar()
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from orderlens.functions.numeric import as_column, ratio
 from orderlens.operators.frames import with_keys
-from orderlens.operators.skew import attach
+from orderlens.operators.skew import attach, join_checked
 
 BINS_PER_E_FOLD = 256
 
@@ -35,24 +35,30 @@ def value_table(
     counted = F.count(F.lit(1)) if weight is None else F.sum(weight)
     return (
         with_keys(df, *keys)
-        .where(as_column(value).isNotNull())
         .groupBy(*keys, amount.alias("value"))
         .agg(counted.cast("bigint").alias("n"))
+        .where(F.col("value").isNotNull())
     )
 
 
-def quantiles_of_table(
-    table: DataFrame, probs: Sequence[float], keys: Sequence[str] = (), few_values: bool = False
+def exact_quantiles(
+    df: DataFrame,
+    value: Column | str,
+    probs: Sequence[float],
+    keys: Sequence[str] = (),
+    few_values: bool = False,
 ) -> DataFrame:
-    """``keys, rows, q0..qk`` from a ``value_table``; linear interpolation between neighbours.
+    """``keys, rows, q0..qk``; linear interpolation between neighbours.
 
     ``few_values=True`` promises that the column has a small domain by its
     meaning (days, ratings), so a per-group count map stays small. Otherwise the
-    wanted ranks are first located in coarse bins, and only the bins that hold
-    one of them are sorted.
+    rows are read twice and hardly shuffled: the first pass counts rows per
+    coarse bin and finds the bins that hold the wanted ranks, the second looks at
+    the rows of just those bins.
     """
+    keys = list(keys)
     if few_values:
-        together = table.groupBy(*keys).agg(
+        together = value_table(df, value, keys).groupBy(*keys).agg(
             F.sum("n").alias("rows"),
             F.percentile("value", [float(p) for p in probs], F.col("n")).alias("_q"),
         )
@@ -60,10 +66,14 @@ def quantiles_of_table(
             *keys, "rows", *[F.col("_q")[i].alias(f"q{i}") for i in range(len(probs))]
         )
 
-    keys = list(keys)
+    rows = (
+        with_keys(df, *keys)
+        .select(*keys, as_column(value).cast("double").alias("value"))
+        .where("value IS NOT NULL")
+        .withColumn("_bin", value_bin(F.col("value")))
+    )
+    by_bin = rows.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_in_bin"))
     in_keys = ", ".join(keys) or "0"
-    binned = table.withColumn("_bin", value_bin(F.col("value")))
-    by_bin = binned.groupBy(*keys, "_bin").agg(F.sum("n").alias("_in_bin"))
 
     # The two neighbours of every wanted position, as ranks counted from 0.
     def neighbour(which: int, prob: float, side: int) -> str:
@@ -74,6 +84,7 @@ def quantiles_of_table(
     wanted = ", ".join(
         neighbour(i, float(p), side) for i, p in enumerate(probs) for side in (0, 1)
     )
+    # A group has a few thousand bins at most, so these windows are over short groups.
     located = (
         by_bin.selectExpr(
             "*",
@@ -88,8 +99,14 @@ def quantiles_of_table(
         )
         .where("size(_wanted) > 0")
     )
+    # Without keys there are at most two wanted bins per probability.
+    found = join_checked(rows, located, [*keys, "_bin"]) if keys else rows.join(
+        F.broadcast(located), "_bin"
+    )
+    marks = ["rows", "_before", "_wanted"]
     picked = (
-        binned.join(located, [*keys, "_bin"])
+        found.groupBy(*keys, "_bin", "value", *marks)
+        .agg(F.count(F.lit(1)).alias("n"))
         .selectExpr(
             *keys, "rows", "value", "n", "_wanted",
             f"_before + sum(n) OVER (PARTITION BY {', '.join([*keys, '_bin'])} ORDER BY value "
@@ -112,16 +129,6 @@ def quantiles_of_table(
     )
 
 
-def exact_quantiles(
-    df: DataFrame,
-    value: Column | str,
-    probs: Sequence[float],
-    keys: Sequence[str] = (),
-    few_values: bool = False,
-) -> DataFrame:
-    return quantiles_of_table(value_table(df, value, keys), probs, keys, few_values)
-
-
 def approximate_quantiles(
     df: DataFrame,
     value: Column | str,
@@ -208,8 +215,7 @@ def describe(df: DataFrame, value: Column | str, keys: Sequence[str] = ()) -> Da
     """Count, mean, sample deviation, extremes and exact quartiles of one column."""
     keys = list(keys)
     amount = as_column(value)
-    table = value_table(df, value, keys)
-    quartiles = quantiles_of_table(table, [0.25, 0.5, 0.75], keys)
+    quartiles = exact_quantiles(df, value, [0.25, 0.5, 0.75], keys)
     moments = (
         with_keys(df, *keys)
         .groupBy(*keys)

@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and keep it in the checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``: storage all executors reach.
 
-    The folder is the session's ``spark.checkpoint.dir``: shared storage that
-    outlives a lost executor. A local session without one (tests) gets a
-    temporary folder; on a cluster a missing setting is an error.
+    A local session without one (tests) gets a temporary folder; on a cluster a
+    missing setting is an error, because a lost executor would take a
+    machine-local folder with it.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if folder is None and context.master.startswith("local"):
@@ -22,4 +23,21 @@ def settle(df: DataFrame) -> DataFrame:
         if folder is None:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute a (small) ``df`` once and keep it in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stage(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write a large ``df`` once as Parquet, in ``path`` or the shared folder, and read it back.
+
+    Later steps then scan only the columns they need.
+    """
+    spark = df.sparkSession
+    target = path or f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(target)
+    return spark.read.schema(df.schema).parquet(target)

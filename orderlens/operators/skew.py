@@ -16,6 +16,18 @@ BROADCAST_ROWS = 100_000
 HOT_FRACTION = 1000
 
 
+def join_checked(
+    df: DataFrame, small: DataFrame, keys: Sequence[str], broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Inner join with a result that is expected to be small.
+
+    It is computed first and counted: broadcast if it is indeed small, else left
+    to a shuffle join (on ``keys``, which spread even one group over many values).
+    """
+    kept = settle(small)
+    return df.join(F.broadcast(kept) if kept.count() <= broadcast_rows else kept, list(keys))
+
+
 def attach(
     facts: DataFrame,
     summary: DataFrame,

@@ -1,4 +1,4 @@
-"""Raw text to typed ``sales``: one lazy plan from end to end."""
+"""Raw text to typed ``sales``."""
 
 from __future__ import annotations
 
@@ -18,6 +18,7 @@ from orderlens.functions.text import (
 )
 from orderlens.operators.duplicates import attach_classes, duplicate_groups
 from orderlens.operators.outliers import flag_price_outliers
+from orderlens.operators.settle import stage
 
 # ---- Fixed values: what a missing value becomes when the file is finished ---------------
 FINAL_FILLS = {
@@ -99,13 +100,10 @@ def clean_sales(
     """Typed columns, both price outlier flags, duplicate classes, fills.
 
     The typed rows are read several times (for the group statistics, then for the
-    rows themselves). With ``staging``, a path in shared storage, they are
-    written there once as Parquet, so the raw text is parsed a single time.
+    rows themselves), so they are written once as Parquet to ``staging`` or the
+    session's shared folder: the raw text is parsed a single time.
     """
-    typed = type_columns(raw, delivery)
-    if staging:
-        typed.write.mode("overwrite").parquet(staging)
-        typed = raw.sparkSession.read.parquet(staging)
+    typed = stage(type_columns(raw, delivery), staging)
     # Groups are taken from the typed rows, not from the flagged ones, so that
     # neither statistic has to repeat the other's joins.
     marked = attach_classes(flag_price_outliers(typed), duplicate_groups(typed))

@@ -12,6 +12,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Wide projections: beyond this size the JVM would interpret generated code, so let
+    # Spark generate it in smaller pieces instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Column expressions need not remember their Python call site.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Checkpoints are removed once nothing refers to them any more.
