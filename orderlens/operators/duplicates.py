@@ -99,12 +99,20 @@ def consolidate_bulk_orders(
     members = attach(
         df.select(*keys, F.col(row_id).cast("string").alias("_id")), groups, keys, "copies"
     ).where(F.col("parts").isNotNull())
-    part = F.pmod(F.xxhash64("_id"), F.col("parts")).cast("int")
-    return (
-        members.withColumn("part", part)
-        .groupBy(*keys, "part")
-        .agg(
-            *[F.max(name).alias(name) for name in kept],
-            F.array_join(F.array_sort(F.collect_list("_id")), ",").alias("transaction_ids"),
+    # An id may itself occur very often; it is counted first and then listed in pieces.
+    piece_size = F.lit(ids_per_part)
+    pieces = (
+        members.groupBy(*keys, *kept, "_id")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_last", F.floor((F.col("_n") - 1) / piece_size))
+        .withColumn("_piece", F.explode(F.sequence(F.lit(0), F.col("_last").cast("int"))))
+        .withColumn(
+            "_times", F.least(piece_size, F.col("_n") - F.col("_piece") * piece_size).cast("int")
         )
+        .withColumn("part", F.pmod(F.xxhash64("_id", "_piece"), F.col("parts")).cast("int"))
+    )
+    ids = F.flatten(F.collect_list(F.array_repeat("_id", F.col("_times"))))
+    return pieces.groupBy(*keys, "part").agg(
+        *[F.max(name).alias(name) for name in kept],
+        F.array_join(F.array_sort(ids), ",").alias("transaction_ids"),
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from orderlens.operators.quantiles import exact_quantiles
 
-SPLITTERS = 200
+SPLITTERS = 64
 
 
 @dataclass(frozen=True)
@@ -68,7 +68,7 @@ def _value_edges(df: DataFrame, cut: Cut) -> Column:
 def _rank_bounds(df: DataFrame, cut: Cut) -> Column:
     """The rows at which the bins of a global ranking end, as a sorted scalar array.
 
-    Some hundred splitters (the rows with the smallest hash of their id: a fixed,
+    A few dozen splitters (the rows with the smallest hash of their id: a fixed,
     even choice) cut the order (value, tie) into buckets. Counting the buckets
     tells which of them hold a boundary rank, and only those are sorted.
     Splitters are data, not partition numbers, so recomputing a lost task gives

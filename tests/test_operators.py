@@ -264,6 +264,16 @@ def test_long_bulk_orders_keep_every_id(spark):
     assert (small.transaction_ids, small.parts, small.total_amount) == ("x,y", 1, 2.0)
 
 
+def test_an_id_that_repeats_is_listed_as_often_as_it_occurs(spark):
+    rows = spark.createDataFrame([("same", "hot", 1, 2.0)] * 530 + [("z", "hot", 1, 2.0)], DUPLICATE_ROWS)
+    found = duplicates.consolidate_bulk_orders(
+        rows, ["k", "final_amount"], row_id="id", ids_per_part=50
+    ).collect()
+    listed = ",".join(r.transaction_ids for r in found).split(",")
+    assert listed.count("same") == 530 and listed.count("z") == 1
+    assert len(found) > 1
+
+
 def test_price_outliers(spark):
     prices = [10.0, 11.0, 12.0, 13.0, 100.0]
     rows = [("s", "b", p) for p in prices] + [("s", "one", 5.0), ("s", "same", 7.0), ("s", "same", 7.0),
