@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks.registry import I, R, REV, add
+from checks.registry import I, R, add
 from orderlens.functions import bins, dates, delivery, payment, text
 from orderlens.operators import duplicates, outliers
 from orderlens.plans import cleaning

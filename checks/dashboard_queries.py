@@ -6,10 +6,8 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
-from checks.registry import (
-    CORR, DENSITY, DESCRIBE, DIV, HIST, I, MEAN, MONTH_NAME, QTY, R, REV, BOX, add, plain, add_tables,
-)
-from orderlens.functions import dates, numeric
+from checks.registry import BOX, DESCRIBE, DIV, HIST, I, MEAN, QTY, R, REV, add
+from orderlens.functions import dates
 from orderlens.operators import frames, histogram, qcut, quantiles, sequences
 from orderlens.plans import customers, dashboard, segments
 from orderlens.sources import profile, star
