@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from orderlens.llm import mixing, pii, secret_scan, topk, toxicity
+from orderlens.llm import decontamination, jaccard, mixing, pii, secret_scan, topk, toxicity
 from orderlens.llm.common import table
 
 
@@ -16,6 +16,12 @@ def op3_pii(spark, folder):
     return pii.scan(table(spark, folder, "documents"))
 
 
+def op4_decontamination(spark, folder):
+    return decontamination.overlaps(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    )
+
+
 def op5_topk(spark, folder):
     return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, 10)
 
@@ -30,11 +36,40 @@ def op9_mixing(spark, folder):
     )
 
 
+def op10_jaccard(spark, folder):
+    return jaccard.components(table(spark, folder, "documents"))
+
+
 QUERIES = {
-    f.__name__: f for f in (op1_toxicity, op3_pii, op5_topk, op8_secrets, op9_mixing)
-}
+    f.__name__: f
+    for f in (
+        op1_toxicity, op3_pii, op4_decontamination, op5_topk, op8_secrets, op9_mixing, op10_jaccard,
+    )
+}
 
 ORACLES = {
+    "op10_jaccard": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(words) < 5 THEN words ELSE words[i:i + 4] END AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM w
+        WHERE len(words) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), o AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+  FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (
+  SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE 100 * shared >= 80 * (x.n + y.n - shared)
+), r AS (
+  SELECT doc_id, doc_id AS seen FROM documents
+  UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.seen = l.a
+), c AS (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id)
+SELECT documents.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
+FROM documents JOIN c ON c.doc_id = documents.doc_id LEFT JOIN n ON n.doc_id = documents.doc_id
+""",
     "op5_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
