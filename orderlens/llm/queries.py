@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from orderlens.llm import decontamination, jaccard, mixing, pii, secret_scan, topk, toxicity
+from orderlens.llm import (
+    decontamination,
+    jaccard,
+    licenses,
+    line_dedup,
+    mixing,
+    pii,
+    secret_scan,
+    tokenids,
+    topk,
+    toxicity,
+)
 from orderlens.llm.common import table
 
 
@@ -12,6 +23,10 @@ def op1_toxicity(spark, folder):
     return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op2_licenses(spark, folder):
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 def op3_pii(spark, folder):
     return pii.scan(table(spark, folder, "documents"))
 
@@ -26,6 +41,17 @@ def op5_topk(spark, folder):
     return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, 10)
 
 
+def op6_token_ids(spark, folder):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return tokenids.read(tokenids.write(table(spark, folder, "documents"), path))
+
+
+def op7_line_dedup(spark, folder):
+    return line_dedup.deletions(table(spark, folder, "documents"))
+
+
 def op8_secrets(spark, folder):
     return secret_scan.scan(table(spark, folder, "documents"))
 
@@ -43,7 +69,8 @@ def op10_jaccard(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_toxicity, op3_pii, op4_decontamination, op5_topk, op8_secrets, op9_mixing, op10_jaccard,
+        op1_toxicity, op2_licenses, op3_pii, op4_decontamination, op5_topk, op6_token_ids,
+        op7_line_dedup, op8_secrets, op9_mixing, op10_jaccard,
     )
 }
 
