@@ -6,8 +6,9 @@ its halves, and equal runs get equal names, the place where the run first stands
 Runs that stand only once drop out at once, so later rounds work on repeated
 places alone, and rounds end with the longest repeated run. The names of one
 length are the intervals of the suffix array in which neighbours share at least
-that many lines; in between, runs of one and a half times the length are named
-too. A run whose first place is elsewhere is a later
+that many lines; in between, runs of 3, 5, 6 and 7 lines and then of one and a half
+times each length are named too, so a run of more than eight lines counts by runs
+of at least two thirds of it. A run whose first place is elsewhere is a later
 copy. Later copies with at least ``least_words`` words are deleted; overlapping
 ones are one maximal stretch. The first copy (by doc_id, then row, then line)
 always stays.
@@ -20,6 +21,8 @@ by a 64-bit hash and their length.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,16 +62,17 @@ def _named(places: DataFrame, *key: str) -> DataFrame:
     return found.drop("key")
 
 
-def _ahead(names: DataFrame, distance: int) -> DataFrame:
-    """Every place with the name and words of the run that begins ``distance`` lines on."""
-    other = names.select(
+def _joined(names: DataFrame, length: int, tail: DataFrame) -> DataFrame:
+    """The runs made of a named run of ``length`` lines and a named run right behind it."""
+    behind = tail.select(
         F.col("row").alias("_row"),
-        (F.col("line") - distance).alias("_line"),
+        (F.col("line") - length).alias("_line"),
         F.col("name").alias("_name"),
         F.col("words").alias("_words"),
     )
     same = (F.col("row") == F.col("_row")) & (F.col("line") == F.col("_line"))
-    return names.join(other, same).drop("_row", "_line")
+    runs = names.join(behind, same).withColumn("words", F.col("words") + F.col("_words"))
+    return stage(_named(runs, "name", "_name"))
 
 
 def _later(names: DataFrame, length: int, least_words: int) -> DataFrame:
@@ -85,31 +89,16 @@ def repeated_runs(numbered: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
 
     ``numbered`` has doc_id, row (unique) and text.
     """
-    names = half = stage(_named(lines(numbered), "id"))
-    found = stage(_later(names, 1, least_words))
+    named = {1: stage(_named(lines(numbered), "id"))}
     length = 1
-    while True:
-        pairs = _ahead(names, length)
-        double = pairs.withColumn("words", F.col("words") + F.col("_words"))
-        double = stage(_named(double, "name", "_name"))
-        if length > 1:
-            # One and a half lengths: this run and half a run behind it.
-            tail = half.select(
-                F.col("row").alias("_row"),
-                (F.col("line") - length).alias("_line"),
-                F.col("name").alias("_name"),
-                F.col("words").alias("_words"),
-            )
-            same = (F.col("row") == F.col("_row")) & (F.col("line") == F.col("_line"))
-            between = names.join(tail, same).withColumn("words", F.col("words") + F.col("_words"))
-            between = _named(between, "name", "_name")
-            found = found.unionAll(
-                stage(_later(between, length + length // 2, least_words))
-            )
-        if double.isEmpty():
-            break
-        half, names, length = names, double, 2 * length
-        found = found.unionAll(stage(_later(names, length, least_words)))
+    while not named[length].isEmpty():
+        # Between powers of two: 3, 5, 6, 7, then half as much again.
+        between = {1: (), 2: (1,), 4: (1, 2, 3)}.get(length, (length // 2,))
+        for extra in between:
+            named[length + extra] = _joined(named[length], length, named[extra])
+        named[2 * length] = _joined(named[length], length, named[length])
+        length *= 2
+    found = reduce(DataFrame.unionAll, [_later(n, size, least_words) for size, n in named.items()])
     return _merged(found)
 
 
