@@ -220,8 +220,7 @@ add("duplicate_class_counts", DUPLICATE_COLUMNS,
 WITH {COPIES} SELECT duplicate_type, count(*) AS "rows",
   count(*) FILTER (is_duplicate) AS duplicates FROM t GROUP BY 1""")
 add("consolidated_bulk_orders", DUPLICATE_COLUMNS,
-    lambda sales: duplicates.consolidate_bulk_orders(with_copies(sales), row_id="row_id").drop(
-        "parts", "part"), f"""
+    lambda sales: duplicates.consolidate_bulk_orders(with_copies(sales), row_id="row_id"), f"""
 WITH {COPIES} SELECT order_date, {I('customer_id')} AS customer_id,
   {I('product_id')} AS product_id, CAST(original_price AS DOUBLE) AS original_price,
   CAST(discounted_price AS DOUBLE) AS discounted_price,
@@ -231,6 +230,26 @@ WITH {COPIES} SELECT order_date, {I('customer_id')} AS customer_id,
 FROM t WHERE duplicate_type = 'bulk_order' GROUP BY t.order_date, t.customer_id, t.product_id,
   t.original_price, t.discounted_price, t.final_amount""")
 
+add("bulk_order_totals", DUPLICATE_COLUMNS,
+    lambda sales: duplicates.bulk_order_totals(
+        with_copies(sales).withColumn("subtotal", F.col("original_price") * F.col("quantity")),
+        row_id="row_id", totals=["subtotal"]), f"""
+WITH {COPIES} SELECT order_date, {I('customer_id')} AS customer_id,
+  {I('product_id')} AS product_id, CAST(original_price AS DOUBLE) AS original_price,
+  CAST(discounted_price AS DOUBLE) AS discounted_price,
+  CAST(final_amount AS DOUBLE) AS final_amount, count(*) AS copies,
+  {I('sum(quantity)')} AS total_quantity, CAST(sum(t.final_amount) AS DOUBLE) AS total_amount,
+  CAST(sum(t.original_price * quantity) AS DOUBLE) AS total_subtotal
+FROM t WHERE duplicate_type = 'bulk_order' GROUP BY t.order_date, t.customer_id, t.product_id,
+  t.original_price, t.discounted_price, t.final_amount""")
+add("bulk_order_members", DUPLICATE_COLUMNS,
+    lambda sales: duplicates.bulk_order_members(with_copies(sales), row_id="row_id"), f"""
+WITH {COPIES} SELECT order_date, {I('customer_id')} AS customer_id,
+  {I('product_id')} AS product_id, CAST(original_price AS DOUBLE) AS original_price,
+  CAST(discounted_price AS DOUBLE) AS discounted_price,
+  CAST(final_amount AS DOUBLE) AS final_amount, row_id
+FROM t WHERE duplicate_type = 'bulk_order'""")
+
 # ---- Outliers ----------------------------------------------------------------------------------------
 OUTLIER_COLUMNS = "transaction_id l_linenumber subcategory brand original_price"
 PRICE = "CAST(original_price AS DOUBLE)"
@@ -280,8 +299,9 @@ RAW_SOURCE = (
 def raw_text(sales: DataFrame) -> DataFrame:
     """Order lines as a raw file would hold them: everything is text, spelled in several ways."""
     as_text = lambda name: F.col(name).cast("string").alias(name)
-    return sales.select(
-        F.concat_ws("-", "transaction_id", "l_linenumber", "l_suppkey").alias("transaction_id"),
+    text = sales.select(
+        "row_id" if "row_id" in sales.columns
+        else F.concat_ws("-", "transaction_id", "l_linenumber", "l_suppkey").alias("row_id"),
         date_text().alias("order_date"),
         as_text("customer_id"),
         as_text("product_id"),
@@ -305,34 +325,81 @@ def raw_text(sales: DataFrame) -> DataFrame:
         as_text("product_rating"),
         "return_status",
     )
+    return text.withColumnRenamed("row_id", "transaction_id")
+
+
+def dirty_text(sales: DataFrame) -> DataFrame:
+    """Raw text with raised prices, repeated rows, and amounts that carry signs and exponents."""
+    price = F.col("original_price")
+    higher = F.when(F.col("l_linenumber") == 7, price * 10).otherwise(price)
+    raw = raw_text(with_copies(sales.withColumn("original_price", higher.cast("decimal(18,2)"))))
+    amount, number = F.col("final_amount_inr"), F.col("product_id").cast("int")
+    written = F.when(number % 5 == 1, F.concat(F.lit("-"), amount)).when(
+        number % 5 == 2, F.concat(F.lit(" "), amount, F.lit("e0 "))
+    )
+    return raw.withColumn("final_amount_inr", F.coalesce(written, amount)).withColumn(
+        "quantity", F.when(number % 40 == 3, "Infinity").otherwise(F.col("quantity"))
+    )
 
 
 add("clean_sales_summary", RAW_SOURCE,
-    lambda sales: cleaning.clean_sales(raw_text(sales)).groupBy(
+    lambda sales: cleaning.clean_sales(dirty_text(sales)).groupBy(
         "order_year", "customer_age_group", "payment_method").agg(
         F.count(F.lit(1)).alias("rows"),
         F.count("original_price").alias("priced"),
         F.sum("original_price").alias("price_total"),
+        F.sum(F.signum(F.col("final_amount").cast("double"))).alias("signs"),
+        F.count("quantity").alias("counted"),
         F.count_if("is_prime_member").alias("members"),
         F.sum("delivery_days").alias("days"),
         F.sum("customer_rating").alias("rating_total"),
         F.count_if("is_duplicate").alias("duplicates"),
-        F.count_if("price_outlier_iqr").alias("iqr_outliers")), f"""
-WITH p AS (SELECT *, CASE WHEN product_id % 4 <> 3 THEN CAST(original_price AS DOUBLE) END AS p,
-    CASE WHEN product_id % 4 <> 3 THEN order_date END AS d FROM sales),
-  q AS (SELECT subcategory, brand, quantile_cont(p, 0.25) AS q1, quantile_cont(p, 0.75) AS q3
-        FROM p GROUP BY 1, 2),
-  c AS (SELECT *, count(*) OVER (PARTITION BY d, customer_id, product_id, p, round(discounted_price,
-          2), round(final_amount, 2)) > 1 AS dup FROM p JOIN q USING (subcategory, brand))
+        F.count_if(F.col("duplicate_type") == "bulk_order").alias("bulk_orders"),
+        F.count_if(F.col("duplicate_type") == "error_duplicate").alias("error_duplicates"),
+        F.count_if("price_outlier_iqr").alias("iqr_outliers"),
+        F.count_if("price_outlier_3_sigma").alias("sigma_outliers"),
+        F.count_if(F.col("customer_city") == "Mumbai").alias("mumbai"),
+        F.count_if(F.col("category") == "Electronics").alias("electronics"),
+        F.count_if(F.col("return_status") == "Returned").alias("returned")), f"""
+WITH o AS (SELECT *, transaction_id || '-' || l_linenumber || '-' || l_suppkey AS row_id,
+    CAST(CASE WHEN l_linenumber = 7 THEN original_price * 10 ELSE original_price END
+      AS DECIMAL(18,2)) AS price FROM sales),
+  e AS (SELECT o.* REPLACE (CASE WHEN copy = 1 AND product_id % 100 = 0 THEN quantity + 1
+      ELSE quantity END AS quantity, CASE WHEN copy = 1 THEN row_id || '-dup' ELSE row_id END
+      AS row_id) FROM o CROSS JOIN (VALUES (0), (1)) v(copy)
+      WHERE copy = 0 OR product_id % 50 = 0),
+  p AS (SELECT * REPLACE (CASE WHEN product_id % 40 <> 3 THEN quantity END AS quantity),
+      CASE WHEN product_id % 4 <> 3 THEN price END AS p,
+      CASE WHEN product_id % 4 <> 3 THEN order_date END AS d,
+      CASE WHEN product_id % 5 = 1 THEN -1 ELSE 1 END * round_even(final_amount, 2) AS f,
+      round_even(discounted_price, 2) AS c FROM e),
+  q AS (SELECT subcategory, brand, quantile_cont(CAST(p AS DOUBLE), 0.25) AS q1,
+      quantile_cont(CAST(p AS DOUBLE), 0.75) AS q3, avg(CAST(p AS DOUBLE)) AS m,
+      stddev_samp(CAST(p AS DOUBLE)) AS s FROM p GROUP BY 1, 2),
+  k AS (SELECT *, count(*) OVER g AS n, CAST(sum(quantity) OVER g AS DOUBLE) AS tq,
+      CAST(sum(f) OVER g AS DOUBLE) AS ta, first_value(quantity) OVER h AS q0,
+      first_value(CAST(f AS DOUBLE)) OVER h AS f0
+    FROM p JOIN q USING (subcategory, brand)
+    WINDOW g AS (PARTITION BY d, customer_id, product_id, p, c, f),
+      h AS (PARTITION BY d, customer_id, product_id, p, c, f ORDER BY row_id)),
+  t AS (SELECT *, CASE WHEN n = 1 OR d IS NULL OR p IS NULL OR c IS NULL OR f IS NULL THEN 'normal'
+      WHEN q0 <> 0 AND abs(tq * (f0 / q0) - ta) < 0.01 THEN 'bulk_order'
+      ELSE 'error_duplicate' END AS kind FROM k)
 SELECT {I('year(d)')} AS order_year,
   CASE WHEN product_id % 9 <> 0 THEN customer_age_group ELSE '26-35' END AS customer_age_group,
   CASE WHEN product_id % 7 <> 6 THEN payment_method END AS payment_method, count(*) AS "rows",
-  count(p) AS priced, CAST(sum(CASE WHEN product_id % 4 <> 3 THEN original_price END) AS DOUBLE)
-    AS price_total,
-  count(*) FILTER (is_prime_member) AS members, {R('sum(delivery_days)')} AS days,
-  {R('sum(customer_rating)')} AS rating_total, count(*) FILTER (dup) AS duplicates,
-  count(*) FILTER (p < q1 - 1.5 * (q3 - q1) OR p > q3 + 1.5 * (q3 - q1)) AS iqr_outliers
-FROM c GROUP BY 1, 2, 3""")
+  count(p) AS priced, CAST(sum(p) AS DOUBLE) AS price_total,
+  CAST(sum(CASE WHEN f > 0 THEN 1 WHEN f < 0 THEN -1 ELSE 0 END) AS DOUBLE) AS signs,
+  count(quantity) AS counted, count(*) FILTER (is_prime_member) AS members,
+  {R('sum(delivery_days)')} AS days, {R('sum(customer_rating)')} AS rating_total,
+  count(*) FILTER (n > 1) AS duplicates, count(*) FILTER (kind = 'bulk_order') AS bulk_orders,
+  count(*) FILTER (kind = 'error_duplicate') AS error_duplicates,
+  count(*) FILTER (p < q1 - 1.5 * (q3 - q1) OR p > q3 + 1.5 * (q3 - q1)) AS iqr_outliers,
+  count(*) FILTER (s > 0 AND (p < m - 3 * s OR p > m + 3 * s)) AS sigma_outliers,
+  count(*) FILTER (product_id % 8 = 0) AS mumbai,
+  count(*) FILTER (product_id % 5 < 2) AS electronics,
+  count(*) FILTER (return_status = 'Returned') AS returned
+FROM t GROUP BY 1, 2, 3""")
 add("clean_sales_final_fills", RAW_SOURCE,
     lambda sales: cleaning.fill_missing(cleaning.type_columns(raw_text(sales)), final=True).groupBy(
         "payment_method").agg(F.count(F.lit(1)).alias("rows"),

@@ -68,7 +68,7 @@ def compare(spark, con, query, sql: str, folder: str) -> tuple[bool, str]:
 
 def main(arguments: list[str]) -> int:
     from checks.registry import ORACLES, QUERIES
-    from checks import cleaning_queries, dashboard_queries, report_queries  # noqa: F401
+    from checks import cleaning_queries, dashboard_queries, file_queries, report_queries  # noqa: F401
     from orderlens import build_session
 
     folder = "/root/testdata/sf0.001"

@@ -6,7 +6,7 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
-from checks.registry import BOX, DESCRIBE, DIV, HIST, I, MEAN, QTY, R, REV, add
+from checks.registry import BOX, DESCRIBE, DIV, HIST, MEAN, QTY, REV, D, I, R, add
 from orderlens.functions import dates
 from orderlens.operators import frames, histogram, qcut, quantiles, sequences
 from orderlens.plans import customers, dashboard, segments
@@ -119,6 +119,12 @@ add("rfm_dashboard_top20", RFM_COLUMNS,
 KPI = f"""SELECT count(*) AS orders, CAST(coalesce(sum(final_amount), 0) AS DOUBLE) AS revenue,
   {R(f"coalesce({DIV('sum(final_amount)', 'count(*)')}, 0)")} AS average_order_value FROM sales"""
 add("kpis_all", "final_amount", dashboard.kpis, KPI)
+add("kpis_by_amounts", "discounted_price",
+    lambda sales: dashboard.kpis(
+        sales.withColumnRenamed("discounted_price", "final_amount"), value_over="amounts"), f"""
+SELECT count(*) AS orders, {D('sum(discounted_price)')} AS revenue,
+  {R(f"coalesce({DIV('sum(discounted_price)', 'count(discounted_price)')}, 0)")}
+    AS average_order_value FROM sales""")
 add("kpis_date_range", "order_date order_year final_amount",
     partial(dashboard.kpis, start="1996-02-10", end="1998-11-30"),
     KPI + " WHERE order_date BETWEEN DATE '1996-02-10' AND DATE '1998-11-30'")
@@ -274,11 +280,10 @@ add("distinct_customer_categories", "customer_id subcategory",
 SELECT subcategory, count(*) AS customers
 FROM (SELECT DISTINCT customer_id, subcategory FROM sales) GROUP BY 1""")
 add("union_of_years", "order_year transaction_id final_amount",
-    lambda sales: frames.between_years(sales, 1995, 1996).unionByName(
-        frames.between_years(sales, 1999, 2001)).groupBy("order_year").agg(
+    lambda sales: sales.where("order_year < 1997").unionByName(
+        sales.where("order_year >= 1997")).groupBy("order_year").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("final_amount").alias("revenue")), f"""
 SELECT {I('order_year')} AS order_year, count(*) AS "rows", {REV} FROM sales
-WHERE order_year BETWEEN 1995 AND 1996 OR order_year BETWEEN 1999 AND 2001
 GROUP BY order_year""")
 add("loyal_customer_revenue", "customer_id customer_tier final_amount",
     lambda sales: sales.join(

@@ -16,7 +16,6 @@ from orderlens.plans import (
 from orderlens.sources.star import ROW_ORDER
 
 FIRST, LAST = 1995, 2001  # the years the given tables cover
-NOUNS = ["anvil", "bolt", "gear", "gizmo", "plate", "ring", "rod", "widget"]
 ROWS_IN_ORDER = " ".join(ROW_ORDER)
 ORDER_SQL = ", ".join(ROW_ORDER)
 
@@ -275,14 +274,13 @@ for matrix, cell in (
     ("market_share", "CAST(q AS DOUBLE) / CAST(whole AS DOUBLE)"),
     ("average_price", "average_price"),
 ):
-    columns = ", ".join(
-        R(f"coalesce(sum(CASE WHEN subcategory = '{noun}' THEN {cell} END), 0)", 8) + f" AS {noun}"
-        for noun in NOUNS
-    )
     add(f"brand_matrix_{matrix}", "subcategory brand quantity final_amount",
-        partial(pricing.brand_matrix, value=matrix, subcategories=NOUNS), f"""
-WITH {POSITION} SELECT brand, {columns} FROM p GROUP BY brand""",
-        digits=dict.fromkeys(NOUNS, 8))
+        partial(pricing.brand_matrix, value=matrix), f"""
+WITH {POSITION}, c AS (SELECT brand, subcategory, {cell} AS v FROM p)
+SELECT brand, subcategory, {R('coalesce(v, 0)', 8)} AS {matrix}
+FROM (SELECT DISTINCT brand FROM c) CROSS JOIN (SELECT DISTINCT subcategory FROM c)
+  LEFT JOIN c USING (brand, subcategory)""",
+        digits={matrix: 8})
 
 # ---- Delivery and returns ---------------------------------------------------------------------------
 RATED = """(SELECT * FROM sales WHERE delivery_days IS NOT NULL AND customer_rating IS NOT NULL)"""
@@ -427,13 +425,11 @@ JOURNEY = f"customer_id subcategory {ROWS_IN_ORDER}"
 add("category_transitions", JOURNEY,
     partial(journeys.category_transitions, order=ROW_ORDER), f"""
 WITH {PAIRS} SELECT previous, following, n AS count, {R('p')} AS probability FROM p""")
-PAIR_CELLS = ", ".join(
-    R(f"coalesce(sum(CASE WHEN following = '{noun}' THEN p END), 0)") + f" AS {noun}"
-    for noun in NOUNS
-)
 add("transition_matrix", JOURNEY,
-    partial(journeys.transition_matrix, subcategories=NOUNS, order=ROW_ORDER), f"""
-WITH {PAIRS} SELECT previous, {PAIR_CELLS} FROM p GROUP BY previous""")
+    partial(journeys.transition_matrix, order=ROW_ORDER), f"""
+WITH {PAIRS} SELECT previous, following, {R('coalesce(p, 0)')} AS probability
+FROM (SELECT DISTINCT previous FROM p) CROSS JOIN (SELECT DISTINCT following FROM p)
+  LEFT JOIN p USING (previous, following)""")
 JOURNEYS = f"""n AS (SELECT customer_id, subcategory,
     row_number() OVER (PARTITION BY customer_id ORDER BY {ORDER_SQL}) AS k,
     count(*) OVER (PARTITION BY customer_id) AS c FROM sales),
@@ -443,10 +439,12 @@ JOURNEYS = f"""n AS (SELECT customer_id, subcategory,
 add("customer_journeys", JOURNEY, partial(journeys.customer_journeys, order=ROW_ORDER), f"""
 WITH {JOURNEYS} SELECT customer_status, first_category, last_category, count(*) AS count
 FROM j GROUP BY 1, 2, 3""")
-JOURNEY_CELLS = ", ".join(f"count(*) FILTER (last_category = '{noun}') AS {noun}" for noun in NOUNS)
 add("journey_matrix", JOURNEY,
-    partial(journeys.journey_matrix, subcategories=NOUNS, order=ROW_ORDER), f"""
-WITH {JOURNEYS} SELECT first_category, {JOURNEY_CELLS} FROM j GROUP BY 1""")
+    partial(journeys.journey_matrix, order=ROW_ORDER), f"""
+WITH {JOURNEYS}, c AS (SELECT first_category, last_category, count(*) AS n FROM j GROUP BY ALL)
+SELECT first_category, last_category, coalesce(n, 0) AS count
+FROM (SELECT DISTINCT first_category FROM c) CROSS JOIN (SELECT DISTINCT last_category FROM c)
+  LEFT JOIN c USING (first_category, last_category)""")
 add("first_category_counts", JOURNEY,
     partial(journeys.first_category_counts, order=ROW_ORDER), f"""
 WITH {JOURNEYS} SELECT customer_status, first_category, count(*) AS count

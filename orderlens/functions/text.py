@@ -74,7 +74,12 @@ def _first_match(text: Column, pattern: str) -> Column:
 def clean_price(text: Column, target: str = "decimal(18,2)") -> Column:
     """First number in the text without thousands commas, rounded half-even to 2 digits."""
     digits = F.regexp_replace(_first_match(text, PRICE_PATTERN), ",", "")
-    return F.bround(digits.try_cast("decimal(24,6)"), 2).cast(target)
+    return F.bround(digits.try_cast("decimal(24,6)"), 2).try_cast(target)
+
+
+def plain_amount(text: Column, target: str = "decimal(18,2)") -> Column:
+    """A written number, sign and exponent included, rounded half-even to 2 digits, else NULL."""
+    return F.bround(F.trim(text.cast("string")).try_cast("decimal(24,6)"), 2).try_cast(target)
 
 
 def plain_price(text: Column) -> Column:

@@ -21,7 +21,6 @@ DUPLICATE_KEYS = (
 BULK_ORDER, ERROR_DUPLICATE, NORMAL = "bulk_order", "error_duplicate", "normal"
 TOLERANCE = 0.01
 # -------------------------------------------------------------------------------------
-IDS_PER_PART = 10_000
 
 
 def duplicate_groups(
@@ -77,42 +76,41 @@ def classify_duplicates(df: DataFrame, keys: Sequence[str] = DUPLICATE_KEYS, **n
     return attach_classes(df, duplicate_groups(df, keys, **names), keys)
 
 
+def bulk_order_totals(
+    df: DataFrame,
+    keys: Sequence[str] = DUPLICATE_KEYS,
+    row_id: str = "transaction_id",
+    totals: Sequence[str] = (),
+) -> DataFrame:
+    """One row per bulk order with its totals, however many rows it has."""
+    groups = duplicate_groups(df, keys, row_id=row_id, totals=totals)
+    return groups.where(F.col("duplicate_type") == BULK_ORDER).drop("duplicate_type")
+
+
+def bulk_order_members(
+    df: DataFrame, keys: Sequence[str] = DUPLICATE_KEYS, row_id: str = "transaction_id"
+) -> DataFrame:
+    """Long form: the keys of every bulk order with each of its row ids, one per row."""
+    orders = bulk_order_totals(df, keys, row_id).select(*keys, "copies")
+    marked = orders.withColumn("_bulk", F.lit(True))
+    rows = attach(df.select(*keys, row_id), marked, keys, "copies")
+    return rows.where("_bulk").drop("_bulk")
+
+
 def consolidate_bulk_orders(
     df: DataFrame,
     keys: Sequence[str] = DUPLICATE_KEYS,
     row_id: str = "transaction_id",
     totals: Sequence[str] = (),
-    ids_per_part: int = IDS_PER_PART,
 ) -> DataFrame:
-    """One row per bulk order with its totals and the list of its transaction ids.
+    """One row per bulk order with its totals and its row ids as one text, always.
 
-    An order with more than ``ids_per_part`` rows cannot keep all ids in one text
-    value; its ids are spread over ``parts`` rows (``part`` = 0..parts-1), each with
-    the totals of the whole order. No id is left out.
+    The text grows with the order; where orders may be huge, use
+    ``bulk_order_totals`` and ``bulk_order_members`` instead.
     """
-    groups = duplicate_groups(df, keys, row_id=row_id, totals=totals).where(
-        F.col("duplicate_type") == BULK_ORDER
-    )
-    kept = ["total_quantity", "total_amount", *[f"total_{t}" for t in totals], "parts"]
-    parts = F.ceil(F.col("copies") / F.lit(ids_per_part)).cast("int").alias("parts")
-    groups = groups.select("*", parts).select(*keys, "copies", *kept)
-    members = attach(
-        df.select(*keys, F.col(row_id).cast("string").alias("_id")), groups, keys, "copies"
-    ).where(F.col("parts").isNotNull())
-    # An id may itself occur very often; it is counted first and then listed in pieces.
-    piece_size = F.lit(ids_per_part)
-    pieces = (
-        members.groupBy(*keys, *kept, "_id")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_last", F.floor((F.col("_n") - 1) / piece_size))
-        .withColumn("_piece", F.explode(F.sequence(F.lit(0), F.col("_last").cast("int"))))
-        .withColumn(
-            "_times", F.least(piece_size, F.col("_n") - F.col("_piece") * piece_size).cast("int")
-        )
-        .withColumn("part", F.pmod(F.xxhash64("_id", "_piece"), F.col("parts")).cast("int"))
-    )
-    ids = F.flatten(F.collect_list(F.array_repeat("_id", F.col("_times"))))
-    return pieces.groupBy(*keys, "part").agg(
-        *[F.max(name).alias(name) for name in kept],
-        F.array_join(F.array_sort(ids), ",").alias("transaction_ids"),
+    orders = bulk_order_totals(df, keys, row_id, totals).drop("copies")
+    ids = F.array_sort(F.collect_list(F.col(row_id).cast("string")))
+    members = bulk_order_members(df, keys, row_id).groupBy(*keys).agg(
+        F.array_join(ids, ",").alias("transaction_ids")
     )
+    return orders.join(members, list(keys))

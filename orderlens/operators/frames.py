@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.functions.numeric import as_column
+from orderlens.operators.settle import settle
+
+# A table wider than this is refused rather than cut.
+MOST_COLUMNS = 2000
 
 # Column names a dataset may use for the same thing, best first.
 CANDIDATES: Mapping[str, tuple[str, ...]] = {
@@ -64,7 +68,12 @@ def between_dates(df: DataFrame, start, end, date: str = "order_date") -> DataFr
 
 
 def between_years(df: DataFrame, first: int, last: int, year: str = "order_year") -> DataFrame:
-    return df.where(F.col(year).between(first, last))
+    """Inclusive range of years, also stated in days where the table has ``order_date``."""
+    kept = df.where(F.col(year).between(first, last))
+    if year == "order_year" and "order_date" in df.columns:
+        start, after = (F.lit(f"{y:04d}-01-01").cast("date") for y in (first, last + 1))
+        kept = kept.where((F.col("order_date") >= start) & (F.col("order_date") < after))
+    return kept
 
 
 def top_rows(df: DataFrame, n: int, value: str, *ties: str) -> DataFrame:
@@ -99,11 +108,18 @@ def to_wide(
     index: str,
     header: str,
     value: str,
-    headers: Sequence,
+    headers: Sequence | None = None,
     prefix: str = "",
     fill: float | None = None,
 ) -> DataFrame:
-    """Long to wide for header values known beforehand (no extra pass to find them)."""
+    """Long to wide. ``headers`` lists values fixed by their meaning (months); else all values
+    of the (already grouped) table become columns, found in a pass over it, in sorted order."""
+    if headers is None:
+        long = settle(long.select(index, header, value))
+        found = long.select(header).distinct().where(F.col(header).isNotNull())
+        headers = [row[0] for row in found.orderBy(header).limit(MOST_COLUMNS + 1).collect()]
+        if len(headers) > MOST_COLUMNS:
+            raise ValueError(f"more than {MOST_COLUMNS} columns; use matrix_cells")
     cells = []
     for name in headers:
         cell = F.sum(F.when(F.col(header) == F.lit(name), F.col(value)))
@@ -136,6 +152,14 @@ def complete_grid(
     )
 
 
+def matrix_cells(
+    totals: DataFrame, index: str, header: str, value: str, fill: object
+) -> DataFrame:
+    """All cells of a matrix in long form, absent ones filled; ``totals`` is already grouped."""
+    kept = settle(with_keys(totals, index, header).select(index, header, value))
+    return complete_grid(kept, index, header, observed_values(kept, header), {value: fill})
+
+
 def observed_values(df: DataFrame, column: str) -> Column:
     """Sorted array of the values present, as a scalar subquery.
 

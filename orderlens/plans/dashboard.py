@@ -27,13 +27,19 @@ DELIVERY_LIMITS = (1, 2, 3)
 UNKNOWN_STATUS = "unknown"
 
 
-def kpis(sales: DataFrame, start=None, end=None) -> DataFrame:
-    """Rows, revenue and mean order value (0 when there are no rows) in a date range."""
+def kpis(sales: DataFrame, start=None, end=None, value_over: str = "rows") -> DataFrame:
+    """Rows, revenue and mean order value (0 when there are no rows) in a date range.
+
+    ``value_over``: 'rows' divides by all rows, 'amounts' by those that have an amount.
+    """
     if start is not None:
         sales = between_dates(sales, start, end)
-    counted = sales.agg(F.count(F.lit(1)).alias("orders"), total("final_amount").alias("revenue"))
-    value = F.coalesce(ratio(F.col("revenue"), F.col("orders")), F.lit(0.0))
-    return counted.withColumn("average_order_value", value)
+    over = {"rows": F.count(F.lit(1)), "amounts": F.count("final_amount")}[value_over]
+    counted = sales.agg(
+        F.count(F.lit(1)).alias("orders"), total("final_amount").alias("revenue"), over.alias("_over")
+    )
+    value = F.coalesce(ratio(F.col("revenue"), F.col("_over")), F.lit(0.0))
+    return counted.withColumn("average_order_value", value).drop("_over")
 
 
 def trend(sales: DataFrame, period: str = "M") -> DataFrame:

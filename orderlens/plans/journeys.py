@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.functions.numeric import share
-from orderlens.operators.frames import to_wide
+from orderlens.operators.frames import matrix_cells
 from orderlens.operators.histogram import density, histogram
 from orderlens.operators.sequences import day_gaps, first_and_last, transitions
 
@@ -37,12 +37,10 @@ def category_transitions(sales: DataFrame, order: Sequence[str] = ROW_ORDER) ->
     return counts.withColumn("probability", share(F.col("count"), "previous"))
 
 
-def transition_matrix(
-    sales: DataFrame, subcategories: Sequence[str], order: Sequence[str] = ROW_ORDER
-) -> DataFrame:
-    """Probabilities as a matrix, 0 where a change never happens."""
+def transition_matrix(sales: DataFrame, order: Sequence[str] = ROW_ORDER) -> DataFrame:
+    """Probabilities of all pairs of subcategories, 0 where a change never happens."""
     long = category_transitions(sales, order)
-    return to_wide(long, "previous", "following", "probability", subcategories, "", 0.0)
+    return matrix_cells(long, "previous", "following", "probability", 0.0)
 
 
 def customer_journeys(sales: DataFrame, order: Sequence[str] = ROW_ORDER) -> DataFrame:
@@ -60,11 +58,11 @@ def customer_journeys(sales: DataFrame, order: Sequence[str] = ROW_ORDER) -> Dat
     )
 
 
-def journey_matrix(
-    sales: DataFrame, subcategories: Sequence[str], order: Sequence[str] = ROW_ORDER
-) -> DataFrame:
+def journey_matrix(sales: DataFrame, order: Sequence[str] = ROW_ORDER) -> DataFrame:
+    """Customers per pair of first and last subcategory, 0 where there are none."""
     journeys = customer_journeys(sales, order)
-    return to_wide(journeys, "first_category", "last_category", "count", subcategories, "", 0)
+    counts = journeys.groupBy("first_category", "last_category").agg(F.sum("count").alias("count"))
+    return matrix_cells(counts, "first_category", "last_category", "count", 0)
 
 
 def first_category_counts(sales: DataFrame, order: Sequence[str] = ROW_ORDER) -> DataFrame:

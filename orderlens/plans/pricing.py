@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from orderlens.functions.bins import DISCOUNT_LABELS, discount_bin
 from orderlens.functions.dates import month_start
 from orderlens.functions.numeric import mean, share, total
-from orderlens.operators.frames import complete_grid, to_wide, with_keys
+from orderlens.operators.frames import complete_grid, matrix_cells, with_keys
 from orderlens.operators.histogram import histogram
 from orderlens.operators.quantiles import box_stats, trim_above
 from orderlens.operators.statistics import correlation_matrix
@@ -123,6 +123,7 @@ def brand_position(sales: DataFrame) -> DataFrame:
     )
 
 
-def brand_matrix(sales: DataFrame, value: str, subcategories: list[str]) -> DataFrame:
-    """Brand by subcategory, 0 where a brand is absent; ``value``: market_share or average_price."""
-    return to_wide(brand_position(sales), "brand", "subcategory", value, subcategories, "", 0.0)
+def brand_matrix(sales: DataFrame, value: str) -> DataFrame:
+    """Every brand in every subcategory, 0 where a brand is absent; ``value``: market_share or
+    average_price."""
+    return matrix_cells(brand_position(sales), "brand", "subcategory", value, 0.0)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderlens.sources.schema import MISSING_TOKENS
+from orderlens.sources.schema import MISSING_TOKENS, without_nan
 
 CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
 YEARLY_FILES = "*20*.csv"  # fixed value: file names that hold a year
@@ -51,12 +51,16 @@ def read_yearly_csv(
     if schema is not None:
         reader = spark.read.options(**CSV_OPTIONS, pathGlobFilter=YEARLY_FILES).schema(schema)
         return blank_to_null(reader.csv(folder))
-    listing = (
-        spark.read.format("binaryFile").option("pathGlobFilter", YEARLY_FILES).load(folder)
-    ).select("path")
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for (path,) in sorted(listing.toLocalIterator()):
-        header = tuple(spark.read.options(**CSV_OPTIONS).csv(path).columns)
+    # The first line of every file, in one distributed job; one row per file comes back.
+    lines = spark.read.option("pathGlobFilter", YEARLY_FILES).text(folder)
+    starts = lines.select("value", "_metadata.file_path", "_metadata.file_block_start").where(
+        "file_block_start = 0"
+    )
+    first = starts.withColumn("line", F.monotonically_increasing_id()).groupBy("file_path").agg(
+        F.min_by("value", "line").alias("header")
+    )
+    by_header: dict[str, list[str]] = {}
+    for path, header in sorted(first.toLocalIterator()):
         by_header.setdefault(header, []).append(path)
     if not by_header:
         raise FileNotFoundError(f"no file matching {YEARLY_FILES} in {folder}")
@@ -69,7 +73,7 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sales(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return without_nan(spark.read.parquet(path))
 
 
 def write_sales(df: DataFrame, path: str, fmt: str = "parquet") -> None:

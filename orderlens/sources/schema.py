@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orderlens.functions.numeric import nan_to_null
+
 # ---- Fixed values: column names of the raw files --------------------------------------
 RAW_COLUMNS = (
     "transaction_id",
@@ -111,7 +113,19 @@ def from_cleaned_names(df: DataFrame) -> DataFrame:
             kind = SALES_TYPES.get(target)
             column = F.col(name)
             chosen.append((column.try_cast(kind) if kind else column).alias(target))
-    return df.select(*chosen)
+    return without_nan(df.select(*chosen))
+
+
+def without_nan(df: DataFrame) -> DataFrame:
+    """NaN in double columns means "missing": it would spoil means and compare as the largest."""
+    return df.select(
+        *[
+            nan_to_null(F.col(f.name)).alias(f.name)
+            if isinstance(f.dataType, (T.DoubleType, T.FloatType))
+            else F.col(f.name)
+            for f in df.schema.fields
+        ]
+    )
 
 
 def dashboard_view(sales: DataFrame) -> DataFrame:

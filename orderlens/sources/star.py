@@ -93,8 +93,17 @@ ROW_ORDER = (
 )
 
 
-def sales(spark: SparkSession, folder: str, columns: Iterable[str] | None = None) -> DataFrame:
-    """Order lines with the ``sales`` columns asked for (all by default)."""
+def sales(
+    spark: SparkSession,
+    folder: str,
+    columns: Iterable[str] | None = None,
+    years: tuple[int, int] | None = None,
+) -> DataFrame:
+    """Order lines with the ``sales`` columns asked for (all by default).
+
+    ``years`` (first, last) is stated on the stored order date, so that it reaches
+    the scan of the orders and skips what lies outside.
+    """
     wanted = list(dict.fromkeys(DEFINITIONS if columns is None else columns))
     tables = frozenset().union(*[DEFINITIONS[name][0] for name in wanted])
 
@@ -102,8 +111,12 @@ def sales(spark: SparkSession, folder: str, columns: Iterable[str] | None = None
         return spark.read.parquet(f"{folder}/{name}.parquet")
 
     lines = table("lineitem")
-    if "orders" in tables:
-        lines = lines.join(table("orders"), F.expr("l_orderkey = o_orderkey"))
+    if "orders" in tables or years is not None:
+        orders = table("orders")
+        if years is not None:
+            first, after = (F.lit(f"{year}-01-01").cast("timestamp") for year in (years[0], years[1] + 1))
+            orders = orders.where((F.col("o_orderdate") >= first) & (F.col("o_orderdate") < after))
+        lines = lines.join(orders, F.expr("l_orderkey = o_orderkey"))
     if "customer" in tables:
         lines = lines.join(table("customer"), F.expr("o_custkey = c_custkey"))
     if "part" in tables:

@@ -123,3 +123,21 @@ def test_months_ignore_the_day(spark):
     row = spark.sql("SELECT date'2020-03-01' AS later, date'2020-01-31' AS earlier")
     months = dates.calendar_months_between(F.col("later"), F.col("earlier"))
     assert row.select(months).first()[0] == 2
+
+
+def test_amounts_keep_their_sign_and_bad_values_are_counted(spark):
+    from orderlens.plans import cleaning
+
+    raw = spark.createDataFrame(
+        [("1", "05 Mar 2020", "₹1,200", "-90.5", "Infinity"), ("2", "2020-03-05", None, "1e3", "2.0"),
+         ("3", None, "x", " ", "nan"), ("4", "1/2/2020", "5", "1e30", None)],
+        "transaction_id string, order_date string, original_price_inr string, "
+        "final_amount_inr string, quantity string",
+    ).selectExpr("*", "'c' customer_id", "'p' product_id", "'Books' category")
+    rows = cleaning.type_columns(raw, date_formats=["dd MMM yyyy"], day_first=False).collect()
+    assert [None if r.final_amount is None else float(r.final_amount) for r in rows] == [-90.5, 1000.0, None, None]
+    assert [r.quantity for r in rows] == [None, 2, None, None]
+    assert [str(r.order_date) for r in rows] == ["2020-03-05", "2020-03-05", "None", "2020-01-02"]
+    bad = {r["column"]: (r.present, r.unreadable) for r in cleaning.unreadable_counts(raw).collect()}
+    assert bad["order_date"] == (3, 1) and bad["final_amount_inr"] == (4, 2)
+    assert bad["original_price_inr"] == (3, 1) and bad["quantity"] == (3, 2)

@@ -119,3 +119,22 @@ def test_cleaned_names_become_the_contract(spark):
     found = schema.from_cleaned_names(rows)
     assert found.columns == ["order_date", "final_amount", "category"]
     assert found.first() == (datetime.date(2015, 1, 2), Decimal("12.50"), "x")
+
+
+def test_nan_is_missing_after_reading(spark, tmp_path):
+    rows = spark.createDataFrame([("a", float("nan")), ("b", 2.0)], "product_id string, product_rating double")
+    rows.write.parquet(str(tmp_path / "sales"))
+    read = files.read_sales(spark, str(tmp_path / "sales"))
+    assert read.agg({"product_rating": "max"}).first()[0] == 2.0
+
+
+def test_staged_copies_can_be_released(spark):
+    from orderlens.operators.settle import release, stage
+
+    staged = stage(spark.range(5).toDF("x"))
+    folder = staged.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    import os
+
+    assert os.path.isdir(folder)
+    release(staged)
+    assert not os.path.isdir(folder)

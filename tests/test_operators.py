@@ -249,29 +249,27 @@ def test_duplicate_classes(spark):
     }
 
 
-def test_long_bulk_orders_keep_every_id(spark):
-    ids = [f"t{i:04d}" for i in range(950)]
+def test_a_huge_bulk_order_is_one_row_of_totals_and_a_member_row_per_id(spark):
+    ids = [f"t{i:05d}" for i in range(25_000)] + ["t00000"]
     rows = spark.createDataFrame(
         [(i, "hot", 1, 2.0) for i in ids] + [("x", "a", 1, 1.0), ("y", "a", 1, 1.0)], DUPLICATE_ROWS
     )
-    found = duplicates.consolidate_bulk_orders(
-        rows, ["k", "final_amount"], row_id="id", ids_per_part=100
-    ).collect()
-    hot = [r for r in found if r.k == "hot"]
-    assert {r.parts for r in hot} == {10} and {r.total_quantity for r in hot} == {950}
-    assert sorted(",".join(r.transaction_ids for r in hot).split(",")) == ids
-    (small,) = [r for r in found if r.k == "a"]
-    assert (small.transaction_ids, small.parts, small.total_amount) == ("x,y", 1, 2.0)
-
-
-def test_an_id_that_repeats_is_listed_as_often_as_it_occurs(spark):
-    rows = spark.createDataFrame([("same", "hot", 1, 2.0)] * 530 + [("z", "hot", 1, 2.0)], DUPLICATE_ROWS)
-    found = duplicates.consolidate_bulk_orders(
-        rows, ["k", "final_amount"], row_id="id", ids_per_part=50
-    ).collect()
-    listed = ",".join(r.transaction_ids for r in found).split(",")
-    assert listed.count("same") == 530 and listed.count("z") == 1
-    assert len(found) > 1
+    keys = ["k", "final_amount"]
+    totals = {r.k: r for r in duplicates.bulk_order_totals(rows, keys, row_id="id").collect()}
+    assert len(totals) == 2 and totals["hot"].total_quantity == totals["hot"].copies == 25_001
+    members = duplicates.bulk_order_members(rows, keys, row_id="id").where("k = 'hot'").collect()
+    assert sorted(r.id for r in members) == sorted(ids)
+    joined = {r.k: r.transaction_ids for r in duplicates.consolidate_bulk_orders(rows, keys, row_id="id").collect()}
+    assert joined["a"] == "x,y" and joined["hot"].count(",") == 25_000
+
+
+def test_a_matrix_has_every_value_as_a_column(spark):
+    cells = spark.createDataFrame([(f"r{i % 3}", f"c{i}", i) for i in range(9)], "k string, y string, v int")
+    wide = frames.to_wide(cells, "k", "y", "v", fill=0)
+    assert wide.columns == ["k", *[f"c{i}" for i in range(9)]]
+    long = frames.matrix_cells(cells, "k", "y", "v", 0)
+    assert long.count() == 27 and long.agg({"v": "sum"}).first()[0] == 36
+
 
 
 def test_price_outliers(spark):

@@ -8,8 +8,9 @@ import os
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from checks.compare import compare, connect
+from checks.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 PART = """yearly_revenue category_peak_month payment_focus_share category_share_top6_others
@@ -19,7 +20,8 @@ return_box_final_amount cohort_retention_yearly lifetime_value_density rating_by
 days_between_orders category_transitions customer_journeys months_since_launch lifecycle_summary
 customer_health rfm_report_table rfm_rules_table rfm_dashboard_table trend_with_empty_months
 slowest_deliveries duplicate_classes consolidated_bulk_orders price_outlier_counts
-clean_sales_summary""".split()
+clean_sales_summary bulk_order_totals bulk_order_members transition_matrix
+yearly_csv_union sales_by_year_parquet table_replaced kpis_by_amounts""".split()
 
 
 @pytest.fixture(scope="module")
@@ -27,9 +29,9 @@ def duck():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(queries()) if os.environ.get("ORDERLENS_ALL") else PART)
+@pytest.mark.parametrize("name", sorted(QUERIES) if os.environ.get("ORDERLENS_ALL") else PART)
 def test_query_matches_sql(spark, duck, name):
-    same, note = compare(spark, duck, queries()[name], oracle_sql()[name], SF)
+    same, note = compare(spark, duck, QUERIES[name], ORACLES[name], SF)
     assert same, note
 
 
