@@ -36,8 +36,10 @@ PIVOTS = 48
 PIVOT_SAMPLE = 2000
 QUERY_BLOCK = 2048
 ROW_BLOCK = 8192
-# Above this magnitude products are computed with Python's integers.
-FAST = 1 << 20
+# Below this magnitude (and up to MOST_COLUMNS components) all sums of products are integers that
+# float64 holds exactly; beyond it they are computed with Python's integers.
+FAST = 1 << 19
+MOST_COLUMNS = 1 << 12
 LIMIT = (1 << 63) - 1
 
 
@@ -53,24 +55,28 @@ def _clean(vectors: DataFrame) -> DataFrame:
     return plain.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~bad)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Rows of one length as floor(1024 x): float64 while exact there, else Python integers."""
-    width = len(column[0])
-    raw = np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), width)
-    with np.errstate(over="ignore"):
-        whole = np.floor(raw * SCALE)
-    if width == 0 or np.abs(whole).max(initial=0) < FAST and width < 1 << 12:
-        return whole
-    exact = [[(int(x) * SCALE if abs(x) >= 1 << 52 else int(np.floor(x * SCALE))) for x in r] for r in raw]
-    return np.array(exact, dtype=object)
+def _exact(x: float) -> int:
+    return int(x) * SCALE if abs(x) >= 1 << 52 else int(np.floor(x * SCALE))
 
 
 def _by_width(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and rows floor(1024 x) per length: float64 where exact, else Python integers."""
     ids = np.asarray(batch.column(0), dtype=np.int64)
     widths = np.asarray(pc.list_value_length(batch.column(1)))
     for width in np.unique(widths):
         rows = np.flatnonzero(widths == width)
-        yield ids[rows], _matrix(batch.column(1).take(pa.array(rows)))
+        flat = batch.column(1).take(pa.array(rows)).flatten()
+        raw = np.asarray(flat, dtype=np.float64).reshape(len(rows), width)
+        with np.errstate(over="ignore"):
+            whole = np.floor(raw * SCALE)
+        great = np.abs(whole).max(axis=1, initial=0) >= FAST
+        if width > MOST_COLUMNS:
+            great[:] = True
+        if not great.all():
+            yield ids[rows[~great]], whole[~great]
+        if great.any():
+            exact = [[_exact(x) for x in row] for row in raw[great]]
+            yield ids[rows[great]], np.array(exact, dtype=object)
 
 
 def choose_pivots(vectors: DataFrame, count: int = PIVOTS) -> dict[int, np.ndarray]:
@@ -84,7 +90,7 @@ def choose_pivots(vectors: DataFrame, count: int = PIVOTS) -> dict[int, np.ndarr
     chosen: dict[int, np.ndarray] = {}
     for width in {len(r.embedding) for r in rows}:
         data = np.array([r.embedding for r in rows if len(r.embedding) == width])
-        data = np.floor(np.clip(data, -FAST, FAST) * SCALE)
+        data = np.clip(np.floor(np.clip(data, -FAST, FAST) * SCALE), 1 - FAST, FAST - 1)
         picked, nearest = [0], np.full(len(data), np.inf)
         while len(picked) < min(count, len(data)):
             nearest = np.minimum(nearest, np.linalg.norm(data - data[picked[-1]], axis=1))
@@ -117,9 +123,10 @@ def search_block(
         if not len(others):
             continue
         if exact:
-            scores = np.array([int(sum(a * b for a, b in zip(queries[i], v))) for v in vectors[others]], dtype=object)
+            own = [int(x) for x in queries[i]]
+            scores = [sum(a * int(b) for a, b in zip(own, v, strict=True)) for v in vectors[others]]
             order = sorted(range(len(others)), key=lambda j: (-scores[j], ids[others[j]]))[:k]
-            best_ids, best = ids[others[order]], scores[order]
+            best_ids, best = ids[others[order]], [scores[j] for j in order]
         else:
             gap = np.zeros(len(others))
             for p in range(table.shape[1]):
@@ -175,10 +182,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
         for part, start, stop in block:
             inside |= (F.col("part") == part) & (F.col("row") >= start) & (F.col("row") < stop)
         rows = wanted.where(inside).select("vec_id", "embedding").toArrow().combine_chunks()
-        queries: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        queries: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for batch in rows.to_batches():
             for ids, data in _by_width(batch):
-                queries[data.shape[1]] = (ids, data)
+                queries.setdefault(data.shape[1], []).append((ids, data))
         sent = spark.sparkContext.broadcast((queries, pivots))
 
         def search(batches, sent=sent):
@@ -187,15 +194,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
                 for start in range(0, batch.num_rows, ROW_BLOCK):
                     for ids, data in _by_width(batch.slice(start, ROW_BLOCK)):
                         width = data.shape[1]
-                        if width not in queries:
-                            continue
-                        found = search_block(
-                            *queries[width], ids, data,
-                            pivots.get(width, np.zeros((1, width))), k,
-                        )
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(x, pa.int64()) for x in found], ["query_id", "vec_id", "score"]
-                        )
+                        near = pivots.get(width, np.zeros((1, width)))
+                        for asked in queries.get(width, ()):
+                            found = search_block(*asked, ids, data, near, k)
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(x, pa.int64()) for x in found],
+                                ["query_id", "vec_id", "score"],
+                            )
 
         found = clean.mapInArrow(search, "query_id long, vec_id long, score long")
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
