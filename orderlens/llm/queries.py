@@ -74,7 +74,91 @@ QUERIES = {
     )
 }
 
+WORDS = (
+    "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+    r"'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+)
+LICENSE_ROWS = ", ".join(
+    "({}, '{}', {}, {}, {}, '{}', '{}', {})".format(
+        *row[:7], "NULL" if row[7] is None else f"'{row[7]}'"
+    )
+    for row in licenses.template_rows()
+)
+
 ORACLES = {
+    "op2_licenses": f"""
+WITH t(template, label, base, length, place, t0, t1, t2) AS (VALUES {LICENSE_ROWS}),
+d AS (SELECT row_number() OVER () AS row, doc_id, {WORDS} AS w FROM documents),
+g AS (SELECT row, i, w[i + 1] AS w0, w[i + 2] AS w1, w[i + 3] AS w2
+  FROM d, unnest(range(0, greatest(len(w) - 1, 0))) u(i)),
+v AS (SELECT row, template, i - place AS diagonal, any_value(label) AS label, any_value(base) AS base,
+    any_value(length) AS length, count(*) AS votes, min(i) AS low, max(i) AS high
+  FROM g JOIN t ON w0 = t0 AND w1 = t1 AND (t2 IS NULL OR t2 = w2) GROUP BY ALL),
+f AS (SELECT *, CASE WHEN base OR coalesce(diagonal - lag(diagonal) OVER x > 3, TRUE) THEN 1 ELSE 0
+    END AS fresh FROM v WINDOW x AS (PARTITION BY row, template ORDER BY diagonal)),
+k AS (SELECT *, sum(fresh) OVER (PARTITION BY row, template ORDER BY diagonal) AS span FROM f),
+m AS (SELECT row, any_value(label) AS label, any_value(base) AS base, any_value(length) AS length,
+    sum(votes) AS votes, min(low) AS low, max(high) AS high FROM k GROUP BY row, template, span),
+s AS (SELECT *, base AND votes = length AS stands,
+    CASE WHEN NOT base AND high - low + 1 <= length * 1.5 + 3 AND votes >= 0.6 * length
+      THEN least(1.0, CAST(votes AS DOUBLE) / length) END AS cover FROM m),
+r AS (SELECT row, count(*) FILTER (stands) AS n_base, min(low) FILTER (stands) AS first_word,
+    max(low) FILTER (stands) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (stands) AS base_labels,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (stands OR cover IS NOT NULL) AS labels,
+    max(CASE WHEN stands THEN 1.0 ELSE cover END) AS score,
+    count(*) FILTER (stands OR cover IS NOT NULL) AS n_spans FROM s GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
+  CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CAST(coalesce(score, 0) AS DOUBLE) AS score, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans
+FROM d LEFT JOIN r USING (row)
+""",
+    "op4_decontamination": f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {WORDS} AS w FROM documents),
+i AS (SELECT * FROM (SELECT row_number() OVER () AS item, item_id, {WORDS} AS v FROM benchmark)
+  WHERE len(v) >= 5),
+m(o) AS (VALUES ([0, 1, 2, 3]), ([0, 2, 3, 4]), ([0, 1, 3, 4]), ([0, 1, 2, 4])),
+a AS (SELECT row, p, o, [w[p], w[p + o[2]], w[p + o[3]], w[p + o[4]]] AS seed
+  FROM d, m, unnest(range(1, greatest(len(w) - o[4], 0) + 1)) u(p)),
+b AS (SELECT item, p, o, [v[p], v[p + o[2]], v[p + o[3]], v[p + o[4]]] AS seed
+  FROM i, m, unnest(range(1, greatest(len(v) - o[4], 0) + 1)) u(p)),
+g AS (SELECT DISTINCT row, item, a.p - b.p AS s FROM a JOIN b USING (o, seed)),
+e AS (SELECT row, item, s, greatest(0, -s) AS low,
+    list(CASE WHEN w[k + s] = v[k] THEN 1 ELSE 0 END ORDER BY k) AS eq, least(13, any_value(len(v))) AS width
+  FROM g JOIN d USING (row) JOIN i USING (item),
+    unnest(range(greatest(1, 1 - s), least(len(v), len(w) - s) + 1)) u(k)
+  GROUP BY row, item, s),
+h AS (SELECT *, list_max(list_transform(range(1, greatest(len(eq) - width + 1, 0) + 1),
+    lambda x: list_sum(eq[x:x + width - 1]))) AS best FROM e)
+SELECT DISTINCT doc_id, item_id, CAST(s + low AS BIGINT) AS doc_word, CAST(low AS BIGINT) AS item_word,
+  CAST(len(eq) AS BIGINT) AS n_aligned, CAST(list_sum(eq) AS BIGINT) AS n_equal,
+  CAST(best AS DOUBLE) / width AS similarity
+FROM h JOIN d USING (row) JOIN i USING (item) WHERE 5 * best >= 4 * width
+""",
+    "op7_line_dedup": r"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS row, doc_id, string_split(text, chr(10)) AS a
+  FROM documents WHERE length(text) > 0),
+n AS (SELECT row, doc_id, list_transform(a, lambda x: hash(x)) AS h, list_transform(a,
+    lambda x: len(regexp_extract_all(x, '[^ 	-]+'))) AS c FROM d),
+z AS (SELECT unnest([1, 2, 3, 4, 5, 6, 7, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 768,
+  1024, 1536, 2048]) AS size),
+r AS (SELECT row, doc_id, i, size, h[i:i + size - 1] AS run, list_sum(c[i:i + size - 1]) AS words
+  FROM n, z, unnest(range(1, greatest(len(h) - size + 1, 0) + 1)) u(i)),
+f AS (SELECT size, run, min(struct_pack(d := doc_id, r := row, i := i)) AS first FROM r
+  GROUP BY size, run HAVING count(*) > 1),
+l AS (SELECT row, doc_id, i - 1 AS line,
+    max(struct_pack(s := i - 1 + size, f := first.d)) AS best
+  FROM r JOIN f USING (size, run) WHERE words >= 25 AND NOT (first.r = row AND first.i = i)
+  GROUP BY ALL),
+m AS (SELECT *, max(best.s) OVER (PARTITION BY row ORDER BY line
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM l),
+k AS (SELECT *, sum(CASE WHEN reached IS NULL OR line >= reached THEN 1 ELSE 0 END)
+    OVER (PARTITION BY row ORDER BY line) AS stretch FROM m)
+SELECT any_value(doc_id) AS doc_id, CAST(min(line) AS BIGINT) AS first_line,
+  CAST(max(best.s) - min(line) AS BIGINT) AS n_lines, CAST(min(best.f) AS BIGINT) AS first_doc_id
+FROM k GROUP BY row, stretch
+""",
     "op10_jaccard": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
