@@ -8,12 +8,12 @@ or more must share one of the first ``n - ceil(0.8 n) + 1``. So:
    ones (a table of fixed size) go to the end of the order. Any order gives right
    results; this one leaves hardly anything to compare.
 3. Nodes with the same prefix and the same size are one group. Groups meet by
-   prefix shingle; pairs of groups whose sizes rule a link out are filtered.
-4. Where few groups share a shingle, their members are compared pair by pair:
-   each first with one member of its bucket, later only with members of other
-   components. Where many share one (large families of near copies), families
-   are cut into blocks and blocks are compared as matrices, which emits a forest
-   of links instead of all pairs. The comparisons within such a family grow with
+   prefix shingle. Where few groups share one, pairs of groups are counted: a pair
+   is dropped if sizes rule a link out or it shares fewer prefix shingles than a
+   link needs. Where many share one, they are candidates without being paired.
+4. Candidates form families. Groups are expanded to their nodes, families are cut
+   into blocks and blocks are compared as matrices of whole sets, which emits a
+   forest of links instead of all pairs. The comparisons within a family grow with
    the square of its size, as its copies may drift apart; the rows do not.
 5. Links become components.
 
@@ -40,10 +40,13 @@ SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
 # Shared shingles that go to the end of the order: at most this many.
 SHARED = 1 << 21
 FILTER_BITS = 25
-# A shingle in so many groups makes a large family; blocks of families have so many nodes.
-FAMILY = 64
+# A shingle in more groups than this makes them candidates unpaired; blocks of families have so
+# many nodes.
+FAMILY = 16
 BLOCK = 512
-SLICE = 4_000_000
+# Tables of at most so many rows of two or three numbers are broadcast.
+BROADCAST_ROWS = 500_000
+SLICE = 2_000_000
 
 
 def prefix_length(n: int) -> int:
@@ -116,8 +119,21 @@ def nodes(documents: DataFrame) -> DataFrame:
     return source.mapInArrow(run, "doc_id long, print long, n long, node long")
 
 
+def _ordered(values: np.ndarray, late) -> np.ndarray:
+    """The shingles in the common order: by hash, shared ones last."""
+    if late is None:
+        return values
+    last = late(values)
+    return np.concatenate([values[~last], values[last]])
+
+
+def group_of(prefix: np.ndarray, n: int) -> int:
+    """64 bits of prefix and size."""
+    return node_of(np.concatenate([prefix, np.array([n], dtype=np.uint64)]))
+
+
 def _prefixes(documents: DataFrame, shared=None) -> DataFrame:
-    """node, n, tokens: the prefix of every set, once per task."""
+    """node, group, n, tokens: the prefix of every set, once per task."""
 
     def run(batches):
         hasher = WordHasher(SEPARATORS)
@@ -125,24 +141,24 @@ def _prefixes(documents: DataFrame, shared=None) -> DataFrame:
         late = shared.value if shared is not None else None
         for batch in batches:
             for _, sets in _each_set(batch, 0, hasher):
-                ids, sizes, parts = [], [], []
+                ids, groups, sizes, parts = [], [], [], []
                 for values in sets:
                     node = node_of(values)
                     if not len(values) or node in seen:
                         continue
                     seen.add(node)
-                    if late is not None:
-                        last = late(values)
-                        values = np.concatenate([values[~last], values[last]])
+                    n = len(values)
                     ids.append(node)
-                    sizes.append(len(values))
-                    parts.append(values[: prefix_length(len(values))])
+                    sizes.append(n)
+                    parts.append(_ordered(values, late)[: prefix_length(n)])
+                    groups.append(group_of(parts[-1], n))
+                columns = [pa.array(c, pa.int64()) for c in (ids, groups, sizes)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), _lists(parts)],
-                    ["node", "n", "tokens"],
+                    [*columns, _lists(parts)], ["node", "group", "n", "tokens"]
                 )
 
-    return pick(documents, "text").mapInArrow(run, "node long, n long, tokens array<long>")
+    schema = "node long, group long, n long, tokens array<long>"
+    return pick(documents, "text").mapInArrow(run, schema)
 
 
 class Among:
@@ -203,20 +219,19 @@ def unpack(data: bytes) -> np.ndarray:
     return raw.view(np.uint64).ravel()
 
 
-def _sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, n, content (packed set) of the wanted nodes."""
+def _sets(documents: DataFrame, families: DataFrame, shared) -> DataFrame:
+    """family, node, content (packed set) of the nodes of all groups in ``families``."""
     spark = documents.sparkSession
-    bits = 1 << FILTER_BITS
 
     def slots(batches):
-        table = np.zeros(bits, dtype=bool)
+        table = np.zeros(1 << FILTER_BITS, dtype=bool)
         for batch in batches:
             table[np.asarray(batch.column(0)).view(np.uint64) >> np.uint64(64 - FILTER_BITS)] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(table).tobytes()])], ["bits"])
 
     # A filter of fixed size: it only spares rows; the join decides.
-    total = np.zeros(bits // 8, dtype=np.uint8)
-    parts = wanted.select("node").coalesce(8).mapInArrow(slots, "bits binary")
+    total = np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8)
+    parts = families.select("group").coalesce(8).mapInArrow(slots, "bits binary")
     for row in parts.toLocalIterator():
         total |= np.frombuffer(row.bits, dtype=np.uint8)
     sent = spark.sparkContext.broadcast(total)
@@ -224,56 +239,33 @@ def _sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches):
         hasher = WordHasher(SEPARATORS)
         table = np.unpackbits(sent.value).astype(bool)
+        late = shared.value
         seen: set[int] = set()
         for batch in batches:
             for _, sets in _each_set(batch, 0, hasher):
                 rows = []
                 for values in sets:
-                    node = node_of(values)
-                    slot = (node & (1 << 64) - 1) >> (64 - FILTER_BITS)
-                    if len(values) and node not in seen and table[slot]:
-                        seen.add(node)
-                        rows.append((node, len(values), pack(values)))
+                    if not len(values) or (node := node_of(values)) in seen:
+                        continue
+                    seen.add(node)
+                    n = len(values)
+                    group = group_of(_ordered(values, late)[: prefix_length(n)], n)
+                    if table[(group & (1 << 64) - 1) >> (64 - FILTER_BITS)]:
+                        rows.append((group, node, pack(values)))
                 if rows:
                     kinds = [pa.int64(), pa.int64(), pa.binary()]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)],
-                        ["node", "n", "content"],
+                        ["group", "node", "content"],
                     )
 
-    found = pick(documents, "text").mapInArrow(run, "node long, n long, content binary")
-    found = found.join(wanted.select("node").distinct(), "node", "left_semi")
-    return stage(found.dropDuplicates(["node"]))
-
+    found = pick(documents, "text").mapInArrow(run, "group long, node long, content binary")
+    few = families.count() <= BROADCAST_ROWS
+    found = found.join(F.broadcast(families) if few else families, "group")
+    return stage(found.select("family", "node", "content").dropDuplicates(["node"]))
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are linked."""
 
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for left, right in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = unpack(left.as_py()), unpack(right.as_py())
-                overlap = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(bool(linked(overlap, len(x), len(y))))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep))
-
-    left = sets.select(F.col("node").alias("a"), F.col("content").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("content").alias("y"))
-    full = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return full.mapInArrow(run, "a long, b long")
-
-
-def _size_allows(n: str, m: str) -> F.Column:
-    return (F.col(n) * 5 >= F.col(m) * 4) & (F.col(m) * 5 >= F.col(n) * 4)
-
-
-def _with_root(rows: DataFrame, found: DataFrame, few: bool) -> DataFrame:
-    table = F.broadcast(found) if few else found
-    return rows.join(table, "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-
-def _forest(contents: list[np.ndarray], nodes_: np.ndarray, sides: np.ndarray, known: np.ndarray):
+def _forest(contents: list[np.ndarray], nodes_: np.ndarray, sides: np.ndarray):
     """Links across (or, on one side only, within) a block pair, as a spanning forest.
 
     Overlaps come from products of 0/1 matrices over the shingles that occur twice.
@@ -317,18 +309,16 @@ def _forest(contents: list[np.ndarray], nodes_: np.ndarray, sides: np.ndarray, k
     return edges
 
 
-def _family_links(rows: DataFrame, documents: DataFrame) -> DataFrame:
-    """Links within large families: rows has node and family."""
-    members = rows.groupBy("family").agg(F.count(F.lit(1)).alias("members"))
-    sets = _sets(documents, rows)
-    sized = attach(rows, members.withColumn("rows", F.col("members")), ["family"], "rows")
+def _family_links(sets: DataFrame) -> DataFrame:
+    """Links within families, block pair by block pair."""
+    members = sets.groupBy("family").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    members = members.withColumn("rows", F.col("members"))
+    sized = attach(sets, members, ["family"], "rows").where("members IS NOT NULL")
     blocks = F.ceil(F.col("members") / BLOCK).cast("bigint")
-    block = F.pmod(F.xxhash64("node", F.lit(11)), blocks)
     # Each block meets each other block once: key (smaller, larger).
     placed = (
         sized.withColumn("blocks", blocks)
-        .withColumn("block", block)
-        .join(sets.select("node", "content"), "node")
+        .withColumn("block", F.pmod(F.xxhash64("node", F.lit(11)), F.col("blocks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
         .select(
             "family",
@@ -346,7 +336,6 @@ def _family_links(rows: DataFrame, documents: DataFrame) -> DataFrame:
             contents,
             np.asarray(batch.column("node").combine_chunks()),
             np.asarray(batch.column("side").combine_chunks()),
-            np.zeros(0),
         )
         a, b = zip(*edges, strict=True) if edges else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -354,95 +343,85 @@ def _family_links(rows: DataFrame, documents: DataFrame) -> DataFrame:
     return placed.groupBy("family", "low", "high").applyInArrow(compare, "a long, b long")
 
 
+def _least_shared(n: str, m: str) -> F.Column:
+    """How many prefix shingles sets of these sizes share at least if they are linked.
+
+    A link needs ceil(4 (n + m) / 9) common shingles, so at most n minus that many
+    of a set's are missing in the other; of the two prefixes, the one that ends
+    first in the order has its other shingles in the other prefix as well.
+    """
+    overlap = F.floor((4 * (F.col(n) + F.col(m)) + 8) / 9)
+    longest = F.greatest(F.floor((4 * F.col(n) + 4) / 5), F.floor((4 * F.col(m) + 4) / 5))
+    return overlap + 1 - longest
+
+
+def _candidates(met: DataFrame) -> DataFrame:
+    """a, b: groups to be compared, not all pairs of them, but all connected."""
+    large = met.where(F.col("size") > FAMILY)
+    heads = large.groupBy("token").agg(F.min("group").alias("head"), F.count(F.lit(1)).alias("rows"))
+    starred = attach(large, heads, ["token"], "rows").select(
+        F.col("head").alias("a"), F.col("group").alias("b")
+    )
+    several = met.where("low <> high").select(F.col("group").alias("a"), F.col("group").alias("b"))
+    small = met.where(F.col("size").between(2, FAMILY)).select("token", "group", "n")
+    x, y = small.alias("x"), small.alias("y")
+    paired = (
+        x.join(y, F.col("x.token") == F.col("y.token"))
+        .where("x.group < y.group AND 5 * x.n >= 4 * y.n AND 5 * y.n >= 4 * x.n")
+        .groupBy(
+            F.col("x.group").alias("a"), F.col("y.group").alias("b"),
+            F.col("x.n").alias("n"), F.col("y.n").alias("m"),
+        )
+        .agg(F.count(F.lit(1)).alias("shared"))
+        .where(F.col("shared") >= _least_shared("n", "m"))
+        .select("a", "b")
+    )
+    return stage(starred.unionAll(several).distinct().unionAll(paired))
+
+
 def links(documents: DataFrame) -> DataFrame:
     """a, b: links that connect exactly the nodes that are connected."""
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(Among(_shared_tokens(documents)))
-    # Equal prefix and size: one group, named by its smallest node.
-    prefixed = _prefixes(documents, shared).withColumn("key", F.xxhash64("tokens"))
-    spread = prefixed.select("node", "n", "key", F.explode("tokens").alias("token"))
-    met = spread.repartition("token").dropDuplicates(["token", "node"])
-    bucket = Window.partitionBy("token")
-    met = stage(met.withColumn("size", F.count(F.lit(1)).over(bucket)).where("size > 1"))
-    # Large families: nodes that share such a shingle, directly or through others.
-    large = met.where(F.col("size") > FAMILY)
-    heads = large.groupBy("token").agg(F.min("node").alias("head"))
-    to_head = stage(
-        attach(large, heads.withColumn("rows", F.lit(1)), ["token"], "rows")
-        .select("node", "head")
-        .distinct()
-    )
-    family = roots(to_head)
-    in_family = to_head.select("node").distinct().join(family, "node", "left")
-    in_family = stage(in_family.select("node", F.coalesce("root", "node").alias("family")))
-    found = [stage(_family_links(in_family, documents))] if not in_family.isEmpty() else []
-    # Small buckets: each group's representative with the smallest one, then across components.
-    small = met.where(F.col("size") <= FAMILY)
-    if small.isEmpty():
-        return _union(found, spark)
-    groups = small.groupBy("key", "n").agg(F.min("node").alias("leader"))
-    in_group = small.select("node", "key", "n").distinct().join(groups, ["key", "n"])
-    within = in_group.where("node <> leader").select(
-        F.col("leader").alias("a"), F.col("node").alias("b")
-    )
-    first = small.groupBy("token").agg(F.min(F.struct("n", "node")).alias("head"))
-    across = (
-        small.join(first, "token")
-        .where(F.col("node") != F.col("head.node"))
-        .where(F.col("n") * 4 <= F.col("head.n") * 5)
-        .select(F.col("head.node").alias("a"), F.col("node").alias("b"))
+    spread = _prefixes(documents, shared).select(
+        F.explode("tokens").alias("token"), "group", "n", "node"
     )
-    pairs = stage(
-        within.unionAll(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # One shuffle serves the grouping and the window.
+    met = spread.repartition("token").groupBy("token", "group").agg(
+        F.max("n").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")
     )
-    sets = _sets(documents, small)
-    checked = stage(_verify(pairs, sets))
-    found.append(checked)
-    so_far = roots(_union(found, spark))
-    few = so_far.count() <= 500_000
-    rooted = _with_root(small.select("token", "node", "n"), so_far, few)
-    mixed = stage(
-        rooted.withColumn("low", F.min("root").over(bucket))
-        .withColumn("high", F.max("root").over(bucket))
-        .where("low <> high")
-        .drop("low", "high")
-    )
-    x, y = mixed.alias("x"), mixed.alias("y")
-    other = (
-        x.join(y, F.col("x.token") == F.col("y.token"))
-        .where("x.node < y.node and x.root <> y.root")
-        .where(_size_allows("x.n", "y.n"))
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        .distinct()
-        .join(pairs, ["a", "b"], "left_anti")
+    bucket = Window.partitionBy("token")
+    met = met.withColumn("size", F.count(F.lit(1)).over(bucket)).where("size > 1 OR low <> high")
+    edges = _candidates(stage(met))
+    family = roots(edges)
+    groups = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    families = groups.join(family, "node", "left").select(
+        F.col("node").alias("group"), F.coalesce("root", "node").alias("family")
     )
-    found.append(stage(_verify(other, sets)))
-    return _union(found, spark)
+    return _family_links(_sets(documents, stage(families), shared))
 
 
-def _union(parts: list[DataFrame], spark) -> DataFrame:
-    result = spark.createDataFrame([], "a long, b long")
-    for part in parts:
-        result = result.unionAll(part)
-    return result
+def _with_root(rows: DataFrame, found: DataFrame) -> DataFrame:
+    few = found.count() <= BROADCAST_ROWS
+    table = F.broadcast(found) if few else found
+    return rows.join(table, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def _classified(documents: DataFrame) -> DataFrame:
-    """doc_id, print, n, node, component_id per row."""
+    """doc_id, print, n, root (of the component of nodes), component_id per row."""
     rows = stage(nodes(documents))
     named = rows.where("n > 0").groupBy("node").agg(
         F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")
     )
     found = stage(roots(links(documents)))
-    few = found.count() <= 500_000
-    rooted = stage(_with_root(named, found, few))
+    rooted = stage(_with_root(named, found))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("nodes"))
     summary = rooted.join(least.where("nodes > 1").drop("nodes"), "root", "left").select(
-        "node", "rows", F.coalesce("component", "least").alias("component")
+        "node", "rows", "root", F.coalesce("component", "least").alias("component")
     )
     joined = attach(rows, summary, ["node"], "rows")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    return joined.select("doc_id", "print", "n", "node", own.alias("component_id"))
+    return joined.select("doc_id", "print", "n", "root", own.alias("component_id"))
 
 
 def components(documents: DataFrame) -> DataFrame:
@@ -457,12 +436,12 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     """
     names = documents.columns
     classes = stage(_classified(documents).where("n > 0"))
-    keepers = classes.groupBy("component_id").agg(F.min(F.struct("doc_id", "print")).alias("k"))
+    keepers = classes.groupBy("root").agg(
+        F.min(F.struct("doc_id", "print")).alias("k"), F.count(F.lit(1)).alias("rows")
+    )
+    each = classes.groupBy("root", "doc_id", "print").agg(F.count(F.lit(1)).alias("copies"))
     keep = stage(
-        classes.groupBy("component_id", "doc_id", "print")
-        .agg(F.count(F.lit(1)).alias("copies"))
-        .join(keepers, "component_id")
-        .select(
+        attach(each, keepers, ["root"], "rows").select(
             F.col("doc_id").alias("_id"),
             F.col("print").alias("_print"),
             "copies",
@@ -474,10 +453,10 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     )
     same = F.col("_id_").eqNullSafe(F.col("_id")) & (F.col("_print_") == F.col("_print"))
     drop = keep.where("not kept").select("_id", "_print")
-    rest = plain.join(F.broadcast(drop) if drop.count() <= 500_000 else drop, same, "left_anti")
+    rest = plain.join(F.broadcast(drop) if drop.count() <= BROADCAST_ROWS else drop, same, "left_anti")
     repeated = keep.where("kept and copies > 1").select("_id", "_print")
     if not repeated.isEmpty():
-        table = F.broadcast(repeated) if repeated.count() <= 500_000 else repeated
+        table = F.broadcast(repeated) if repeated.count() <= BROADCAST_ROWS else repeated
         single = rest.join(table, same, "left_semi").dropDuplicates(["_id_", "_print_"])
         rest = rest.join(table, same, "left_anti").unionAll(single)
     return rest.drop("_id_", "_print_").toDF(*names)
