@@ -75,6 +75,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts (null: none) as one array, and where every text begins and ends."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    _, ends, data = texts.buffers()
+    if not len(texts):
+        return np.zeros(0, dtype=np.uint8), np.zeros(1, dtype=np.int64)
+    bounds = np.frombuffer(ends, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if bounds[-1] == bounds[0]:
+        return np.zeros(0, dtype=np.uint8), np.zeros(len(texts) + 1, dtype=np.int64)
+    raw = np.frombuffer(data, dtype=np.uint8)[bounds[0] : bounds[-1]]
+    return raw, bounds - bounds[0]
+
+
 class WordHasher:
     """64-bit hashes of all words of many texts, computed on the flat bytes.
 
@@ -99,18 +112,23 @@ class WordHasher:
             down = np.cumprod(np.full(n, inverse, dtype=np.uint64))
             self.down = down * np.uint64(self.BASE)
 
+    def spans(self, raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Hashes of stretches of bytes: prefix sums of byte value times power, brought to place 0."""
+        n = len(raw)
+        if n + 1 > len(self.up):
+            self._grow(2 * n)
+        with np.errstate(over="ignore"):
+            sums = np.zeros(n + 1, dtype=np.uint64)
+            np.cumsum(self.values[raw] * self.up[:n], out=sums[1:])
+            found = (sums[stop] - sums[start]) * self.down[start]
+            return _mix(found + (stop - start).astype(np.uint64))
+
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all words in order, and per text where its words begin (n + 1 places)."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        _, ends, data = texts.buffers()
-        bounds = np.frombuffer(ends, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        if not len(texts) or bounds[-1] == bounds[0]:
+        raw, bounds = flat_bytes(texts)
+        if not len(raw):
             return np.zeros(0, dtype=np.uint64), np.zeros(len(texts) + 1, dtype=np.int64)
-        raw = np.frombuffer(data, dtype=np.uint8)[bounds[0] : bounds[-1]]
-        bounds = bounds - bounds[0]
         n = len(raw)
-        if n + 1 > len(self.up):
-            self._grow(2 * n)
         inside = self.inside[raw]
         first = inside.copy()
         first[1:] &= ~inside[:-1]
@@ -120,11 +138,7 @@ class WordHasher:
         last = inside.copy()
         last[:-1] &= ~inside[1:] | first[1:]
         start, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
-        with np.errstate(over="ignore"):
-            sums = np.zeros(n + 1, dtype=np.uint64)
-            np.cumsum(self.values[raw] * self.up[:n], out=sums[1:])
-            words = (sums[stop] - sums[start]) * self.down[start]
-            words = _mix(words + (stop - start).astype(np.uint64))
+        words = self.spans(raw, start, stop)
         return words, np.searchsorted(start, bounds)
 
 

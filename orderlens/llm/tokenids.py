@@ -24,34 +24,49 @@ counts the ids of all rows before. The tokenizer file is a parameter.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import pick, stage
+from orderlens.llm.common import WordHasher, _mix, flat_bytes, pick, row_slices, stage
 
 END = 0
 VOCABULARY = 1 << 17
-BLOCK_IDS = 1 << 21
+BLOCK_IDS = 1 << 19
 ROUNDS = 4
 # Pairs considered in one round, and how often a pair must occur.
 PAIRS = 2048
 LEAST = 16
+# Bytes of text that are encoded together.
+SLICE = 500_000
 COUNT_BITS = 18
-CACHE = 400_000
+CACHE = 200_000
+TABLE_BITS = 20
+
+# Classes of UTF-8 bytes: letters (ASCII, and two-byte letters from U+00C0 to U+00FF), marks and
+# digits, blank, line end, and bytes that send a text to the tokenizer as a whole: other white
+# space and controls, the apostrophe (it may begin a contraction), all further characters.
+LETTER, SIGN, BLANK, LINE, WHOLE = range(5)
+
+
+def _byte_classes() -> np.ndarray:
+    classes = np.full(256, WHOLE, dtype=np.uint8)
+    classes[0x21:0x7F] = SIGN
+    classes[0x27] = WHOLE
+    for letters in (range(0x41, 0x5B), range(0x61, 0x7B), range(0x80, 0xC0), (0xC3,)):
+        classes[list(letters)] = LETTER
+    classes[0x20], classes[0x0A] = BLANK, LINE
+    return classes
 
-# Letters and other printable ASCII (without the apostrophe, which may begin a contraction).
-LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
-OTHER = r"!-&(-@\[-`{-~"
-PIECE = re.compile(
-    rf" ?[{LETTER}]++(?=[ \n{OTHER}]|\Z)| ?[{OTHER}]++(?=[ \n{LETTER}]|\Z)| ?[^ \n]++|\n"
-)
-ODD = re.compile(r"[^\S \n]|  | \n|\n\n|\n |<\||^ | $")
+
+CLASSES = _byte_classes()
 
 
 def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -65,67 +80,133 @@ class Encoder:
 
     A byte-level tokenizer never merges across blanks, line ends, or between a
     letter and a digit or mark (contractions aside), so such pieces can be encoded
-    one by one. Texts with other white space, runs of it, or marks of special
-    tokens are encoded as a whole.
+    one by one. They are found and hashed (64 bits) on the flat bytes of many
+    texts; only pieces not met before are given to the tokenizer. Texts with runs
+    of white space, marks of special tokens or rarer characters are encoded whole.
     """
 
     def __init__(self, path: str):
+        # One thread per task; Spark spreads the work.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.hasher = WordHasher(b"")
+        self.hasher.values = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat = np.zeros(0, dtype=np.uint32)
-        self.starts = np.zeros(0, dtype=np.int64)
-        self.sizes = np.zeros(0, dtype=np.int64)
+        """Entry 0 is the end id, entry 1 the line end."""
+        line_end = self.whole(["\n"])[0]
+        self.flat = np.array([END, *line_end], dtype=np.uint32)
+        self.starts = np.array([0, 1], dtype=np.int64)
+        self.sizes = np.array([1, len(line_end)], dtype=np.int64)
+        line = self._hashes(np.array([10], dtype=np.uint8), np.array([0]), np.array([1]))
+        self.hashes = np.array([0, line[0]], dtype=np.uint64)
+        self.index = {int(line[0]): 1}
+        self.table = np.zeros(1 << TABLE_BITS, dtype=np.int32)
+        self.table[line >> np.uint64(64 - TABLE_BITS)] = 1
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _hashes(self, raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return self.hasher.spans(raw, start, stop)
+
+    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
         """Encode new pieces, many at once with line ends between them (which stay apart)."""
-        if "\n" not in self.index:
-            ids = np.array(self.whole(["\n"])[0], dtype=np.uint32)
-            self.index["\n"], self.flat = 0, ids
-            self.starts, self.sizes = np.zeros(1, np.int64), np.full(1, len(ids), np.int64)
-            pieces = [p for p in pieces if p != "\n"]
-        mark = self.flat[0]
-        joined = ["\n".join(pieces[i : i + 2048]) + "\n" for i in range(0, len(pieces), 2048)]
-        for start, ids in zip(range(0, len(pieces), 2048), self.whole(joined), strict=True):
+        for start in range(0, len(pieces), 2048):
             part = pieces[start : start + 2048]
-            flat = np.array(ids, dtype=np.uint32)
-            ends = np.flatnonzero(flat == mark)
-            if self.sizes[0] != 1 or len(ends) != len(part):
+            flat = np.array(self.whole(["\n".join(part) + "\n"])[0], dtype=np.uint32)
+            ends = np.flatnonzero(flat == self.flat[1])
+            if self.sizes[1] != 1 or len(ends) != len(part):
                 ids = self.whole(part)
                 sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
                 flat = np.fromiter(chain.from_iterable(ids), dtype=np.uint32)
             else:
                 sizes = np.diff(ends, prepend=-1) - 1
-                flat = flat[flat != mark]
-            self.index.update(zip(part, range(len(self.index), len(self.index) + len(part)), strict=True))
+                flat = flat[flat != self.flat[1]]
+            own = hashes[start : start + 2048]
+            first = len(self.hashes)
+            self.index.update(zip(own.tolist(), range(first, first + len(own)), strict=True))
+            self.table[own >> np.uint64(64 - TABLE_BITS)] = np.arange(first, first + len(own))
+            self.hashes = np.r_[self.hashes, own]
             self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(sizes) - sizes]
             self.sizes = np.r_[self.sizes, sizes]
             self.flat = np.r_[self.flat, flat]
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        rows = [None if ODD.search(text) else PIECE.findall(text) for text in texts]
-        fresh = set(chain.from_iterable(row for row in rows if row)) - self.index.keys()
-        if len(self.index) + len(fresh) > CACHE:
-            self._clear()
-            fresh = set(chain.from_iterable(row for row in rows if row))
-        if fresh:
-            self._learn(sorted(fresh))
-        out = []
-        for text, row in zip(texts, rows, strict=True):
-            if row is None:
-                ids = np.array(self.whole([text])[0], dtype=np.uint32)
-            else:
-                at = np.fromiter(map(self.index.__getitem__, row), dtype=np.int64, count=len(row))
-                ids = self.flat[_spread(self.starts[at], self.sizes[at])]
-            out.append(np.append(ids, np.uint32(END)))
-        return out
+    def _entries(self, hashes: np.ndarray, raw: np.ndarray, start, stop) -> np.ndarray:
+        """The entry of every piece, new ones being learnt."""
+        entries = self.table[hashes >> np.uint64(64 - TABLE_BITS)].astype(np.int64)
+        missed = np.flatnonzero(self.hashes[entries] != hashes)
+        if len(missed):
+            fresh, first, inverse = np.unique(
+                hashes[missed], return_index=True, return_inverse=True
+            )
+            new = np.array([h not in self.index for h in fresh.tolist()], dtype=bool)
+            if len(self.hashes) + int(new.sum()) > CACHE and len(self.hashes) > 2:
+                self._clear()
+                return self._entries(hashes, raw, start, stop)
+            at = missed[first[new]]
+            pieces = [raw[a:b].tobytes().decode() for a, b in zip(start[at], stop[at], strict=True)]
+            self._learn(fresh[new], pieces)
+            known = np.array([self.index[h] for h in fresh.tolist()], dtype=np.int64)
+            entries[missed] = known[inverse]
+        return entries
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, an end id behind each, and how many every text has."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        n = len(texts)
+        if not n:
+            return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
+        raw, bounds = flat_bytes(texts)
+        kinds = CLASSES[raw]
+        begins = np.zeros(len(raw) + 1, dtype=bool)
+        begins[bounds] = True
+        begins = begins[: len(raw)]
+        before = np.r_[np.uint8(LINE), kinds[:-1]]
+        space, space_before = kinds >= BLANK, before >= BLANK
+        odd = kinds == WHOLE
+        odd |= space & space_before & ~begins
+        odd |= begins & (kinds == BLANK)
+        odd[:-1] |= (raw[:-1] == 0x3C) & (raw[1:] == 0x7C)
+        odd[:-1] |= (raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7))
+        filled = np.flatnonzero(np.diff(bounds) > 0)
+        last = bounds[filled + 1] - 1
+        odd[last] |= kinds[last] == BLANK
+        apart = np.unique(np.searchsorted(bounds, np.flatnonzero(odd), side="right") - 1)
+        first = begins | space | ((kinds != before) & (before != BLANK))
+        start = np.flatnonzero(first)
+        stop = np.r_[start[1:], len(raw)][: len(start)]
+        owner = np.searchsorted(bounds, start, side="right") - 1
+        if len(apart):
+            plain = np.ones(n, dtype=bool)
+            plain[apart] = False
+            keep = plain[owner]
+            start, stop, owner = start[keep], stop[keep], owner[keep]
+        hashes = self._hashes(raw, start, stop)
+        entries = self._entries(hashes, raw, start, stop)
+        # The end of every text is an entry behind its pieces.
+        counts = np.bincount(owner, minlength=n)
+        places = np.insert(entries, np.cumsum(counts), 0)
+        sizes = self.sizes[places]
+        ids = self.flat[_spread(self.starts[places], sizes)]
+        counts += 1
+        lengths = np.add.reduceat(sizes, np.cumsum(counts) - counts)
+        if len(apart):
+            parts = np.split(ids, np.cumsum(lengths)[:-1])
+            own = self.whole([texts[int(i)].as_py() for i in apart])
+            for i, found in zip(apart.tolist(), own, strict=True):
+                parts[i] = np.array([*found, END], dtype=np.uint32)
+            ids, lengths = np.concatenate(parts), np.array([len(x) for x in parts])
+        return ids, lengths
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One per worker process, so that tasks after the first find it loaded."""
+    return Encoder(path)
 
 
 def _slots(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -258,15 +339,16 @@ def write(documents: DataFrame, tokenizer: str) -> DataFrame:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encode = Encoder(tokenizer)
+        encode = encoder(tokenizer)
         held: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
         names: list[int | None] = []
         size, block, first = 0, 0, 0
 
         def flush():
             ids = np.concatenate(held)
             rules, spans, rest = compress(ids)
-            ends = np.cumsum([len(x) for x in held]).astype("<u8")
+            ends = np.cumsum(np.concatenate(counts)).astype("<u8")
             row = {
                 "part": [part], "block": [block], "first": [first], "n_ids": [len(ids)],
                 "doc_ids": [names], "ends": [ends.tobytes()],
@@ -276,17 +358,16 @@ def write(documents: DataFrame, tokenizer: str) -> DataFrame:
             return pa.RecordBatch.from_pydict(row, schema=BLOCK_TYPES)
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                rows = batch.slice(start, 256)
-                texts = [x or "" for x in rows.column(1).to_pylist()]
-                for name, ids in zip(rows.column(0).to_pylist(), encode(texts), strict=True):
-                    held.append(ids)
-                    names.append(name)
-                    size += len(ids)
-                    if size >= BLOCK_IDS:
-                        yield flush()
-                        block, first = block + 1, first + size
-                        held, names, size = [], [], 0
+            for rows in row_slices(batch, 1, SLICE):
+                ids, lengths = encode(rows.column(1))
+                held.append(ids)
+                counts.append(lengths)
+                names += rows.column(0).to_pylist()
+                size += len(ids)
+                if size >= BLOCK_IDS:
+                    yield flush()
+                    block, first = block + 1, first + size
+                    held, counts, names, size = [], [], [], 0
         if held:
             yield flush()
 

@@ -292,7 +292,9 @@ def test_re_pair_round_trip(n, alphabet, seed):
 def test_pieces_are_encoded_as_the_whole(parts):
     text = "".join(parts)
     encoder = test_pieces_are_encoded_as_the_whole.__dict__.setdefault("e", tokenids.Encoder(TOKENIZER))
-    assert encoder([text])[0].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids + [0]
+    ids, lengths = encoder(pa.array([text, None, text, "", "the end"])[:3])
+    own = encoder.tokenizer.encode(text, add_special_tokens=False).ids + [0]
+    assert ids.tolist() == own + [0] + own and lengths.tolist() == [len(own), 1, len(own)]
 
 
 def test_files_hold_the_ids(spark, monkeypatch):
