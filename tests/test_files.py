@@ -138,3 +138,15 @@ def test_staged_copies_can_be_released(spark):
     assert os.path.isdir(folder)
     release(staged)
     assert not os.path.isdir(folder)
+
+
+def test_report_run_writes_its_tables(spark, tmp_path):
+    from orderlens.plans import reports
+
+    sales = star.sales(spark, SF)
+    wanted = ["yearly_revenue", "brand_by_month", "customer_health", "return_rate"]
+    written = reports.write_all_reports(sales, str(tmp_path / "reports"), wanted)
+    assert list(written) == wanted and len(reports.REPORTS) == len(reports.PLANS)
+    for name, path in written.items():
+        read = spark.read.option("header", "true").csv(path)
+        assert read.columns == reports.REPORTS[name](sales).columns and read.count() > 0
