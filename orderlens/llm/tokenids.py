@@ -395,8 +395,11 @@ def read(blocks: DataFrame) -> DataFrame:
     sent = spark.sparkContext.broadcast(offsets)
 
     def run(batches):
+        # A worker that has encoded before needs its tokenizer no more.
+        encoder.cache_clear()
         for batch in batches:
-            for row in batch.to_pylist():
+            for place in range(batch.num_rows):
+                row = batch.slice(place, 1).to_pylist()[0]
                 rules = np.frombuffer(row["rules"], dtype="<u4").reshape(-1, 2)
                 spans = np.frombuffer(row["spans"], dtype="<u4")
                 ids = expand(rules, spans, np.frombuffer(row["ids"], dtype="<u4")).astype("<u4")
