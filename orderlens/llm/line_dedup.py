@@ -4,14 +4,17 @@ Every line gets an id. Prefix doubling names, for each place, the run of 2^k lin
 that begins there: the name of a run of twice the length is made from the names of
 its halves, and equal runs get equal names, the place where the run first stands.
 Runs that stand only once drop out at once, so later rounds work on repeated
-places alone, and rounds end with the longest repeated run. The names of one
-length are the intervals of the suffix array in which neighbours share at least
-that many lines; in between, runs of 3, 5, 6 and 7 lines and then of one and a half
-times each length are named too, so a run of more than eight lines counts by runs
-of at least two thirds of it. A run whose first place is elsewhere is a later
-copy. Later copies with at least ``least_words`` words are deleted; overlapping
-ones are one maximal stretch. The first copy (by doc_id, then row, then line)
-always stays.
+places alone, and rounds end with the longest repeated run.
+
+The names then give, for each place, the longest run that begins there and stood
+earlier (of any length), by a descent over the powers of two. Places that share
+their first lines are a group; where several of a group go on with the same 2^k
+lines, they become a group of their own, and the first of them alone stays to stand
+for all in the old one. So every place is a later copy in one group, the deepest
+with an earlier place, and groups never hold more than two rows per place.
+
+A longest run with at least ``least_words`` words is deleted; overlapping ones are
+one maximal stretch. The first copy (by doc_id, then row, then line) always stays.
 
 Only DataFrame functions are used; every round is written to the shared folder.
 Defined results: null and empty texts have no lines; repeated rows are copies of
@@ -21,9 +24,7 @@ by a 64-bit hash and their length.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.llm.common import pick, stage
@@ -62,26 +63,76 @@ def _named(places: DataFrame, *key: str) -> DataFrame:
     return found.drop("key")
 
 
-def _joined(names: DataFrame, length: int, tail: DataFrame) -> DataFrame:
-    """The runs made of a named run of ``length`` lines and a named run right behind it."""
-    behind = tail.select(
+def _behind(names: DataFrame) -> DataFrame:
+    return names.select(
         F.col("row").alias("_row"),
-        (F.col("line") - length).alias("_line"),
+        F.col("line").alias("_line"),
         F.col("name").alias("_name"),
         F.col("words").alias("_words"),
     )
-    same = (F.col("row") == F.col("_row")) & (F.col("line") == F.col("_line"))
-    runs = names.join(behind, same).withColumn("words", F.col("words") + F.col("_words"))
+
+
+def _doubled(names: DataFrame, length: int) -> DataFrame:
+    """The runs made of a named run of ``length`` lines and another one right behind it."""
+    same = (F.col("row") == F.col("_row")) & (F.col("line") + length == F.col("_line"))
+    runs = names.join(_behind(names), same).withColumn("words", F.col("words") + F.col("_words"))
     return stage(_named(runs, "name", "_name"))
 
 
-def _later(names: DataFrame, length: int, least_words: int) -> DataFrame:
-    """Runs that first stood elsewhere and have words enough."""
-    here = (F.col("name.row") == F.col("row")) & (F.col("name.line") == F.col("line"))
-    return names.where(~here & (F.col("words") >= least_words)).select(
-        "doc_id", "row", "line", (F.col("line") + length).alias("stop"),
-        F.col("name.doc_id").alias("first_doc_id"),
-    )
+def _is(place: str) -> Column:
+    return (F.col(f"{place}.row") == F.col("row")) & (F.col(f"{place}.line") == F.col("line"))
+
+
+def _entering(named: list[DataFrame], k: int) -> DataFrame:
+    """doc_id, row, line, words, first, length: places whose longest run has 2^k lines or
+    more but under 2^(k + 1), and the first places of their groups."""
+    names = named[k].withColumnRenamed("name", "first").withColumn("length", F.lit(1 << k).cast("bigint"))
+    if k + 1 == len(named):
+        return names
+    longer = named[k + 1].where(~_is("name")).select("row", "line")
+    return names.join(longer, ["row", "line"], "left_anti").select(*names.columns)
+
+
+def _extended(places: DataFrame, names: DataFrame, length: int) -> DataFrame:
+    """Groups cut by the ``length`` lines that follow: all who share them go on together."""
+    same = (F.col("row") == F.col("_row")) & (F.col("line") + F.col("length") == F.col("_line"))
+    keyed = places.join(_behind(names), same, "left").withColumn(
+        "key", F.when(F.col("_name").isNotNull(), F.xxhash64("first", "length", "_name"))
+    )
+    groups = (
+        keyed.where("key IS NOT NULL")
+        .groupBy("key")
+        .agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("doc_id", "row", "line")).alias("start"))
+        .where("rows > 1")
+    )
+    found = attach(keyed, groups, ["key"], "rows")
+    stays = F.struct("words", "first", "length")
+    goes = F.struct(
+        (F.col("words") + F.col("_words")).alias("words"),
+        F.col("start").alias("first"),
+        (F.col("length") + length).alias("length"),
+    )
+    into = (
+        F.when(F.col("start").isNull(), F.array(stays))
+        .when(_is("start"), F.array(stays, goes))
+        .otherwise(F.array(goes))
+    )
+    return found.select("doc_id", "row", "line", F.explode(into).alias("_")).select("doc_id", "row", "line", "_.*")
+
+
+def longest_copies(numbered: DataFrame) -> DataFrame:
+    """doc_id, row, line, words, first, length: per place the longest run that stood earlier.
+
+    ``first`` is the place where that run first stands. Places without one are left out.
+    """
+    named = [stage(_named(lines(numbered), "id"))]
+    while not named[-1].isEmpty():
+        named.append(_doubled(named[-1], 1 << len(named) - 1))
+    places = None
+    for k in reversed(range(len(named))):
+        entering = _entering(named, k)
+        places = stage(entering if places is None else _extended(places, named[k], 1 << k).unionByName(entering))
+    return places.where(~_is("first"))
 
 
 def repeated_runs(numbered: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -89,29 +140,21 @@ def repeated_runs(numbered: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
 
     ``numbered`` has doc_id, row (unique) and text.
     """
-    named = {1: stage(_named(lines(numbered), "id"))}
-    length = 1
-    while not named[length].isEmpty():
-        # Between powers of two: 3, 5, 6, 7, then half as much again.
-        between = {1: (), 2: (1,), 4: (1, 2, 3)}.get(length, (length // 2,))
-        for extra in between:
-            named[length + extra] = _joined(named[length], length, named[extra])
-        named[2 * length] = _joined(named[length], length, named[length])
-        length *= 2
-    found = reduce(DataFrame.unionAll, [_later(n, size, least_words) for size, n in named.items()])
-    return _merged(found)
+    found = longest_copies(numbered).where(F.col("words") >= least_words)
+    return _merged(
+        found.select(
+            "doc_id", "row", "line", (F.col("line") + F.col("length")).alias("stop"),
+            F.col("first.doc_id").alias("first_doc_id"),
+        )
+    )
 
 
 def _merged(found: DataFrame) -> DataFrame:
-    """Overlapping runs of a document as one stretch."""
-    along = Window.partitionBy("row").orderBy("line", F.desc("stop"))
+    """Overlapping runs of a document (one per line at most) as one stretch."""
+    along = Window.partitionBy("row").orderBy("line")
     reached = F.max("stop").over(along.rowsBetween(Window.unboundedPreceding, -1))
-    # Of the runs that begin at one line only the longest counts.
-    longest = found.groupBy("row", "line").agg(
-        F.max("doc_id").alias("doc_id"), F.max(F.struct("stop", "first_doc_id")).alias("best")
-    ).select("row", "line", "doc_id", "best.stop", "best.first_doc_id")
     fresh = F.coalesce(F.col("line") >= reached, F.lit(True)).cast("int")
-    stretch = longest.withColumn("fresh", fresh).withColumn("stretch", F.sum("fresh").over(along))
+    stretch = found.withColumn("fresh", fresh).withColumn("stretch", F.sum("fresh").over(along))
     return (
         stretch.groupBy("row", "stretch")
         .agg(
