@@ -12,9 +12,11 @@ or more must share one of the first ``n - ceil(0.8 n) + 1``. So:
    is dropped if sizes rule a link out or it shares fewer prefix shingles than a
    link needs. Where many share one, they are candidates without being paired.
 4. Candidates form families. Groups are expanded to their nodes, families are cut
-   into blocks and blocks are compared as matrices of whole sets, which emits a
-   forest of links instead of all pairs. The comparisons within a family grow with
-   the square of its size, as its copies may drift apart; the rows do not.
+   into blocks and blocks are compared as matrices of whole sets. For classes and
+   numbers of links every node of a block pair gives one row, with the sum of its
+   links there and the root of its tree; ``links`` and ``pairs`` list every link. The
+   comparisons within a family grow with the square of its size, as its copies may
+   drift apart.
 5. Links become components.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased; a
@@ -265,8 +267,8 @@ def _sets(documents: DataFrame, families: DataFrame, shared) -> DataFrame:
     return stage(found.select("family", "node", "content").dropDuplicates(["node"]))
 
 
-def _forest(contents: list[np.ndarray], nodes_: np.ndarray, sides: np.ndarray):
-    """Links across (or, on one side only, within) a block pair, as a spanning forest.
+def _good(contents: list[np.ndarray], sides: np.ndarray) -> np.ndarray:
+    """Which sets are linked across (or, on one side only, within) a block pair.
 
     Overlaps come from products of 0/1 matrices over the shingles that occur twice.
     """
@@ -292,7 +294,12 @@ def _forest(contents: list[np.ndarray], nodes_: np.ndarray, sides: np.ndarray):
     np.fill_diagonal(good, False)
     if sides.min() != sides.max():
         good &= sides[:, None] != sides[None, :]
-    parent = list(range(m))
+    return good
+
+
+def _trees(good: np.ndarray) -> np.ndarray:
+    """For every place the least one it is connected with."""
+    parent = list(range(len(good)))
 
     def top(i: int) -> int:
         while parent[i] != i:
@@ -300,17 +307,20 @@ def _forest(contents: list[np.ndarray], nodes_: np.ndarray, sides: np.ndarray):
             i = parent[i]
         return i
 
-    edges = []
     for i, j in zip(*np.nonzero(np.triu(good)), strict=True):
         a, b = top(i), top(j)
         if a != b:
             parent[max(a, b)] = min(a, b)
-            edges.append((int(nodes_[i]), int(nodes_[j])))
-    return edges
+    return np.array([top(i) for i in range(len(good))], dtype=np.int64)
 
 
-def _family_links(sets: DataFrame) -> DataFrame:
-    """Links within families, block pair by block pair."""
+def _family_links(sets: DataFrame, every: bool = False) -> DataFrame:
+    """a, b, links: what is linked within families, block pair by block pair.
+
+    With ``every`` one row per linked pair, else one per node that has links in the
+    block pair: ``b`` is the root of its tree there, and ``links`` the sum of the
+    copies of the sets it is linked with. A pair meets in one block pair only.
+    """
     members = sets.groupBy("family").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     members = members.withColumn("rows", F.col("members"))
     sized = attach(sets, members, ["family"], "rows").where("members IS NOT NULL")
@@ -327,20 +337,26 @@ def _family_links(sets: DataFrame) -> DataFrame:
             "node",
             (F.col("block") > F.col("other")).cast("int").alias("side"),
             "content",
+            "copies",
         )
     )
 
     def compare(batch: pa.Table) -> pa.Table:
         contents = [unpack(c.as_py()) for c in batch.column("content")]
-        edges = _forest(
-            contents,
-            np.asarray(batch.column("node").combine_chunks()),
-            np.asarray(batch.column("side").combine_chunks()),
-        )
-        a, b = zip(*edges, strict=True) if edges else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        number = lambda name: np.asarray(batch.column(name).combine_chunks())
+        node, copies = number("node"), number("copies").astype(np.int64)
+        good = _good(contents, number("side"))
+        if every:
+            i, j = np.nonzero(np.triu(good))
+            a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+            links_ = np.ones(len(i), dtype=np.int64)
+        else:
+            i = np.flatnonzero(good.any(axis=1))
+            a, b = node[i], node[_trees(good)[i]]
+            links_ = np.array([copies[row].sum() for row in good[i]], dtype=np.int64)
+        return pa.table({"a": pa.array(a), "b": pa.array(b), "links": pa.array(links_)})
 
-    return placed.groupBy("family", "low", "high").applyInArrow(compare, "a long, b long")
+    return placed.groupBy("family", "low", "high").applyInArrow(compare, "a long, b long, links long")
 
 
 def _least_shared(n: str, m: str) -> F.Column:
@@ -379,8 +395,8 @@ def _candidates(met: DataFrame) -> DataFrame:
     return stage(starred.unionAll(several).distinct().unionAll(paired))
 
 
-def links(documents: DataFrame) -> DataFrame:
-    """a, b: links that connect exactly the nodes that are connected."""
+def _families(documents: DataFrame) -> DataFrame:
+    """family, node, content: every linked pair of nodes is within one family."""
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(Among(_shared_tokens(documents)))
     spread = _prefixes(documents, shared).select(
@@ -398,7 +414,34 @@ def links(documents: DataFrame) -> DataFrame:
     families = groups.join(family, "node", "left").select(
         F.col("node").alias("group"), F.coalesce("root", "node").alias("family")
     )
-    return _family_links(_sets(documents, stage(families), shared))
+    return _sets(documents, stage(families), shared)
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    return rows.where("n > 0").groupBy("node").agg(
+        F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")
+    )
+
+
+def links(documents: DataFrame) -> DataFrame:
+    """a, b: every pair of different sets that are linked, once (a < b, as nodes)."""
+    sets = _families(documents).withColumn("copies", F.lit(1).cast("bigint"))
+    return _family_links(sets, every=True).select("a", "b")
+
+
+def pairs(documents: DataFrame) -> DataFrame:
+    """doc_a, doc_b: every linked pair of different sets, by the smallest id that has each.
+
+    Copies of a document are linked as it is; their rows are not listed.
+    """
+    named = stage(_named(stage(nodes(documents)))).select("node", "least")
+    a = named.select(F.col("node").alias("a"), F.col("least").alias("x"))
+    b = named.select(F.col("node").alias("b"), F.col("least").alias("y"))
+    joined = links(documents).join(a, "a").join(b, "b")
+    return joined.select(
+        F.when(F.col("y") < F.col("x"), F.col("y")).otherwise(F.col("x")).alias("doc_a"),
+        F.when(F.col("y") < F.col("x"), F.col("x")).otherwise(F.col("y")).alias("doc_b"),
+    )
 
 
 def _with_root(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -408,20 +451,28 @@ def _with_root(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _classified(documents: DataFrame) -> DataFrame:
-    """doc_id, print, n, root (of the component of nodes), component_id per row."""
+    """doc_id, print, n, root (of the component of nodes), component_id, n_links per row."""
     rows = stage(nodes(documents))
-    named = rows.where("n > 0").groupBy("node").agg(
-        F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")
-    )
-    found = stage(roots(links(documents)))
-    rooted = stage(_with_root(named, found))
+    named = _named(rows)
+    copies = named.select("node", F.col("rows").alias("copies"))
+    linked_ = stage(_family_links(_families(documents).join(copies, "node")))
+    found = stage(roots(linked_.select("a", "b")))
+    others = linked_.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    rooted = stage(_with_root(named, found).join(others, "node", "left"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("nodes"))
     summary = rooted.join(least.where("nodes > 1").drop("nodes"), "root", "left").select(
-        "node", "rows", "root", F.coalesce("component", "least").alias("component")
+        "node",
+        "rows",
+        "root",
+        F.coalesce("component", "least").alias("component"),
+        (F.col("rows") - 1 + F.coalesce("links", F.lit(0))).alias("others"),
     )
     joined = attach(rows, summary, ["node"], "rows")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    return joined.select("doc_id", "print", "n", "root", own.alias("component_id"))
+    return joined.select(
+        "doc_id", "print", "n", "root", own.alias("component_id"),
+        F.coalesce("others", F.lit(0)).cast("bigint").alias("n_links"),
+    )
 
 
 def components(documents: DataFrame) -> DataFrame:
@@ -429,6 +480,13 @@ def components(documents: DataFrame) -> DataFrame:
     return _classified(documents).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
+def linked_rows(documents: DataFrame) -> DataFrame:
+    """As ``components``, and n_links: with how many other rows the row is linked, copies included."""
+    return _classified(documents).select(
+        "doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links"
+    )
+
+
 def one_of_each(documents: DataFrame) -> DataFrame:
     """The rows with one document of each component kept (the smallest id), all columns kept.
 

@@ -1,10 +1,11 @@
 """What the operators once left out, each against plain Python."""
 
+import itertools
 import random
 
 import pytest
 
-from orderlens.llm import line_dedup
+from orderlens.llm import jaccard, line_dedup
 
 
 # ---- line dedup -----------------------------------------------------------------------------------
@@ -57,3 +58,38 @@ def test_line_runs_of_every_length(spark, seed):
     for least in (12, 25):
         expected = plain_deletions(texts, least)
         assert found_deletions(spark, texts, least) == expected and expected
+
+
+# ---- Jaccard join ---------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("family", [2, 1000])
+def test_no_link_is_lost(spark, monkeypatch, family):
+    monkeypatch.setattr(jaccard, "FAMILY", family)
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    rng = random.Random(4)
+    texts = ["", "", "a b", "a b"]
+    for _ in range(3):
+        base = [f"w{rng.randrange(300)}" for _ in range(60)]
+        for n in range(20):
+            words = list(base)
+            for _ in range(n % 3):
+                words[rng.randrange(60)] = f"z{rng.randrange(999)}"
+            texts.append(" ".join(words))
+    sets = []
+    for text in texts:
+        w = text.split()
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+    number, pairs = [0] * len(texts), set()
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        both = len(sets[i] & sets[j])
+        if both and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+            number[i] += 1
+            number[j] += 1
+            if sets[i] != sets[j]:
+                pairs.add(tuple(sorted((sets.index(sets[i]), sets.index(sets[j])))))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, jaccard.pairs(docs).collect())) == sorted(pairs) and pairs
+    assert jaccard.links(docs).count() == len(pairs)
+    found = {r.doc_id: r.n_links for r in jaccard.linked_rows(docs).collect()}
+    assert found == dict(enumerate(number))
