@@ -36,21 +36,19 @@ def ticket(column: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
-def without_ids(documents: DataFrame, ids: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
-    """The rows whose doc_id is not among ``ids`` (one column; null is an id), all columns kept.
+def without_rows(documents: DataFrame, found: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
+    """The rows that are not among ``found`` (doc_id, xxhash64 of the text; null is an id), all columns kept.
 
-    The ids are computed first and counted: few enough are broadcast, so that the
+    ``found`` is computed first and counted: few enough are broadcast, so that the
     documents stay where they are, else both sides are shuffled.
     """
     names = documents.columns
     plain = documents.toDF(*[f"_{i}" for i in range(len(names))])
-    found = stage(ids.toDF("_id").distinct())
-    few = found.count() <= broadcast_rows
-    own = F.col(f"_{names.index('doc_id')}")
-    kept = plain.join(
-        F.broadcast(found) if few else found, own.eqNullSafe(F.col("_id")), "left_anti"
-    )
-    return kept.toDF(*names)
+    gone = stage(found.toDF("_id", "_print").distinct())
+    few = gone.count() <= broadcast_rows
+    own = F.col(f"_{names.index('doc_id')}").eqNullSafe(F.col("_id"))
+    same = own & (F.xxhash64(f"_{names.index('text')}") == F.col("_print"))
+    return plain.join(F.broadcast(gone) if few else gone, same, "left_anti").toDF(*names)
 
 
 def row_slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import WordHasher, _mix, pick, row_slices, stage, without_ids
+from orderlens.llm.common import WordHasher, _mix, pick, row_slices, stage, without_rows
 
 MASKS = ((0, 1, 2, 3), (0, 2, 3, 4), (0, 1, 3, 4), (0, 1, 2, 4))
 SPAN = 5
@@ -111,6 +111,11 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     item_word are where the aligned stretch begins (words from 0), similarity the
     best share of equal words over a window.
     """
+    return _verified(documents, benchmark).drop("print").distinct()
+
+
+def _verified(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``overlaps`` with the hash of the text, ``print``, as they are found."""
     spark = documents.sparkSession
     numbered = pick(benchmark, "item_id", "text").select(
         F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("bigint"), "text"
@@ -123,8 +128,8 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         hasher = WordHasher(SEPARATORS)
         table = sent.value
         for batch in batches:
-            for piece in row_slices(batch, 1, SLICE):
-                words, bounds = hasher(piece.column(1))
+            for piece in row_slices(batch, 2, SLICE):
+                words, bounds = hasher(piece.column(2))
                 found = []
                 for mask in range(len(MASKS)):
                     hashes = seeds(words, mask)
@@ -157,21 +162,23 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         piece.column(0).cast(pa.int64()).take(pa.array(owner[begins])),
+                        piece.column(1).take(pa.array(owner[begins])),
                         pa.array(low - bounds[owner[begins]], pa.int64()),
                         lists(stretches, pa.int64()),
                         lists(cut(at - bounds[owner]), pa.int64()),
                         lists(cut(mask), pa.int32()),
                         lists(cut(seed), pa.int64()),
                     ],
-                    ["doc_id", "low", "words", "places", "masks", "seeds"],
+                    ["doc_id", "print", "low", "words", "places", "masks", "seeds"],
                 )
 
     schema = (
-        "doc_id long, low long, words array<long>, places array<long>, masks array<int>, "
+        "doc_id long, print long, low long, words array<long>, places array<long>, masks array<int>, "
         "seeds array<long>"
     )
     stretches = stage(
         pick(documents, "doc_id", "text")
+        .select("doc_id", F.xxhash64("text").alias("print"), "text")
         .mapInArrow(scan, schema)
         .withColumn("stretch", F.monotonically_increasing_id())
     )
@@ -188,15 +195,15 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     texts = items.where("mask = 0 and place = 0").select("item", "item_id", "item_words")
     pairs = (
-        diagonals.join(stretches.select("stretch", "doc_id", "low", "words"), "stretch")
+        diagonals.join(stretches.select("stretch", "doc_id", "print", "low", "words"), "stretch")
         .join(texts, "item")
-        .select("doc_id", "item_id", "diagonal", "low", "words", "item_words")
+        .select("doc_id", "print", "item_id", "diagonal", "low", "words", "item_words")
     )
 
     def verify(batches):
         for batch in batches:
             rows = []
-            for doc, item, diagonal, low, words, own in zip(
+            for doc, text, item, diagonal, low, words, own in zip(
                 *(c.to_pylist() for c in batch.columns), strict=True
             ):
                 first = max(0, low - diagonal)
@@ -210,23 +217,27 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                 if 5 * sums.max() < 4 * width:
                     continue
                 rows.append(
-                    (doc, item, diagonal + first, first, len(equal), int(equal.sum()),
+                    (doc, text, item, diagonal + first, first, len(equal), int(equal.sum()),
                      float(sums.max()) / width)
                 )
             if rows:
-                kinds = [pa.int64()] * 6 + [pa.float64()]
+                kinds = [pa.int64()] * 7 + [pa.float64()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)],
-                    ["doc_id", "item_id", "doc_word", "item_word", "n_aligned", "n_equal", "similarity"],
+                    ["doc_id", "print", "item_id", "doc_word", "item_word", "n_aligned", "n_equal", "similarity"],
                 )
 
     return pairs.mapInArrow(
         verify,
-        "doc_id long, item_id long, doc_word long, item_word long, n_aligned long, "
+        "doc_id long, print long, item_id long, doc_word long, item_word long, n_aligned long, "
         "n_equal long, similarity double",
-    ).distinct()
+    )
 
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows without a verified overlap, all columns kept."""
-    return without_ids(documents, overlaps(documents, benchmark).select("doc_id"))
+    """The rows without a verified overlap, all columns kept.
+
+    A row goes by its doc_id and text, so a clean row that has the id (or the null)
+    of an overlapping one stays.
+    """
+    return without_rows(documents, _verified(documents, benchmark).select("doc_id", "print"))

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from orderlens.llm import jaccard, line_dedup
+from orderlens.llm import decontamination, jaccard, line_dedup
 
 
 # ---- line dedup -----------------------------------------------------------------------------------
@@ -93,3 +93,17 @@ def test_no_link_is_lost(spark, monkeypatch, family):
     assert jaccard.links(docs).count() == len(pairs)
     found = {r.doc_id: r.n_links for r in jaccard.linked_rows(docs).collect()}
     assert found == dict(enumerate(number))
+
+
+# ---- decontamination ------------------------------------------------------------------------------
+
+
+def test_clean_rows_with_the_id_of_a_hit_stay(spark):
+    hit = "one two three four five six"
+    rows = [(None, hit), (None, "clean"), (None, None), (4, hit), (4, "other words here"), (5, f"so {hit}"), (6, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    benchmark = spark.createDataFrame([(3, hit)], "item_id long, text string")
+    kept = {tuple(r) for r in decontamination.clean(docs, benchmark).collect()}
+    assert kept == {(None, "clean"), (None, None), (4, "other words here"), (6, "x")}
+    found = decontamination.overlaps(docs, benchmark)
+    assert sorted((r.doc_id or 0) for r in found.collect()) == [0, 4, 5] and "print" not in found.columns
