@@ -10,6 +10,7 @@ from orderlens.llm import (
     licenses,
     line_dedup,
     mixing,
+    periodic,
     pii,
     secret_scan,
     tokenids,
@@ -66,11 +67,15 @@ def op10_jaccard(spark, folder):
     return jaccard.components(table(spark, folder, "documents"))
 
 
+def op13_periodic_runs(spark, folder):
+    return periodic.digests(periodic.runs(periodic.with_repeats(table(spark, folder, "documents"))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_licenses, op3_pii, op4_decontamination, op5_topk, op6_token_ids,
-        op7_line_dedup, op8_secrets, op9_mixing, op10_jaccard,
+        op7_line_dedup, op8_secrets, op9_mixing, op10_jaccard, op13_periodic_runs,
     )
 }
 
@@ -140,7 +145,8 @@ FROM h JOIN d USING (row) JOIN i USING (item) WHERE 5 * best >= 4 * width
 WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS row, doc_id, string_split(text, chr(10)) AS a
   FROM documents WHERE length(text) > 0),
 n AS (SELECT row, doc_id, list_transform(a, lambda x: hash(x)) AS h, list_transform(a,
-    lambda x: len(regexp_extract_all(x, '[^ 	-]+'))) AS c FROM d),
+    lambda x: len(regexp_extract_all(x, '[^ 	-
+]+'))) AS c FROM d),
 z AS (SELECT unnest([1, 2, 3, 4, 5, 6, 7, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 768,
   1024, 1536, 2048]) AS size),
 r AS (SELECT row, doc_id, i, size, h[i:i + size - 1] AS run, list_sum(c[i:i + size - 1]) AS words
