@@ -5,8 +5,8 @@ identical), at least ``max(24, 3 q)`` words long, that no neighbouring word exte
 
 1. Re-Pair: the words of a slice of texts become ids, and frequent pairs of
    neighbouring symbols are replaced by nonterminals, in rounds, until no pair
-   repeats. Within a round a pair is replaced where it is more frequent than the
-   pairs it overlaps. Texts of a slice share one grammar, so what copies have in
+   repeats. Within a round a pair is replaced where it is more frequent (by powers
+   of two) than the pairs it overlaps. Texts of a slice share one grammar, so what copies have in
    common is one nonterminal. A nonterminal is made in one round, so that round
    knows all its derivation positions.
 2. Every run has a lowest node of the derivation that contains it, and crosses the
@@ -118,15 +118,21 @@ def grammar(ids: np.ndarray, text: np.ndarray, least: int = LEAST):
         slots = (mixed >> np.uint64(64 - bits)).astype(np.int64)
         maybe = np.bincount(slots, minlength=1 << bits)[slots] > 1
         at, codes = at[maybe], codes[maybe]
-        pairs, which, counts = np.unique(codes, return_inverse=True, return_counts=True)
+        # Numbered in the order of their hashes (the mixing is one to one), as ties go by number:
+        # an order along the text would let one pair in a row win per round.
+        _, shown, which, counts = np.unique(
+            mixed[maybe], return_index=True, return_inverse=True, return_counts=True
+        )
+        pairs = codes[shown]
         twice = counts[which] > 1
         at, which = at[twice], which[twice]
         if not len(at):
             break
-        # A pair wins over those it overlaps if it is more frequent (ties by number). Where a
-        # symbol stands many times in a row its pairs are one group, replaced at even places.
+        # A pair wins over those it overlaps if it is more frequent, by powers of two (ties by
+        # number). Where a symbol stands many times in a row its pairs are one group, replaced at
+        # even places.
         rank = np.zeros(len(symbols) + 1, dtype=np.int64)
-        rank[at + 1] = counts[which] << 32 | which + 1
+        rank[at + 1] = (np.frexp(counts)[1].astype(np.int64) << 32)[which] | which + 1
         head = np.flatnonzero(rank[1:] != rank[:-1]) + 1
         values = rank[head]
         before, after = np.r_[0, values[:-1]], np.r_[values[1:], 0]

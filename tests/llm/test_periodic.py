@@ -12,18 +12,18 @@ from hypothesis import strategies as st
 from orderlens.llm import periodic, queries
 
 
+SF = "/root/testdata/sf0.001"
+
+
 def plain_runs(words):
     """start, length, period of every run, by trying all periods."""
+    words = np.unique(words, return_inverse=True)[1] if len(words) else np.zeros(0, dtype=int)
     n, found = len(words), {}
     for q in range(1, n // 3 + 1):
-        s = 0
-        while s + q < n:
-            e = s
-            while e + q < n and words[e] == words[e + q]:
-                e += 1
+        equal = np.r_[False, words[:-q] == words[q:], False]
+        for s, e in np.flatnonzero(np.diff(equal)).reshape(-1, 2).tolist():
             if e - s + q >= max(24, 3 * q):
                 found.setdefault((s, e - s + q), q)
-            s = e + 1
     return sorted((s, length, q) for (s, length), q in found.items())
 
 
@@ -140,7 +140,7 @@ def plain_row(doc_id, text):
 
 
 def test_query_against_plain_python(spark):
-    folder = "/root/testdata/sf0.001"
+    folder = SF
     texts = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
     got = queries.QUERIES["op13_periodic_runs"](spark, folder)
     assert got.columns == [
