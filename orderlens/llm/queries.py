@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from orderlens.llm import (
     decontamination,
+    fertility,
     jaccard,
     licenses,
     line_dedup,
     mixing,
     periodic,
     pii,
+    resampling,
     secret_scan,
     tokenids,
     topk,
@@ -67,6 +69,19 @@ def op10_jaccard(spark, folder):
     return jaccard.components(table(spark, folder, "documents"))
 
 
+def op11_resampling(spark, folder):
+    found = resampling.resampled(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_quality_rules(spark, folder):
+    from public_tokenizers import path
+
+    return fertility.rules(
+        table(spark, folder, "documents"), path("piece_bpe_32k.model"), path("byte_bpe_50k.json")
+    )
+
+
 def op13_periodic_runs(spark, folder):
     return periodic.digests(periodic.runs(periodic.with_repeats(table(spark, folder, "documents"))))
 
@@ -75,7 +90,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_licenses, op3_pii, op4_decontamination, op5_topk, op6_token_ids,
-        op7_line_dedup, op8_secrets, op9_mixing, op10_jaccard, op13_periodic_runs,
+        op7_line_dedup, op8_secrets, op9_mixing, op10_jaccard, op11_resampling,
+        op12_quality_rules, op13_periodic_runs,
     )
 }
 
@@ -83,6 +99,14 @@ WORDS = (
     "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
     r"'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 )
+# crc32 of the UTF-8 bytes of ``word``, four bits at a time, low half of every byte first. Fixed
+# values: the remainders of the sixteen half bytes (polynomial 0xEDB88320, reflected).
+CRC32 = """xor(4294967295, list_reduce(
+    list_transform(range(1, len(hex(encode(word))) + 1), lambda p: CAST('0x' || substr(hex(encode(word)),
+      CAST(CASE WHEN p % 2 = 1 THEN p + 1 ELSE p - 1 END AS BIGINT), 1) AS BIGINT)),
+    lambda a, x: xor(a >> 4, [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960,
+      1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012,
+      2685067896, 3183342108][1 + CAST(xor(a & 15, x) AS INTEGER)]), 4294967295))"""
 LICENSE_ROWS = ", ".join(
     "({}, '{}', {}, {}, {}, '{}', '{}', {})".format(
         *row[:7], "NULL" if row[7] is None else f"'{row[7]}'"
@@ -186,6 +210,30 @@ WITH RECURSIVE w AS (
 ), c AS (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id)
 SELECT documents.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
 FROM documents JOIN c ON c.doc_id = documents.doc_id LEFT JOIN n ON n.doc_id = documents.doc_id
+""",
+    "op11_resampling": f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {WORDS} AS w FROM documents),
+f AS (SELECT row, word, count(*) AS n FROM (SELECT row, unnest(w) AS word FROM d) GROUP BY ALL),
+a AS (SELECT word, count(*) AS n FROM (SELECT unnest({WORDS}) AS word FROM benchmark) GROUP BY word),
+b AS (SELECT word, {CRC32} % 10000 AS bucket FROM (SELECT word FROM f UNION SELECT word FROM a)),
+s AS (SELECT bucket, sum(n) AS s FROM f JOIN b USING (word) GROUP BY bucket),
+t AS (SELECT bucket, sum(n) AS t FROM a JOIN b USING (word) GROUP BY bucket),
+g AS (SELECT i AS bucket, floor(1000 * ln(
+    (coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)::DOUBLE
+    / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE))) AS gain
+  FROM range(10000) r(i) LEFT JOIN s ON s.bucket = i LEFT JOIN t ON t.bucket = i),
+w AS (SELECT row, floor(sum(gain * n) / sum(n)) AS weight
+  FROM f JOIN b USING (word) JOIN g USING (bucket) GROUP BY row),
+o AS (SELECT row, doc_id, len(w) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+  FROM d LEFT JOIN w USING (row)),
+p AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM o),
+r AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id) AS rank,
+    10 * count(*) OVER () // 100 AS most FROM p WHERE n_features >= 20)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score,
+  CASE WHEN rank <= most THEN rank END AS rank
+FROM p LEFT JOIN r USING (row)
 """,
     "op5_topk": """
 WITH v AS (
