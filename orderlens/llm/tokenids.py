@@ -2,8 +2,10 @@
 
 Texts are encoded in ascending doc_id order. Ids are collected into blocks of a
 fixed size (whole documents, one at least) and each block is compressed by
-Re-Pair: the most frequent pairs of neighbouring ids are replaced by new ids, in
-rounds, until no pair is frequent. A block stores
+Re-Pair: frequent pairs of neighbouring ids are replaced by new ids, in rounds,
+until no pair occurs ``LEAST`` times. In a round a pair is replaced where it is more
+frequent (by powers of two) than the pairs it overlaps; of a run of one id every
+second pair is. A block stores
 
 * ``rules``: the two ids behind each new id, uint32 little-endian, in order;
 * ``spans``: how many ids each new id expands to, uint32;
@@ -19,11 +21,15 @@ executor's blocks are written again and readers need no local files.
 Defined results: null and empty texts have no ids but the end id; rows with a
 null doc_id come first; rows that repeat an id follow each other, ordered by
 their text's hash; an empty table gives an empty file and result. ``start``
-counts the ids of all rows before. The tokenizer file is a parameter.
+counts the ids of all rows before. A text is encoded as a whole in one task (about
+100 times its bytes in memory), however long. The tokenizer file is a parameter: texts
+are cut into pieces only where it is byte-level BPE that splits as assumed, and encoded
+whole otherwise; a vocabulary that reaches ``VOCABULARY`` is refused.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from functools import lru_cache
@@ -40,14 +46,15 @@ from orderlens.llm.common import WordHasher, _mix, flat_bytes, pick, row_slices,
 END = 0
 VOCABULARY = 1 << 17
 BLOCK_IDS = 1 << 19
-ROUNDS = 4
-# Pairs considered in one round, and how often a pair must occur.
-PAIRS = 2048
+# How often a pair must occur to be replaced, and how often a rule must be used to be made.
 LEAST = 16
+USES = 4
 # Bytes of text that are encoded together.
 SLICE = 500_000
 COUNT_BITS = 18
-CACHE = 200_000
+# Pieces (and ids behind them) of one generation of the encoder's memory; there are two.
+CACHE = 400_000
+CACHE_IDS = 8 * CACHE
 TABLE_BITS = 20
 
 # Classes of UTF-8 bytes: letters (ASCII, and two-byte letters from U+00C0 to U+00FF), marks and
@@ -69,20 +76,97 @@ def _byte_classes() -> np.ndarray:
 CLASSES = _byte_classes()
 
 
+def _byte_characters() -> np.ndarray:
+    """How byte-level vocabularies write bytes: printable ones as themselves, others from U+0100 on."""
+    codes = np.arange(256, dtype="<u2")
+    others = np.ones(256, dtype=bool)
+    for plain in (range(0x21, 0x7F), range(0xA1, 0xAD), range(0xAE, 0x100)):
+        others[list(plain)] = False
+    codes[others] = 0x100 + np.arange(others.sum())
+    return codes
+
+
+BYTE_CHARACTERS = _byte_characters()
+
+
 def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The places ``start .. start + size - 1`` of every run, one run after the other."""
     ends = np.cumsum(sizes)
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
+class Pieces:
+    """The ids of pieces, found by a 64-bit hash: a table of recent slots, and an index behind it."""
+
+    def __init__(self):
+        self.count, self.used = 0, 0
+        self.hashes = np.zeros(1 << 12, dtype=np.uint64)
+        self.starts = np.zeros(1 << 12, dtype=np.int64)
+        self.sizes = np.zeros(1 << 12, dtype=np.int64)
+        self.flat = np.zeros(1 << 14, dtype=np.uint32)
+        self.index: dict[int, int] = {}
+        self.table = np.zeros(1 << TABLE_BITS, dtype=np.int32)
+
+    def add(self, hashes: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> None:
+        first, last = self.count, self.count + len(hashes)
+        for name in ("hashes", "starts", "sizes"):
+            setattr(self, name, _room(getattr(self, name), last))
+        self.flat = _room(self.flat, self.used + len(flat))
+        self.hashes[first:last], self.sizes[first:last] = hashes, sizes
+        self.starts[first:last] = self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.count, self.used = last, self.used + len(flat)
+        self.index.update(zip(hashes.tolist(), range(first, last), strict=True))
+        self.table[hashes >> np.uint64(64 - TABLE_BITS)] = np.arange(first, last)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The entry of every hash, -1 where there is none."""
+        entries = self.table[hashes >> np.uint64(64 - TABLE_BITS)].astype(np.int64)
+        missed = np.flatnonzero(self.hashes[entries] != hashes)
+        found = map(self.index.get, hashes[missed].tolist())
+        entries[missed] = [-1 if e is None else e for e in found]
+        return entries
+
+    def ids(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = self.sizes[entries]
+        return self.flat[_spread(self.starts[entries], sizes)], sizes
+
+
+def _room(values: np.ndarray, n: int) -> np.ndarray:
+    """``values`` with room for ``n``, doubled where it lacks."""
+    if n <= len(values):
+        return values
+    larger = np.zeros(max(n, 2 * len(values)), dtype=values.dtype)
+    larger[: len(values)] = values
+    return larger
+
+
+def _cuts_as_assumed(tokenizer) -> bool:
+    """Is it byte-level BPE with the usual splitting, and nothing done to texts before or after?"""
+    told = json.loads(tokenizer.to_str())
+    cut = told.get("pre_tokenizer") or {}
+    return (
+        (told.get("model") or {}).get("type") == "BPE"
+        and not told["model"].get("dropout")
+        and told.get("normalizer") is None
+        and cut.get("type") == "ByteLevel"
+        and not cut.get("add_prefix_space")
+        and cut.get("use_regex", True)
+        and (told.get("post_processor") or {}).get("type") in (None, "ByteLevel")
+    )
+
+
 class Encoder:
     """The tokenizer, with the ids of pieces remembered.
 
     A byte-level tokenizer never merges across blanks, line ends, or between a
     letter and a digit or mark (contractions aside), so such pieces can be encoded
     one by one. They are found and hashed (64 bits) on the flat bytes of many
-    texts; only pieces not met before are given to the tokenizer. Texts with runs
+    texts; only pieces not met lately are given to the tokenizer. Texts with runs
     of white space, marks of special tokens or rarer characters are encoded whole.
+
+    The memory has two generations: pieces are looked up in both, and kept in the
+    young one; when that is full it becomes the old one.
     """
 
     def __init__(self, path: str):
@@ -91,21 +175,22 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if self.tokenizer.get_vocab_size(with_added_tokens=True) > VOCABULARY:
+            raise ValueError(f"a vocabulary of at most {VOCABULARY} ids is needed")
+        self.cuts, self.model = _cuts_as_assumed(self.tokenizer), self.tokenizer.model
         self.hasher = WordHasher(b"")
         self.hasher.values = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        self._clear()
+        line = self._hashes(np.array([10], dtype=np.uint8), np.array([0]), np.array([1]))
+        self.first = np.array([0, line[0]], dtype=np.uint64)
+        self.line_end = self.whole(["\n"])[0]
+        self.old, self.young = Pieces(), self._fresh()
 
-    def _clear(self) -> None:
+    def _fresh(self) -> Pieces:
         """Entry 0 is the end id, entry 1 the line end."""
-        line_end = self.whole(["\n"])[0]
-        self.flat = np.array([END, *line_end], dtype=np.uint32)
-        self.starts = np.array([0, 1], dtype=np.int64)
-        self.sizes = np.array([1, len(line_end)], dtype=np.int64)
-        line = self._hashes(np.array([10], dtype=np.uint8), np.array([0]), np.array([1]))
-        self.hashes = np.array([0, line[0]], dtype=np.uint64)
-        self.index = {int(line[0]): 1}
-        self.table = np.zeros(1 << TABLE_BITS, dtype=np.int32)
-        self.table[line >> np.uint64(64 - TABLE_BITS)] = 1
+        pieces = Pieces()
+        sizes = np.array([1, len(self.line_end)])
+        pieces.add(self.first, np.array([END, *self.line_end], dtype=np.uint32), sizes)
+        return pieces
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -114,44 +199,29 @@ class Encoder:
         return self.hasher.spans(raw, start, stop)
 
     def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
-        """Encode new pieces, many at once with line ends between them (which stay apart)."""
-        for start in range(0, len(pieces), 2048):
-            part = pieces[start : start + 2048]
-            flat = np.array(self.whole(["\n".join(part) + "\n"])[0], dtype=np.uint32)
-            ends = np.flatnonzero(flat == self.flat[1])
-            if self.sizes[1] != 1 or len(ends) != len(part):
-                ids = self.whole(part)
-                sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-                flat = np.fromiter(chain.from_iterable(ids), dtype=np.uint32)
-            else:
-                sizes = np.diff(ends, prepend=-1) - 1
-                flat = flat[flat != self.flat[1]]
-            own = hashes[start : start + 2048]
-            first = len(self.hashes)
-            self.index.update(zip(own.tolist(), range(first, first + len(own)), strict=True))
-            self.table[own >> np.uint64(64 - TABLE_BITS)] = np.arange(first, first + len(own))
-            self.hashes = np.r_[self.hashes, own]
-            self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(sizes) - sizes]
-            self.sizes = np.r_[self.sizes, sizes]
-            self.flat = np.r_[self.flat, flat]
+        """Encode new pieces (as byte-level characters) by the tokenizer's model, without cutting again."""
+        ids = [[token.id for token in self.model.tokenize(piece)] for piece in pieces]
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        self.young.add(hashes, np.fromiter(chain.from_iterable(ids), dtype=np.uint32), sizes)
 
     def _entries(self, hashes: np.ndarray, raw: np.ndarray, start, stop) -> np.ndarray:
-        """The entry of every piece, new ones being learnt."""
-        entries = self.table[hashes >> np.uint64(64 - TABLE_BITS)].astype(np.int64)
-        missed = np.flatnonzero(self.hashes[entries] != hashes)
+        """The young entry of every piece, new ones being learnt."""
+        if self.young.count > CACHE or self.young.used > CACHE_IDS:
+            self.old, self.young = self.young, self._fresh()
+        entries = self.young.find(hashes)
+        missed = np.flatnonzero(entries < 0)
         if len(missed):
             fresh, first, inverse = np.unique(
                 hashes[missed], return_index=True, return_inverse=True
             )
-            new = np.array([h not in self.index for h in fresh.tolist()], dtype=bool)
-            if len(self.hashes) + int(new.sum()) > CACHE and len(self.hashes) > 2:
-                self._clear()
-                return self._entries(hashes, raw, start, stop)
-            at = missed[first[new]]
-            pieces = [raw[a:b].tobytes().decode() for a, b in zip(start[at], stop[at], strict=True)]
-            self._learn(fresh[new], pieces)
-            known = np.array([self.index[h] for h in fresh.tolist()], dtype=np.int64)
-            entries[missed] = known[inverse]
+            before = self.old.find(fresh) if self.old.count else np.full(len(fresh), -1)
+            again = before >= 0
+            self.young.add(fresh[again], *self.old.ids(before[again]))
+            at = missed[first[~again]]
+            bounds = zip(start[at].tolist(), stop[at].tolist(), strict=True)
+            data = BYTE_CHARACTERS[raw].tobytes().decode("utf-16-le")
+            self._learn(fresh[~again], [data[a:b] for a, b in bounds])
+            entries[missed] = self.young.find(fresh)[inverse]
         return entries
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -160,6 +230,9 @@ class Encoder:
         n = len(texts)
         if not n:
             return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
+        if not self.cuts:
+            own = [np.array([*found, END], dtype=np.uint32) for found in self.whole(texts.to_pylist())]
+            return np.concatenate(own), np.array([len(x) for x in own])
         raw, bounds = flat_bytes(texts)
         kinds = CLASSES[raw]
         begins = np.zeros(len(raw) + 1, dtype=bool)
@@ -190,8 +263,7 @@ class Encoder:
         # The end of every text is an entry behind its pieces.
         counts = np.bincount(owner, minlength=n)
         places = np.insert(entries, np.cumsum(counts), 0)
-        sizes = self.sizes[places]
-        ids = self.flat[_spread(self.starts[places], sizes)]
+        ids, sizes = self.young.ids(places)
         counts += 1
         lengths = np.add.reduceat(sizes, np.cumsum(counts) - counts)
         if len(apart):
@@ -209,73 +281,75 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _slots(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """A hash of COUNT_BITS bits per pair."""
+def _slots(first: np.ndarray, second: np.ndarray, seed: int, bits: int) -> np.ndarray:
+    """A hash of some bits per pair, another one for each seed."""
     mixed = first * np.uint32(0x9E3779B1) + second * np.uint32(0x85EBCA77)
-    return (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(32 - COUNT_BITS)
-
-
-def _frequent(ids: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    """The most frequent pairs as codes (first << 32 | second), most frequent first."""
-    counts = np.bincount(slots, minlength=1 << COUNT_BITS)
-    # A slot counts at least each of its pairs, so frequent pairs are in frequent slots; the
-    # pairs of the most frequent slots are then counted one by one.
-    busy = np.flatnonzero(counts >= LEAST)
-    if len(busy) > PAIRS:
-        busy = busy[np.argpartition(-counts[busy], PAIRS)[:PAIRS]]
-    wanted = np.zeros(1 << COUNT_BITS, dtype=bool)
-    wanted[busy] = True
-    at = np.flatnonzero(wanted[slots])
-    codes, exact = np.unique(
-        ids[at].astype(np.uint64) << np.uint64(32) | ids[at + 1], return_counts=True
-    )
-    codes, exact = codes[exact >= LEAST], exact[exact >= LEAST]
-    return codes[np.lexsort((codes, -exact))]
+    mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x2C1B3C6D) + np.uint32(seed * 0x632BE5AB & 0xFFFFFFFF)
+    return (mixed ^ (mixed >> np.uint32(13))) * np.uint32(0x297A2D39) >> np.uint32(32 - bits)
+
+
+def _winners(place: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which of the pairs at ``place`` (ascending) are replaced: those above the ranks they overlap.
+
+    Neighbours of equal rank are pairs of a run of one id, of which every second one is replaced.
+    """
+    close = np.diff(place) == 1
+    begins = np.r_[True, ~close | (rank[1:] != rank[:-1])]
+    head = np.flatnonzero(begins)
+    sizes = np.diff(np.r_[head, len(place)])
+    own = rank[head]
+    joined = np.r_[False, close[head[1:] - 1]]
+    wins = ~(joined & (np.r_[0, own[:-1]] > own))
+    wins &= ~(np.r_[joined[1:], False] & (np.r_[own[1:], 0] > own))
+    chosen = _spread(np.zeros(int(wins.sum()), dtype=np.int64), (sizes[wins] + 1) // 2) * 2
+    return chosen + np.repeat(head[wins], (sizes[wins] + 1) // 2)
 
 
 def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """rules (n x 2), spans (n) and the remaining sequence."""
     ids = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
-    spans = np.zeros(0, dtype=np.uint32)
-    following = VOCABULARY
-    for _ in range(ROUNDS):
-        if len(ids) < 2 * LEAST:
-            break
-        slots = _slots(ids[:-1], ids[1:])
-        # In one round an id may end pairs or begin them, not both, so that no two
-        # replacements overlap; the more frequent pair decides.
-        heads: set[int] = set()
-        tails: set[int] = set()
-        chosen = []
-        for code in _frequent(ids, slots).tolist():
-            a, b = code >> 32, code & 0xFFFFFFFF
-            if a != b and a not in tails and b not in heads:
-                heads.add(a)
-                tails.add(b)
-                chosen.append((a, b))
-        if not chosen:
-            break
-        new = np.array(chosen, dtype=np.uint32)
-        # One rule per slot; of two the more frequent stays, the other may come next round.
-        own = _slots(new[:, 0], new[:, 1])
-        new = new[np.sort(np.unique(own, return_index=True)[1])]
-        rule = np.full(1 << COUNT_BITS, -1, dtype=np.int32)
-        rule[_slots(new[:, 0], new[:, 1])] = np.arange(len(new))
-        found = rule[slots]
-        at = np.flatnonzero(found >= 0)
-        found = found[at]
-        match = (ids[at] == new[found, 0]) & (ids[at + 1] == new[found, 1])
-        at, found = at[match], found[match]
-        ids = ids.copy()
-        ids[at] = (following + found).astype(np.uint32)
+    spans = np.ones(VOCABULARY, dtype=np.uint32)
+    # Places whose pair may be frequent: a pair becomes more frequent only by a new id in it.
+    hopeful = np.ones(max(len(ids) - 1, 0), dtype=bool)
+    seed = 0
+    while len(at := np.flatnonzero(hopeful)) >= LEAST:
+        seed += 1
+        first, second = ids[at], ids[at + 1]
+        bits = min(COUNT_BITS, len(at).bit_length())
+        slots = _slots(first, second, seed, bits)
+        # A slot stands for the pair that comes first in it; others wait for another seed.
+        shown = np.zeros(1 << bits, dtype=np.int64)
+        shown[slots[::-1]] = np.arange(len(at))[::-1]
+        own = (first == first[shown[slots]]) & (second == second[shown[slots]])
+        counts = np.bincount(slots[own], minlength=1 << bits)
+        hidden = np.bincount(slots[~own], minlength=1 << bits)
+        frequent = counts >= LEAST
+        still = np.where(own, frequent[slots], (hidden >= LEAST)[slots])
+        hopeful[at[~still]] = False
+        good = np.flatnonzero(own & still)
+        if not len(good):
+            continue
+        own = slots[good].astype(np.int64)
+        chosen = good[_winners(at[good], (np.frexp(counts)[1].astype(np.int64) << 32)[own] | own)]
+        uses = np.bincount(slots[chosen], minlength=1 << bits)
+        # The most frequent pair wins wherever it is, so some rule is always made.
+        made = np.flatnonzero(uses >= USES)
+        number = np.full(1 << bits, -1, dtype=np.int64)
+        number[made] = np.arange(len(made))
+        chosen = chosen[number[slots[chosen]] >= 0]
+        pairs = np.column_stack([first[shown[made]], second[shown[made]]])
+        rules.append(pairs)
+        new = np.zeros(len(ids), dtype=bool)
+        new[at[chosen]] = True
+        ids[at[chosen]] = (len(spans) + number[slots[chosen]]).astype(np.uint32)
+        spans = np.r_[spans, spans[pairs[:, 0]] + spans[pairs[:, 1]]]
         keep = np.ones(len(ids), dtype=bool)
-        keep[at + 1] = False
-        ids = ids[keep]
-        lengths = np.r_[np.ones(VOCABULARY, dtype=np.uint32), spans]
-        spans = np.r_[spans, lengths[new[:, 0]] + lengths[new[:, 1]]]
-        rules.append(new)
-        following += len(new)
+        keep[at[chosen] + 1] = False
+        hopeful = np.r_[hopeful, False][keep]
+        ids, new = ids[keep], new[keep]
+        hopeful = hopeful[:-1] | new[:-1] | new[1:]
+    spans = spans[VOCABULARY:]
     return (np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.uint32)), spans, ids
 
 
