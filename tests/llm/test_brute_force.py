@@ -186,7 +186,6 @@ def plain_secrets(text):
 @given(st.lists(st.sampled_from(["password", "API_KEY", "ſecret", "token", "=", ":", " ", '"', "'", "abcdefgh", "0123456789abcdef", "AKIA", "ABCDEFGH1234", "\n", "x"]), max_size=16))
 def test_secret_base_spans(parts):
     text = "".join(parts)
-    assert secret_scan.base_spans(text) and True or not plain_secrets(text)
     got = sorted(secret_scan.base_spans(text), key=lambda x: (x[1], secret_scan.KINDS.index(x[0])))
     assert got == plain_secrets(text)
 
