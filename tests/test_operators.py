@@ -46,6 +46,48 @@ def test_exact_quantiles(frame, numbers):
     assert [overall[f"q{i}"] for i in range(len(probs))] == pytest.approx(np.quantile(data.v, probs))
 
 
+@pytest.mark.parametrize("spread", ["narrow", "seconds", "ties"])
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_quantiles_of_crowded_bins(spark, monkeypatch, spread, keys):
+    """All values in one bin of the first level: cut again until no task holds more than the budget."""
+    rng = random.Random(11)
+    make = {
+        "narrow": lambda: rng.random() / 1000,
+        "seconds": lambda: 1_700_000_000 + rng.randrange(10**6) / 8,
+        "ties": lambda: rng.choice([0.0005, 0.0005000000001, 0.0009]),
+    }[spread]
+    rows = [("hot" if rng.random() < 0.6 else rng.choice("ab"), make()) for _ in range(4000)]
+    frame = spark.createDataFrame(rows, "k string, v double").repartition(4)
+    data = pd.DataFrame(rows, columns=["k", "v"])
+    assert frame.select(quantiles.value_bin(F.col("v"))).distinct().count() <= 2
+    levels, cut = [], quantiles._cut
+
+    def counted(values, cells, own):
+        found = cut(values, cells, own)
+        levels.append(found.agg(F.max("_load")).first()[0])
+        return found
+
+    monkeypatch.setattr(quantiles, "_cut", counted)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.999, 1.0]
+    found = quantiles.exact_quantiles(frame, "v", probs, keys, budget=6).collect()
+    assert len(found) == (3 if keys else 1) and levels and levels[-1] <= 6
+    for row in found:
+        values = data[data.k == row.k].v if keys else data.v
+        assert row.rows == len(values)
+        assert [row[f"q{i}"] for i in range(6)] == pytest.approx(np.quantile(values, probs), rel=1e-15)
+
+
+def test_describe_merges_moments(frame, numbers):
+    data = pd.DataFrame(numbers, columns=["id", "k", "v"])
+    for row in quantiles.describe(frame, "v", ["k"]).collect():
+        expected = data[data.k == row.k].v.describe()
+        got = [row[c] for c in ("count", "mean", "std", "min", "q25", "q50", "q75", "max")]
+        if expected["count"] == 1:
+            assert got[2] is None and got[1] == expected["mean"]
+        else:
+            assert got == pytest.approx(expected.tolist())
+
+
 def test_approximate_quantiles_stay_within_rank_error(frame, numbers):
     data = pd.DataFrame(numbers, columns=["id", "k", "v"]).dropna()
     row = quantiles.approximate_quantiles(frame, "v", [0.5]).first()
@@ -112,6 +154,36 @@ def test_qcut_by_rank(spark, size):
         assert found[i] == (label, 6 - label)
 
 
+@pytest.mark.parametrize("budget,splitters", [(10, 4), (25, 64), (1, 2)])
+def test_rank_bins_within_a_budget(spark, monkeypatch, budget, splitters):
+    """Equal values, narrow values and text ids: pieces are cut until one task can sort them."""
+    monkeypatch.setattr(qcut, "BUDGET", budget)
+    monkeypatch.setattr(qcut, "SPLITTERS", splitters)
+    rng = random.Random(budget)
+    rows = [(f"c{i:04d}", rng.choice([0.0, 0.0, 0.0001, rng.random() / 1000, -5.0])) for i in range(400)]
+    frame = spark.createDataFrame(rows, "id string, v double").repartition(3)
+    sorted_in_one_task, plain = [], qcut._holding
+
+    def holding(piece, parts):
+        found = plain(piece, parts)
+        sorted_in_one_task[:] = [p.count for p in found]
+        return found
+
+    monkeypatch.setattr(qcut, "_holding", holding)
+    found = {r.id: r.q for r in qcut.qcut(frame, q=qcut.Cut("v", tie="id")).collect()}
+    assert max(sorted_in_one_task) <= budget
+    for place, (i, _) in enumerate(sorted(rows, key=lambda row: (row[1], row[0]))):
+        assert found[i] == max(1, -(-place * 5 // 399))
+
+
+def test_qcut_of_nothing(spark):
+    empty = spark.createDataFrame([], "id int, v double")
+    found = qcut.qcut(empty, a=qcut.Cut("v", tie="id"), b=qcut.Cut("v"))
+    assert found.columns == ["id", "v", "a", "b"] and found.count() == 0
+    missing = spark.createDataFrame([(1, None), (2, None)], "id int, v double")
+    assert {r.a for r in qcut.qcut(missing, a=qcut.Cut("v", tie="id")).collect()} == {None}
+
+
 def test_qcut_by_rank_of_seven(spark):
     frame = spark.createDataFrame([(i, 0) for i in range(7)], "id int, v int")
     found = qcut.qcut(frame, q=qcut.Cut("v", tie="id")).orderBy("id").collect()
