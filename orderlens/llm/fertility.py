@@ -3,7 +3,8 @@
 Per text, over its words, each encoded by itself:
 
 * ``chars_per_token``: characters per token of a vocabulary with byte fallback;
-* ``chars_per_byte_token``: the same with a byte-level vocabulary;
+* ``chars_per_byte_token``: the same with a byte-level vocabulary, whose merges are applied
+  to the word behind a blank;
 * ``byte_share``: share of the first one's tokens that stand for a single byte;
 * ``token_entropy``: entropy of the text's tokens, as a share of what as many tokens
   (256 at most) could have.
@@ -29,6 +30,8 @@ is measured whole, in one task: some 200 bytes of memory per word.
 
 from __future__ import annotations
 
+import os
+from array import array
 from bisect import bisect_right
 from itertools import chain
 
@@ -39,10 +42,11 @@ from pyspark.sql import functions as F
 
 from orderlens.llm.common import pick, row_slices, stage
 from orderlens.llm.periodic import Windows, _repeated, spread
+from orderlens.llm.tokenids import BYTE_CHARACTERS
 from orderlens.operators.skew import attach
 
 SLICE = 500_000
-CACHE = 150_000
+CACHE = 300_000
 # Longer words are encoded, but not remembered.
 CACHED_BYTES = 64
 LEAST_WORDS = 20
@@ -83,12 +87,18 @@ def script_of(word: str) -> int:
     return -1
 
 
+def byte_characters(words: list[bytes]) -> list[str]:
+    """Words behind a blank, as byte-level vocabularies write them."""
+    data = b"".join(b" " + w for w in words)
+    text = BYTE_CHARACTERS[np.frombuffer(data, dtype=np.uint8)].tobytes().decode("utf-16-le")
+    ends = np.cumsum([len(w) + 1 for w in words]).tolist()
+    return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 class Vocabularies:
     """What words cost in tokens, remembered in two generations."""
 
     def __init__(self, pieces: str, byte_level: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
@@ -96,17 +106,17 @@ class Vocabularies:
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=pieces)
         self.size = self.pieces.get_piece_size()
         self.bytes = np.array([self.pieces.is_byte(i) for i in range(self.size)], dtype=bool)
-        self.byte_level = Tokenizer.from_file(byte_level)
+        self.byte_level = Tokenizer.from_file(byte_level).model
         self.young: dict[bytes, tuple[bytes, int, int]] = {}
         self.old: dict[bytes, tuple[bytes, int, int]] = {}
 
     def _encode(self, words: list[bytes]) -> list[tuple[bytes, int, int]]:
         texts = [w.decode() for w in words]
-        level = self.byte_level.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+        merged = map(self.byte_level.tokenize, byte_characters(words))
         ids = self.pieces.encode(texts, num_threads=1)
         return [
-            (np.array(own, dtype="<u4").tobytes(), len(other.ids), script_of(text))
-            for own, other, text in zip(ids, level, texts, strict=True)
+            (array("I", own).tobytes(), len(other), script_of(text))
+            for own, other, text in zip(ids, merged, texts, strict=True)
         ]
 
     def __call__(self, words: list[bytes]) -> list[tuple[bytes, int, int]]:

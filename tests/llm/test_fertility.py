@@ -8,7 +8,7 @@ from collections import Counter
 import public_tokenizers
 import pytest
 import sentencepiece
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from orderlens.llm import fertility, queries
 
@@ -49,7 +49,8 @@ def test_query_against_plain_counts(spark, documents):
 
 def test_measures_against_the_libraries(documents):
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
-    level = Tokenizer.from_file(BYTE_LEVEL)
+    level = Tokenizer(Tokenizer.from_file(BYTE_LEVEL).model)
+    level.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
     texts = dict(documents.select("doc_id", "text").limit(40).collect())
     texts |= {-1: "ein \U0001f600\U0001f9ff 日本語 ŧ̴́ test", -2: "x" * 5000}
     vocabularies = fertility.Vocabularies(PIECES, BYTE_LEVEL)
