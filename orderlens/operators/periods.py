@@ -19,12 +19,18 @@ def resample(
     The label is the last day of the period. The calendar spine is unfolded from
     the range of the grouped result, so its size depends on the calendar only.
     """
-    unit, months = PERIODS[period]
+    unit, _ = PERIODS[period]
     totals = (
         df.where(F.col(date).isNotNull())
         .groupBy(F.trunc(date, unit).alias("_start"))
         .agg(total(value).alias("revenue"), F.count(F.lit(1)).alias("orders"))
     )
+    return with_empty_periods(totals, period)
+
+
+def with_empty_periods(totals: DataFrame, period: str) -> DataFrame:
+    """``period_end, revenue, orders`` from totals per ``_start``; read twice, for the range and the rows."""
+    _, months = PERIODS[period]
     step = F.make_ym_interval(F.lit(0), F.lit(months))
     spine = totals.agg(F.min("_start").alias("_a"), F.max("_start").alias("_b")).where(
         F.col("_a").isNotNull()

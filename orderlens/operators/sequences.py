@@ -3,7 +3,8 @@
 A plain ``lag`` over the customer sorts all of a customer's rows in one task.
 Here rows first meet per (customer, day); what crosses a day boundary is carried
 by one summary row per customer and day, so the window over the customer holds
-at most one row per calendar day.
+at most one row per calendar day. A day of more rows than one task should sort is
+cut into ranges of its order, and each range carries its first and last row.
 """
 
 from __future__ import annotations
@@ -14,6 +15,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.operators.frames import with_keys
+from orderlens.operators.settle import settle, stage
+
+# One task sorts at most about so many rows of one key and day.
+BUDGET = 500_000
 
 
 def day_visits(df: DataFrame, key: str, date: str) -> DataFrame:
@@ -40,27 +45,51 @@ def day_gaps(df: DataFrame, key: str, date: str) -> DataFrame:
     return visits.select(F.inline(pieces)).where("n > 0").groupBy("days").agg(F.sum("n").alias("n"))
 
 
+def _segments(rows: DataFrame, key: str, date: str, order: Sequence[str], budget: int) -> DataFrame:
+    """``rows`` with ``_range``: 0, or for crowded (key, date) pairs the number of a range of ``order``.
+
+    Crowded pairs are few (all rows divided by the budget at most), so they are broadcast; only
+    their rows are parted by range, which a single pair fills evenly. Range numbers grow with
+    the order.
+    """
+    crowded = settle(
+        rows.groupBy(key, date).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > budget)
+    )
+    total = crowded.agg(F.sum("_rows")).first()[0]
+    usual = rows.withColumn("_range", F.lit(0))
+    if not total:
+        return usual
+    pairs = F.broadcast(crowded.select(key, date))
+    parted = rows.join(pairs, [key, date], "left_semi").repartitionByRange(
+        2 * -(-total // budget), key, date, *order
+    )
+    # The parts are written, so that every later step sees the same numbers.
+    ranges = stage(parted.withColumn("_range", F.spark_partition_id() + 1))
+    return usual.join(pairs, [key, date], "left_anti").unionByName(ranges)
+
+
 def transitions(
-    df: DataFrame, key: str, date: str, order: Sequence[str], value: str
+    df: DataFrame, key: str, date: str, order: Sequence[str], value: str, budget: int = BUDGET
 ) -> DataFrame:
-    """``previous, following, count`` over consecutive rows of a key, both values present."""
-    in_day = Window.partitionBy(key, date).orderBy(*order)
-    rows = df.where(F.col(key).isNotNull() & F.col(date).isNotNull()).select(
-        key,
-        date,
-        F.lag(value).over(in_day).alias("previous"),
-        F.col(value).alias("following"),
-        (F.row_number().over(in_day) == 1).alias("_opens"),
-        F.lead(F.lit(True)).over(in_day).isNull().alias("_closes"),
+    """``previous, following, count`` over consecutive rows of a key, both values present.
+
+    ``df`` is read once; its four columns are kept in the shared folder. No task sorts more
+    than about ``budget`` rows of a key and day, whatever a day holds.
+    """
+    narrow = [key, date, *[c for c in order if c not in (key, date)], value]
+    rows = with_keys(df, key, date).select(*dict.fromkeys(narrow))
+    rows = _segments(stage(rows), key, date, order, budget)
+    in_range = Window.partitionBy(key, date, "_range").orderBy(*order)
+    inside = rows.select(
+        F.lag(value).over(in_range).alias("previous"), F.col(value).alias("following")
     )
-    inside = rows.where(~F.col("_opens"))
-    # The days are already together and sorted, so these groups cost no further shuffle.
-    days = rows.groupBy(key, date).agg(
-        F.max(F.when(F.col("_opens"), F.col("following"))).alias("_first"),
-        F.max(F.when(F.col("_closes"), F.col("following"))).alias("_last"),
+    # First and last of every range by partial aggregation: nothing is sorted a second time.
+    place = F.struct(*order)
+    ends = rows.groupBy(key, date, "_range").agg(
+        F.min_by(value, place).alias("_first"), F.max_by(value, place).alias("_last")
     )
-    by_key = Window.partitionBy(key).orderBy(date)
-    across = days.select(
+    by_key = Window.partitionBy(key).orderBy(date, "_range")
+    across = ends.select(
         F.lag("_last").over(by_key).alias("previous"), F.col("_first").alias("following")
     )
 

@@ -14,6 +14,8 @@ def spark(tmp_path_factory):
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "4g",
+            # Plans are compared as text, which must not be cut.
+            "spark.sql.maxMetadataStringLength": "2000",
             "spark.checkpoint.dir": str(folder / "checkpoints"),
             "spark.sql.warehouse.dir": str(folder / "warehouse"),
         },

@@ -3,10 +3,12 @@
 import datetime
 from decimal import Decimal
 
+import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from orderlens.operators.frames import between_dates
-from orderlens.plans import cleaning, revenue
+from orderlens.plans import cleaning, customers, dashboard, revenue, rollup
 from orderlens.sources import files, profile, schema, star
 
 SF = "/root/testdata/sf0.001"
@@ -23,6 +25,37 @@ def test_yearly_files_of_different_width(spark, tmp_path):
     ]
 
 
+def bytes_read(spark):
+    stats = spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics()
+    return sum(s.getBytesRead() for s in stats)
+
+
+def test_headers_cost_no_more_where_files_grow(spark, tmp_path):
+    """Only the start of each file is read while the yearly folder is planned."""
+    read = []
+    for rows in (40_000, 400_000):
+        folder = tmp_path / str(rows)
+        folder.mkdir()
+        for year in (2019, 2020):
+            (folder / f"s_{year}.csv").write_text("id,amount\n" + "17,99.5\n" * rows)
+        (folder / "s_2021.csv").write_text("")
+        before = bytes_read(spark)
+        found = files.headers(spark, str(folder))
+        read.append(bytes_read(spark) - before)
+        assert list(found.values()) == ["id,amount"] * 2
+    assert read[0] == read[1] < 300_000
+
+
+def test_yearly_files_are_named_by_year(spark, tmp_path):
+    folder = str(tmp_path / "raw")
+    rows = spark.createDataFrame([(2019, 'a "b", c'), (2019, "d"), (2021, None), (None, "x")], "year int, name string")
+    names = files.write_yearly_csv(rows, folder, "year")
+    assert {n.split("_")[1] for n in names} == {"2019", "2021"} and all(n.startswith("sales_20") for n in names)
+    back = files.read_yearly_csv(spark, folder)
+    assert sorted((r.year, r.name or "") for r in back.collect()) == [("2019", 'a "b", c'), ("2019", "d"), ("2021", "")]
+    assert set(names) == {p.name for p in (tmp_path / "raw").iterdir() if not p.name.startswith((".", "_"))}
+
+
 def test_yearly_files_with_a_schema_are_one_scan(spark, tmp_path):
     for year in (2019, 2020):
         (tmp_path / f"sales_{year}.csv").write_text(f"a,b\n{year},x\n")
@@ -57,6 +90,68 @@ def test_table_is_replaced_listed_and_previewed(spark, tmp_path):
     assert files.preview(spark.table("transactions")).count() == 200
 
 
+def test_a_failed_write_leaves_the_old_table(spark, tmp_path):
+    for name, path in (("kept_managed", None), ("kept_external", str(tmp_path / "t"))):
+        files.save_table(spark.range(10), name, path)
+        broken = spark.range(100).select(F.expr("if(id = 77, raise_error('stop'), id)").cast("bigint").alias("id"))
+        with pytest.raises(PySparkException):
+            files.save_table(broken, name, path)
+        assert spark.table(name).count() == 10
+        files.save_table(spark.range(3).withColumnRenamed("id", "n"), name, path)
+        assert sorted(r.n for r in spark.table(name).collect()) == [0, 1, 2]
+        assert [t for t in files.list_tables(spark) if t.startswith(name)] == [name]
+    assert len(list((tmp_path / "t").iterdir())) == 1
+
+
+def test_bucketed_table_groups_without_a_shuffle(spark):
+    sales = star.sales(spark, SF, ["customer_id", "order_date", "order_year", "final_amount", "subcategory"])
+    files.save_bucketed(sales, "bucketed_sales", buckets=4)
+    table = spark.table("bucketed_sales")
+    value = customers.lifetime_value(table)
+    assert "Exchange" not in value._jdf.queryExecution().executedPlan().toString()
+    assert sorted(value.collect()) == sorted(customers.lifetime_value(sales).collect())
+    cohorts = customers.monthly_cohorts(table)
+    assert "hashpartitioning(customer_id" not in cohorts._jdf.queryExecution().executedPlan().toString()
+
+
+def test_table_counts(spark):
+    files.save_table(spark.range(7), "seven")
+    files.save_table(spark.range(0), "none")
+    found = {tuple(r) for r in files.table_counts(spark, ["seven", "none"]).collect()}
+    assert found == {("seven", 7), ("none", 0)} and files.table_counts(spark, []).count() == 0
+
+
+def test_refresh_rewrites_one_month(spark, tmp_path):
+    path = str(tmp_path / "rollup")
+    sales = star.sales(spark, SF, ["order_date", "order_year", "final_amount", "quantity", "brand"])
+    day = datetime.date(1996, 3, 5)
+    rollup.write_rollup(sales.where(F.col("order_date") != F.lit(day)), path, ["brand"])
+
+    def written():
+        return {str(p): p.stat().st_mtime_ns for p in (tmp_path / "rollup").rglob("*.parquet")}
+
+    before = written()
+    assert rollup.refresh_rollup(sales, path, [day], ["brand"]) == ["1996-03"]
+    after = written()
+    assert {p for p in set(before) ^ set(after)} == {
+        p for p in [*before, *after] if "month=1996-03" in p
+    } and len(set(after) - set(before)) == 1
+    found = rollup.read_rollup(spark, path)
+    direct = rollup.daily_totals(sales, ["brand"])
+    columns = sorted(direct.columns)
+    assert sorted(found.select(columns).collect(), key=str) == sorted(direct.select(columns).collect(), key=str)
+    for period in ("M", "Q", "Y"):
+        assert sorted(rollup.range_trend(found, period).collect()) == sorted(dashboard.trend(sales, period).collect())
+    ranged = rollup.range_kpis(found, "1996-02-10", "1996-04-20", "amounts")
+    plan = ranged._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan
+    assert ranged.first() == dashboard.kpis(sales, "1996-02-10", "1996-04-20", "amounts").first()
+    # A month whose sales are gone loses its rows; no days change nothing.
+    rollup.refresh_rollup(sales.where("order_date < '1996-03-01'"), path, [day], ["brand"])
+    assert rollup.read_rollup(spark, path).where("month = '1996-03'").count() == 0
+    assert rollup.refresh_rollup(sales, path, []) == []
+
+
 def test_preview_and_export_take_the_columns_there_are(spark, tmp_path):
     view = schema.dashboard_view(star.sales(spark, SF, ["transaction_id", "order_date", "final_amount"]))
     shown = files.preview(view, files.PREVIEW_COLUMNS)

@@ -266,6 +266,32 @@ def test_transitions_gaps_and_ends(spark):
         assert [r.first_s, r.last_s, r.rows] == [*wanted, size[r.c]]
 
 
+def test_transitions_of_one_crowded_day(spark, monkeypatch, tmp_path):
+    """All rows in one customer-day: cut into ranges, no task with more than the budget, one read."""
+    rng = random.Random(8)
+    rows = [(1, "2020-01-01", i, rng.choice(["x", "y", None])) for i in range(3000)]
+    rows += [(1, "2020-01-02", i, "z") for i in range(3)] + [(2, "2020-01-01", 0, "x"), (2, "2020-01-05", 1, "y")]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "c int, d string, t int, s string").withColumn("d", F.to_date("d"))
+    frame.write.parquet(str(tmp_path / "rows"))
+    frame = spark.read.parquet(str(tmp_path / "rows"))
+    kept, plain = [], sequences._segments
+
+    def segments(*arguments):
+        kept.append(plain(*arguments))
+        return kept[-1]
+
+    monkeypatch.setattr(sequences, "_segments", segments)
+    found = sequences.transitions(frame, "c", "d", ["t"], "s", budget=200)
+    sizes = [r["count"] for r in kept[0].groupBy("c", "d", "_range").count().collect()]
+    assert max(sizes) <= 200 and len(sizes) > 15
+    assert str(tmp_path) not in found._jdf.queryExecution().executedPlan().toString()
+    data = pd.DataFrame(rows, columns=["c", "d", "t", "s"]).sort_values(["c", "d", "t"])
+    data["before"] = data.groupby("c").s.shift(1)
+    expected = data.dropna(subset=["before", "s"]).groupby(["before", "s"]).size().to_dict()
+    assert {(r.previous, r.following): r["count"] for r in found.collect()} == expected
+
+
 def test_results_do_not_depend_on_row_order(spark):
     rows = journeys_data()
     once = None
