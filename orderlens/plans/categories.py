@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from orderlens.functions.numeric import percent_change, ratio
 from orderlens.functions.text import label_missing
 from orderlens.operators.frames import complete_grid, observed_values, top_rows
+from orderlens.operators.settle import settle
 from orderlens.plans.revenue import revenue_by
 
 UNKNOWN, OTHERS, ALL = "Unknown", "Others", "All"  # fixed values
@@ -75,7 +76,8 @@ def category_growth(sales: DataFrame) -> DataFrame:
         "order_year",
         "final_amount",
     )
-    totals = revenue_by(labelled, "category", "order_year")
+    # A row per category and year, needed three times: for the years, the spine and the values.
+    totals = settle(revenue_by(labelled, "category", "order_year"))
     years = observed_values(totals, "order_year")
     grid = complete_grid(totals, "category", "order_year", years, {"revenue": 0})
     order = Window.partitionBy("category").orderBy("order_year")

@@ -9,6 +9,7 @@ from orderlens.functions.bins import PRICE_LABELS, price_bin
 from orderlens.functions.numeric import mean, total
 from orderlens.operators.frames import with_keys
 from orderlens.operators.histogram import density, histogram
+from orderlens.operators.settle import settle
 from orderlens.operators.statistics import correlation_matrix
 
 
@@ -56,7 +57,8 @@ def rating_by_price(sales: DataFrame) -> DataFrame:
             total("final_amount").alias("revenue"),
         )
     )
-    # Grouping by a constant-size label set: fill the absent labels in.
+    # A row per label of a fixed set, kept for the spine and the join: absent labels are filled in.
+    grouped = settle(grouped)
     labels = F.array(*[F.lit(label) for label in PRICE_LABELS])
     spine = grouped.agg(F.count(F.lit(1)).alias("_n")).select(F.explode(labels).alias("price_bin"))
     return spine.join(grouped, "price_bin", "left").select(
