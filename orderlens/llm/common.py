@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -10,9 +11,32 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.operators.settle import shared_folder, stage
+from orderlens.operators import settle
+from orderlens.operators.settle import release, shared_folder
 
-__all__ = ["pick", "ticket", "shared_folder", "stage", "table", "row_slices", "WordHasher"]
+__all__ = ["pick", "ticket", "shared_folder", "stage", "scratch", "table", "row_slices", "WordHasher"]
+
+# Staged copies made within ``scratch`` blocks that are open.
+_open: list[list[DataFrame]] = []
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """As ``settle.stage``; within a ``scratch`` block the copy is deleted at its end."""
+    staged = settle.stage(df)
+    if _open:
+        _open[-1].append(staged)
+    return staged
+
+
+@contextmanager
+def scratch():
+    """Deletes the copies staged within the block once it is left; results have to be written before."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for staged in _open.pop():
+            release(staged)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -28,6 +28,8 @@ repeated rows are copies; a null doc_id never names a component. Shingles are
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -48,7 +50,13 @@ FAMILY = 16
 BLOCK = 512
 # Tables of at most so many rows of two or three numbers are broadcast.
 BROADCAST_ROWS = 500_000
-SLICE = 2_000_000
+SLICE = 500_000
+
+
+@lru_cache(maxsize=1)
+def word_hasher() -> WordHasher:
+    """One per worker process; its tables are shared by all its tasks."""
+    return WordHasher(SEPARATORS)
 
 
 def prefix_length(n: int) -> int:
@@ -103,7 +111,7 @@ def nodes(documents: DataFrame) -> DataFrame:
     """Per row: doc_id, print (hash of the text), n, node."""
 
     def run(batches):
-        hasher = WordHasher(SEPARATORS)
+        hasher = word_hasher()
         for batch in batches:
             for piece, sets in _each_set(batch, 2, hasher):
                 yield pa.RecordBatch.from_arrays(
@@ -138,7 +146,7 @@ def _prefixes(documents: DataFrame, shared=None) -> DataFrame:
     """node, group, n, tokens: the prefix of every set, once per task."""
 
     def run(batches):
-        hasher = WordHasher(SEPARATORS)
+        hasher = word_hasher()
         seen: set[int] = set()
         late = shared.value if shared is not None else None
         for batch in batches:
@@ -163,23 +171,26 @@ def _prefixes(documents: DataFrame, shared=None) -> DataFrame:
     return pick(documents, "text").mapInArrow(run, schema)
 
 
+def slots_of(values: np.ndarray) -> np.ndarray:
+    return (values >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def marked(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Which slots of a packed bit table (lowest bit first) are set."""
+    return (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 > 0
+
+
 class Among:
-    """Membership in a sorted array of hashes, with a bit table in front."""
+    """Membership in a sorted array of hashes, with a packed bit table in front."""
 
     def __init__(self, values: np.ndarray):
         self.values = np.sort(values)
         table = np.zeros(1 << FILTER_BITS, dtype=bool)
-        table[(self.values >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-        self.bits = np.packbits(table)
-        self.table = None
-
-    def __getstate__(self):
-        return {"values": self.values, "bits": self.bits, "table": None}
+        table[slots_of(self.values)] = True
+        self.bits = np.packbits(table, bitorder="little")
 
     def __call__(self, values: np.ndarray) -> np.ndarray:
-        if self.table is None:
-            self.table = np.unpackbits(self.bits).astype(bool)
-        found = self.table[(values >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
+        found = marked(self.bits, slots_of(values))
         maybe = np.flatnonzero(found)
         if len(self.values) and len(maybe):
             at = np.searchsorted(self.values, values[maybe])
@@ -225,22 +236,17 @@ def _sets(documents: DataFrame, families: DataFrame, shared) -> DataFrame:
     """family, node, content (packed set) of the nodes of all groups in ``families``."""
     spark = documents.sparkSession
 
-    def slots(batches):
-        table = np.zeros(1 << FILTER_BITS, dtype=bool)
-        for batch in batches:
-            table[np.asarray(batch.column(0)).view(np.uint64) >> np.uint64(64 - FILTER_BITS)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(table).tobytes()])], ["bits"])
-
-    # A filter of fixed size: it only spares rows; the join decides.
-    total = np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8)
-    parts = families.select("group").coalesce(8).mapInArrow(slots, "bits binary")
-    for row in parts.toLocalIterator():
-        total |= np.frombuffer(row.bits, dtype=np.uint8)
-    sent = spark.sparkContext.broadcast(total)
+    # A filter of fixed size, 64 slots a row: it only spares rows; the join decides.
+    slot = F.shiftrightunsigned("group", 64 - FILTER_BITS)
+    one = F.expr("shiftleft(1L, cast(slot % 64 AS int))")
+    rows = families.select(slot.alias("slot")).groupBy((F.col("slot") / 64).cast("bigint").alias("at"))
+    words = np.zeros((1 << FILTER_BITS) // 64, dtype="<i8")
+    found = rows.agg(F.bit_or(one).alias("bits")).toArrow()
+    words[np.asarray(found.column("at"))] = np.asarray(found.column("bits"))
+    sent = spark.sparkContext.broadcast(words.view(np.uint8))
 
     def run(batches):
-        hasher = WordHasher(SEPARATORS)
-        table = np.unpackbits(sent.value).astype(bool)
+        hasher = word_hasher()
         late = shared.value
         seen: set[int] = set()
         for batch in batches:
@@ -252,7 +258,8 @@ def _sets(documents: DataFrame, families: DataFrame, shared) -> DataFrame:
                     seen.add(node)
                     n = len(values)
                     group = group_of(_ordered(values, late)[: prefix_length(n)], n)
-                    if table[(group & (1 << 64) - 1) >> (64 - FILTER_BITS)]:
+                    place = (group & (1 << 64) - 1) >> (64 - FILTER_BITS)
+                    if sent.value[place >> 3] >> (place & 7) & 1:
                         rows.append((group, node, pack(values)))
                 if rows:
                     kinds = [pa.int64(), pa.int64(), pa.binary()]
@@ -261,10 +268,10 @@ def _sets(documents: DataFrame, families: DataFrame, shared) -> DataFrame:
                         ["group", "node", "content"],
                     )
 
-    found = pick(documents, "text").mapInArrow(run, "group long, node long, content binary")
+    sets = pick(documents, "text").mapInArrow(run, "group long, node long, content binary")
     few = families.count() <= BROADCAST_ROWS
-    found = found.join(F.broadcast(families) if few else families, "group")
-    return stage(found.select("family", "node", "content").dropDuplicates(["node"]))
+    sets = sets.join(F.broadcast(families) if few else families, "group")
+    return stage(sets.select("family", "node", "content").dropDuplicates(["node"]))
 
 
 def _good(contents: list[np.ndarray], sides: np.ndarray) -> np.ndarray:
@@ -476,12 +483,10 @@ def _classified(documents: DataFrame) -> DataFrame:
 
 
 def components(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id per row of ``documents``."""
-    return _classified(documents).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-
+    """doc_id, n_shingles, component_id and n_links per row of ``documents``.
 
-def linked_rows(documents: DataFrame) -> DataFrame:
-    """As ``components``, and n_links: with how many other rows the row is linked, copies included."""
+    ``n_links`` is the number of other rows that the row is linked with, copies included.
+    """
     return _classified(documents).select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links"
     )

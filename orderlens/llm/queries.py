@@ -207,9 +207,12 @@ WITH RECURSIVE w AS (
 ), r AS (
   SELECT doc_id, doc_id AS seen FROM documents
   UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.seen = l.a
-), c AS (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id)
-SELECT documents.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
+), c AS (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id
+), k AS (SELECT a AS doc_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT documents.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id,
+  CAST(coalesce(n_links, 0) AS BIGINT) AS n_links
 FROM documents JOIN c ON c.doc_id = documents.doc_id LEFT JOIN n ON n.doc_id = documents.doc_id
+  LEFT JOIN k ON k.doc_id = documents.doc_id
 """,
     "op11_resampling": f"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, {WORDS} AS w FROM documents),

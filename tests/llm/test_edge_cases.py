@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing columns, per operator."""
 
+import os
+
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -91,7 +93,7 @@ def test_decontamination(odd, none, benchmark):
     assert found == {(4, 3), (5, 3), (6, 3)}
     kept = decontamination.clean(odd, benchmark)
     assert kept.columns == odd.columns
-    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 3, 7]
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 3, 4, 7]
     assert decontamination.overlaps(none, benchmark).count() == 0
     assert decontamination.overlaps(odd, benchmark.where("false")).count() == 0
 
@@ -140,6 +142,17 @@ def test_vectors(spark):
     assert topk.top_k(vectors.where("false"), F.col("vec_id") == 0).count() == 0
 
 
+def test_pipeline_leaves_only_its_result(spark, tmp_path):
+    from orderlens.operators import settle
+
+    folder = settle.shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    result = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    new = {name for name in set(os.listdir(folder)) - before if os.listdir(f"{folder}/{name}")}
+    assert len([name for name in new if name.startswith("staged-")]) == 1
+    assert result.count() > 0
+
+
 def test_pipeline_stages(spark):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
