@@ -11,13 +11,17 @@ well; random strings do not. Base candidates are always reported; the others
 
 Defined results: null and empty texts have no spans and the digest of the empty
 string; each row gives one row, repeated rows included; doc_id may be null.
-Offsets count code points, the end exclusive; matches of one kind never overlap.
+Offsets count code points, the end exclusive; matches of one kind never overlap. An
+empty table gives an empty result; other columns are not looked at. Each text is scanned
+whole in one task, in time proportional to its length and its candidates.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -38,7 +42,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 # Cues of a sensitive context beyond the base names.
 CUES = (*NAMES, "auth", "bearer", "credential", "private", "access_key", "access key", "signature", "pwd")
 CUE = re.compile("|".join(sorted(CUES, key=len, reverse=True)), re.IGNORECASE | re.ASCII)
-KEYLIKE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+SHORTEST = 20
+KEYLIKE = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
 REACH = 80
 AROUND = 256
 NOVEL = 0.55
@@ -103,19 +108,26 @@ def added_candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple
     lower = text.lower()
     if not any(cue in lower for cue in CUES):
         return []
-    runs, upto = [], -1
-    for cue in CUE.finditer(text):
-        for run in KEYLIKE.finditer(text, max(cue.end(), upto), cue.end() + REACH + 4096):
-            if run.start() > cue.end() + REACH:
-                break
-            start, end = run.span()
-            while end < len(text) and KEYLIKE.match(text[end] * 20):
-                end += 1
-            upto = end
-            piece = text[start:end]
-            if any(c.isdigit() for c in piece) and any(c.isalpha() for c in piece):
-                runs.append((start, end))
-    return [(s, e) for s, e in runs if not any(s < y and x < e for _, x, y in taken)]
+    ends = [cue.end() for cue in CUE.finditer(text)]
+    runs = []
+    for run in KEYLIKE.finditer(text):
+        # The first cue that ends within reach before the run, or in it with a key's length left.
+        first = bisect_left(ends, run.start() - REACH)
+        if first == len(ends) or ends[first] > run.end() - SHORTEST:
+            continue
+        start = max(run.start(), ends[first])
+        piece = text[start : run.end()]
+        if any(c.isdigit() for c in piece) and any(c.isalpha() for c in piece):
+            runs.append((start, run.end()))
+    # Both lists by start; the furthest end of the base spans that begin before a run decides.
+    base = sorted((x, y) for _, x, y in taken)
+    starts, reached = [x for x, _ in base], list(accumulate((y for _, y in base), max))
+    free = []
+    for start, end in runs:
+        before = bisect_left(starts, end)
+        if not before or reached[before - 1] <= start:
+            free.append((start, end))
+    return free
 
 
 def spans(text: str, novelty: Novelty) -> tuple[list[tuple[str, int, int]], float]:
