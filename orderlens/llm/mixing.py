@@ -1,6 +1,6 @@
 """Mixing sources to target weights with nested hash-threshold histograms.
 
-Every document has a ticket, a hash of its id. What a source still needs after
+Every document has a ticket, a hash of its id and text. What a source still needs after
 its whole repeats is a budget of words, taken from the documents with the lowest
 tickets. The ticket at which the budget is used up is found by histograms: words
 per source and leading ticket bits, then only the bucket holding the boundary is
@@ -8,14 +8,16 @@ refined, by its next bits. Nothing is sorted, and the choice is one comparison
 per row.
 
 Defined results: a null text has size 0; a null source is a source of its own,
-ordered last; rows that repeat an id share its ticket and are chosen together;
-an empty table gives an empty result. Documents are taken whole: the boundary
-document is taken when that brings the source nearer to its target.
+ordered last; a null id is an id; rows that repeat id and text share a ticket, and where
+that is the boundary as many of them are taken as bring the source nearest to its
+target (which ones is decided by their numbers in a written copy). An empty table gives
+an empty result. Documents are taken whole: the boundary document is taken when that
+brings the source nearer to its target. Texts of any length are only counted and hashed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.llm.common import pick, stage, ticket
@@ -26,12 +28,17 @@ STEP = 12
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def document_ticket(doc_id: Column, text: Column) -> Column:
+    own = F.coalesce(doc_id.cast("string"), F.lit(""))
+    return ticket(F.concat(own, F.lit(":"), F.coalesce(F.md5(text.cast("binary")), F.lit(""))))
+
+
 def _sizes(df: DataFrame) -> DataFrame:
     return pick(df, "doc_id", "text", "source").select(
-        "doc_id",
+        F.col("doc_id").cast("bigint").alias("doc_id"),
         "source",
         F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint").alias("size"),
-        ticket(F.col("doc_id")).alias("ticket"),
+        document_ticket(F.col("doc_id").cast("bigint"), F.col("text")).alias("ticket"),
     )
 
 
@@ -91,7 +98,11 @@ def _targets(sized: DataFrame, weights: tuple[int, ...], share: float, cap: floa
 
 
 def thresholds(sized: DataFrame, sources: DataFrame) -> DataFrame:
-    """Per source: whole repeats and the ticket below which one more copy is taken."""
+    """Per source: whole repeats and the ticket below which one more copy is taken.
+
+    Where only some of the rows of one ticket are taken, ``partial`` is that ticket and
+    ``some`` their number.
+    """
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")))
     state = stage(
         sources.withColumn("whole", F.coalesce(whole, F.lit(0)).cast("bigint"))
@@ -99,6 +110,7 @@ def thresholds(sized: DataFrame, sources: DataFrame) -> DataFrame:
         .withColumn("prefix", F.lit(0).cast("bigint"))
         .withColumn("used", F.lit(0).cast("bigint"))
         .withColumn("cut", F.when(F.col("budget") <= 0, F.lit(0).cast("bigint")))
+        .withColumns({"partial": F.lit(None).cast("bigint"), "some": F.lit(0).cast("bigint")})
     )
     for shift in range(BITS - STEP, -1, -STEP):
         open_ = state.where(F.col("cut").isNull())
@@ -109,8 +121,9 @@ def thresholds(sized: DataFrame, sources: DataFrame) -> DataFrame:
             F.shiftright("ticket", shift + STEP) == F.col("_prefix")
         )
         buckets = rows.groupBy("source", F.shiftright("ticket", shift).alias("bucket")).agg(
-            F.sum("size").alias("words"), F.min("ticket").alias("low"), F.max("ticket").alias("high")
-        )
+            F.sum("size").alias("words"), F.min("ticket").alias("low"), F.max("ticket").alias("high"),
+            F.count(F.lit(1)).alias("n"),
+        )
         running = Window.partitionBy("source").orderBy("bucket")
         reached = buckets.withColumn("upto", F.sum("words").over(running))
         same = F.col("r.source").eqNullSafe(F.col("s.source"))
@@ -119,15 +132,18 @@ def thresholds(sized: DataFrame, sources: DataFrame) -> DataFrame:
             open_.alias("s")
             .join(reached.alias("r"), same & past)
             .groupBy(F.col("s.source").alias("source"))
-            .agg(F.min(F.struct("r.bucket", "r.words", "r.upto", "r.low", "r.high")).alias("b"))
-        )
-        nearer = F.col("budget") - F.col("before") > F.col("before") + F.col("b.words") - F.col(
-            "budget"
+            .agg(F.min(F.struct("r.bucket", "r.words", "r.upto", "r.low", "r.high", "r.n")).alias("b"))
         )
+        # Of one ticket's rows as many are taken as come nearest to what is left of the budget.
+        room, each = F.col("budget") - F.col("before"), F.col("b.words") / F.col("b.n")
+        fitting = F.floor(room / each)
+        nearer = room - fitting * each > (fitting + 1) * each - room
+        number = F.least(fitting + F.when(nearer, 1).otherwise(0), F.col("b.n"))
         single = F.col("b.low") == F.col("b.high")
         cut = F.when(F.col("b").isNull(), F.lit(1 << BITS)).when(
-            single, F.col("b.low") + F.when(nearer, 1).otherwise(0)
+            single, F.col("b.low") + F.when(number == F.col("b.n"), 1).otherwise(0)
         )
+        parted = single & (number > 0) & (number < F.col("b.n"))
         refined = (
             state.alias("s")
             .join(boundary.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source")), "left")
@@ -143,14 +159,40 @@ def thresholds(sized: DataFrame, sources: DataFrame) -> DataFrame:
                 F.when(known, F.col("prefix")).otherwise(F.col("b.bucket")).alias("prefix"),
                 F.when(known, F.col("used")).otherwise(F.col("before")).alias("used"),
                 F.coalesce("cut", cut).cast("bigint").alias("cut"),
+                F.when(known, F.col("partial")).when(parted, F.col("b.low")).alias("partial"),
+                F.when(known, F.col("some")).when(parted, number).otherwise(0).cast("bigint").alias("some"),
             )
         )
     return state
 
 
-def copies() -> F.Column:
-    """How often the mix takes a row that carries its source's threshold."""
-    return F.col("whole") + F.when(F.col("ticket") < F.col("cut"), 1).otherwise(0)
+def with_copies(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """``rows`` (source, ticket and others) with ``copies``: how often the mix takes each.
+
+    Rows of a ticket of which only some are taken are written and numbered: by part, and
+    within a part by place, so that no task holds more of them than a part.
+    """
+    wanted = ["source", "rows", "source_size", "target", "whole", "cut", "partial", "some"]
+    placed = attach(rows, state.select(*wanted), ["source"], "rows", null_safe=True)
+    plain = F.col("whole") + F.when(F.col("ticket") < F.col("cut"), 1).otherwise(0)
+    if state.where("partial IS NOT NULL").isEmpty():
+        return placed.withColumn("copies", plain)
+    parted = F.coalesce(F.col("ticket") == F.col("partial"), F.lit(False))
+    own = stage(placed.where(parted).withColumn("_id", F.monotonically_increasing_id()))
+    own = own.withColumn("_part", F.shiftright("_id", 33))
+    before = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = own.groupBy("source", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    parts = parts.select(
+        F.col("source").alias("_source"), F.col("_part").alias("_own"),
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+    )
+    # A source has one such ticket at most, and its rows a row in ``parts`` per part.
+    same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("_part") == F.col("_own"))
+    place = F.row_number().over(Window.partitionBy("source", "_part").orderBy("_id"))
+    numbered = own.withColumn("_place", place).join(parts, same)
+    taken = F.col("whole") + (F.col("_before") + F.col("_place") <= F.col("some")).cast("int")
+    numbered = numbered.withColumn("copies", taken).select(*placed.columns, "copies")
+    return placed.where(~parted).withColumn("copies", plain).unionAll(numbered)
 
 
 def mixture(
@@ -165,9 +207,7 @@ def mixture(
     ``share`` times all words; no target exceeds ``cap`` times its source's words.
     """
     sized = stage(_sizes(documents))
-    state = thresholds(sized, _targets(sized, weights, share, cap))
-    chosen = state.select("source", "rows", "source_size", "target", "whole", "cut")
-    rows = attach(sized, chosen, ["source"], "rows", null_safe=True).withColumn("copies", copies())
+    rows = with_copies(sized, thresholds(sized, _targets(sized, weights, share, cap)))
     return rows.select(
         "doc_id",
         "size",
@@ -193,12 +233,12 @@ def mix(documents: DataFrame, **options) -> DataFrame:
     keyed = plain.withColumns(
         {
             "source": F.col(f"_{names.index('source')}"),
-            "ticket": ticket(F.col(f"_{names.index('doc_id')}")),
+            "ticket": document_ticket(
+                F.col(f"_{names.index('doc_id')}").cast("bigint"), F.col(f"_{names.index('text')}")
+            ),
         }
     )
-    chosen = state.select("source", "rows", "whole", "cut")
-    rows = attach(keyed, chosen, ["source"], "rows", null_safe=True).withColumn("copies", copies())
-    repeated = rows.withColumn(
+    repeated = with_copies(keyed, state).withColumn(
         "copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))
     )
     return repeated.select(*[F.col(f"_{i}").alias(name) for i, name in enumerate(names)])

@@ -257,7 +257,8 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 WITH d AS (
   SELECT doc_id, source,
     CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS ticket
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(md5(text), '')), 1, 15)
+      AS BIGINT) AS ticket
   FROM documents
 ), s AS (
   SELECT source, sum(size) AS source_size,
@@ -278,18 +279,22 @@ WITH d AS (
 ), u AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t
 ), g AS (
-  SELECT u.source, ticket, target - whole * source_size AS rest, sum(size) AS words
+  SELECT u.source, ticket, target - whole * source_size AS rest, sum(size) AS words, count(*) AS n
   FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source GROUP BY ALL
 ), c AS (
   SELECT *, sum(words) OVER (PARTITION BY source ORDER BY ticket ROWS UNBOUNDED PRECEDING) AS upto FROM g
 ), k AS (
-  SELECT source, ticket, upto <= rest OR (rest > 0 AND upto - words <= rest
-    AND rest - (upto - words) > upto - rest) AS extra FROM c
+  SELECT source, ticket, CASE WHEN upto <= rest THEN n WHEN rest <= 0 OR upto - words > rest THEN 0
+    ELSE least(n, floor(room / each) + CASE WHEN room - floor(room / each) * each
+      > (floor(room / each) + 1) * each - room THEN 1 ELSE 0 END) END AS chosen
+  FROM (SELECT *, rest - (upto - words) AS room, CAST(words AS DOUBLE) / n AS each FROM c)
+), e AS (
+  SELECT *, row_number() OVER (PARTITION BY source, ticket) AS place FROM d
 )
 SELECT doc_id, size, CAST(u.source_size AS BIGINT) AS source_size,
   round(target, 3) AS target,
-  CAST((whole + CASE WHEN extra AND target > whole * u.source_size THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
-FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source
-  JOIN k ON d.source IS NOT DISTINCT FROM k.source AND d.ticket = k.ticket
+  CAST((whole + CASE WHEN place <= chosen AND target > whole * u.source_size THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
+FROM e JOIN u ON e.source IS NOT DISTINCT FROM u.source
+  JOIN k ON e.source IS NOT DISTINCT FROM k.source AND e.ticket = k.ticket
 """,
 }
