@@ -6,14 +6,18 @@ the expected result from those columns without repeating any parsing.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.registry import I, R, add
 from orderlens.functions import bins, dates, delivery, payment, text
 from orderlens.operators import duplicates, outliers
+from orderlens.operators.settle import shared_folder
 from orderlens.plans import cleaning
 
+
 def product():
     return F.col("product_id")
 
@@ -219,6 +223,23 @@ add("duplicate_class_counts", DUPLICATE_COLUMNS,
         F.count_if("is_duplicate").alias("duplicates")), f"""
 WITH {COPIES} SELECT duplicate_type, count(*) AS "rows",
   count(*) FILTER (is_duplicate) AS duplicates FROM t GROUP BY 1""")
+def grown_summary(sales: DataFrame) -> DataFrame:
+    """Groups per class, from a kept summary of the early years to which the others are added."""
+    rows, path = with_copies(sales), f"{shared_folder(sales.sparkSession)}/summary-{uuid.uuid4().hex}"
+    early = F.col("order_date") < F.lit("1996-07-10").cast("date")
+    duplicates.write_summary(rows.where(early), path, row_id="row_id")
+    duplicates.add_to_summary(rows.where(~early), path, row_id="row_id")
+    groups = duplicates.judged(duplicates.read_summary(sales.sparkSession, path))
+    return groups.groupBy("duplicate_type").agg(
+        F.count(F.lit(1)).alias("groups"), F.sum("copies").alias("rows"), F.sum("total_quantity").alias("quantity")
+    )
+
+
+add("duplicate_groups_grown", DUPLICATE_COLUMNS, grown_summary, f"""
+WITH {COPIES}, g AS (SELECT duplicate_type, count(*) AS n, sum(quantity) AS q FROM t WHERE is_duplicate
+  GROUP BY duplicate_type, order_date, customer_id, product_id, original_price, discounted_price, final_amount)
+SELECT duplicate_type, count(*) AS "groups", {I('sum(n)')} AS "rows", {I('sum(q)')} AS quantity FROM g
+GROUP BY 1""")
 add("consolidated_bulk_orders", DUPLICATE_COLUMNS,
     lambda sales: duplicates.consolidate_bulk_orders(with_copies(sales), row_id="row_id"), f"""
 WITH {COPIES} SELECT order_date, {I('customer_id')} AS customer_id,

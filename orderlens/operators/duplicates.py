@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orderlens.operators.settle import stage
 from orderlens.operators.skew import attach
 
 # ---- Fixed values -----------------------------------------------------------------
@@ -20,10 +21,11 @@ DUPLICATE_KEYS = (
 )
 BULK_ORDER, ERROR_DUPLICATE, NORMAL = "bulk_order", "error_duplicate", "normal"
 TOLERANCE = 0.01
+NO_MONTH = "none"
 # -------------------------------------------------------------------------------------
 
 
-def duplicate_groups(
+def duplicate_summary(
     df: DataFrame,
     keys: Sequence[str] = DUPLICATE_KEYS,
     quantity: str = "quantity",
@@ -31,25 +33,28 @@ def duplicate_groups(
     row_id: str = "transaction_id",
     totals: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per key combination that occurs more than once, with its class.
-
-    A group is a bulk order when its quantities explain its amounts at the unit
-    price of the first row (by ``row_id``); groups with a missing key are not
-    judged and stay 'normal'. Grouping combines copies before the shuffle, so a
-    key with very many copies costs one row per task.
-    """
-    first = F.struct(row_id, F.col(quantity).alias("q"), F.col(amount).alias("a"))
-    grouped = (
-        df.groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("copies"),
-            F.sum(quantity).alias("total_quantity"),
-            F.sum(F.col(amount)).alias("total_amount"),
-            F.min(first).alias("_first"),
-            *[F.sum(name).alias(f"total_{name}") for name in totals],
-        )
-        .where(F.col("copies") > 1)
+    """One row per key combination, single rows included; summaries can be merged (``merged_summary``)."""
+    first = F.struct(F.col(row_id).alias("id"), F.col(quantity).alias("q"), F.col(amount).alias("a"))
+    return df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("copies"),
+        F.sum(quantity).alias("total_quantity"),
+        F.sum(F.col(amount)).alias("total_amount"),
+        F.min(first).alias("_first"),
+        *[F.sum(name).alias(f"total_{name}") for name in totals],
     )
+
+
+def merged_summary(summary: DataFrame, keys: Sequence[str] = DUPLICATE_KEYS) -> DataFrame:
+    """Summaries of several tables, united, as the summary of all their rows (types unchanged)."""
+    sums = [f for f in summary.schema.fields if f.name == "copies" or f.name.startswith("total_")]
+    return summary.groupBy(*keys).agg(
+        *[F.sum(f.name).cast(f.dataType).alias(f.name) for f in sums], F.min("_first").alias("_first")
+    ).select(*summary.columns)
+
+
+def judged(summary: DataFrame, keys: Sequence[str] = DUPLICATE_KEYS) -> DataFrame:
+    """The combinations that occur more than once, with their class."""
+    grouped = summary.where(F.col("copies") > 1)
     missing = F.lit(False)
     for key in keys:
         missing = missing | F.col(key).isNull()
@@ -61,6 +66,65 @@ def duplicate_groups(
     return grouped.withColumn("duplicate_type", kind).drop("_first")
 
 
+def duplicate_groups(df: DataFrame, keys: Sequence[str] = DUPLICATE_KEYS, **names) -> DataFrame:
+    """One row per key combination that occurs more than once, with its class.
+
+    A group is a bulk order when its quantities explain its amounts at the unit
+    price of the first row (by ``row_id``); groups with a missing key are not
+    judged and stay 'normal'. Grouping combines copies before the shuffle, so a
+    key with very many copies costs one row per task. ``names`` are those of
+    ``duplicate_summary``.
+    """
+    return judged(duplicate_summary(df, keys, **names), keys)
+
+
+# ---- A summary that is kept, and grows with every year's file -------------------------------
+
+
+def _month(date: str) -> Column:
+    """Copies share their date, so a month of the summary is complete by itself."""
+    return F.coalesce(F.date_format(date, "yyyy-MM"), F.lit(NO_MONTH))
+
+
+def write_summary(
+    df: DataFrame, path: str, keys: Sequence[str] = DUPLICATE_KEYS, date: str = "order_date", **names
+) -> None:
+    """The summary of ``df`` by months of ``date``, one of the keys, replacing what is at ``path``."""
+    summary = duplicate_summary(df, keys, **names).withColumn("month", _month(date))
+    _save(summary, path, "static")
+
+
+def _save(summary: DataFrame, path: str, mode: str) -> None:
+    # Rows of a month come together in as many files as they fill.
+    writer = summary.hint("rebalance", F.col("month")).write.mode("overwrite").partitionBy("month")
+    writer.option("partitionOverwriteMode", mode).parquet(path)
+
+
+def add_to_summary(
+    df: DataFrame, path: str, keys: Sequence[str] = DUPLICATE_KEYS, date: str = "order_date", **names
+) -> DataFrame:
+    """Merge new rows into the summary at ``path``; returns the groups of their keys, judged anew.
+
+    Only the months in which the new rows lie are read and rewritten, so a new year's file
+    costs what it holds itself. A failed run leaves every month as it was or as it should be;
+    adding the same rows twice counts them twice.
+    """
+    spark = df.sparkSession
+    new = stage(duplicate_summary(df, keys, **names).withColumn("month", _month(date)))
+    # At most one value per month of the calendar.
+    months = [r.month for r in new.select("month").distinct().collect()]
+    old = spark.read.parquet(path).where(F.col("month").isin(months)).select(*new.columns)
+    merged = stage(merged_summary(old.unionAll(new), [*keys, "month"]))
+    _save(merged, path, "dynamic")
+    same = [F.col(f"m.{key}").eqNullSafe(F.col(f"n.{key}")) for key in keys]
+    touched = merged.alias("m").join(new.select(*keys).alias("n"), same, "left_semi")
+    return judged(touched.drop("month"), keys)
+
+
+def read_summary(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("month")
+
+
 def attach_classes(
     df: DataFrame, groups: DataFrame, keys: Sequence[str] = DUPLICATE_KEYS
 ) -> DataFrame:

@@ -347,6 +347,40 @@ def test_duplicate_classes(spark):
     }
 
 
+def test_a_summary_grows_with_a_new_file(spark, tmp_path):
+    """What was kept and what is added give the groups of all rows; other months are not touched."""
+    rng = random.Random(9)
+
+    def rows(n, months, start):
+        return [
+            (f"t{start + i}", f"2020-{rng.choice(months):02d}-{rng.randint(1, 3):02d}" if rng.random() < 0.95 else None,
+             rng.choice("ab") if rng.random() < 0.9 else None, rng.randint(1, 2), float(rng.randint(1, 3)))
+            for i in range(n)
+        ]
+
+    schema = "id string, d string, k string, quantity int, final_amount double"
+    old, new = (
+        spark.createDataFrame(r, schema).withColumn("order_date", F.to_date("d")).drop("d")
+        for r in (rows(300, [1, 2, 3], 0), rows(80, [3, 4], 1000))
+    )
+    keys, path = ["order_date", "k", "final_amount"], str(tmp_path / "summary")
+    duplicates.write_summary(old, path, keys, row_id="id")
+
+    def written():
+        return {str(p): p.stat().st_mtime_ns for p in (tmp_path / "summary").rglob("*.parquet")}
+
+    before = written()
+    touched = duplicates.add_to_summary(new, path, keys, row_id="id")
+    after = written()
+    months = {p.split("month=")[1].split("/")[0] for p in set(before) ^ set(after)}
+    assert months == {"2020-03", "2020-04", "none"}
+    every = {str(tuple(r[:3])): tuple(r) for r in duplicates.duplicate_groups(old.union(new), keys, row_id="id").collect()}
+    grown = duplicates.judged(duplicates.read_summary(spark, path), keys).collect()
+    assert {str(tuple(r[:3])): tuple(r) for r in grown} == every and len(grown) == len(every)
+    own = {str(tuple(r)) for r in new.select(*keys).distinct().collect()}
+    assert {str(tuple(r[:3])): tuple(r) for r in touched.collect()} == {k: v for k, v in every.items() if k in own}
+
+
 def test_a_huge_bulk_order_is_one_row_of_totals_and_a_member_row_per_id(spark):
     ids = [f"t{i:05d}" for i in range(25_000)] + ["t00000"]
     rows = spark.createDataFrame(
