@@ -9,8 +9,10 @@ every such window, so nothing that passes is missed (``tests/llm`` proves it by
 trying all windows).
 
 A document's seeds are computed on its bytes, and only those in a fixed-size bit
-table of the benchmark's seeds leave the scan, with the words around them; the
-join decides.
+table of the benchmark's seeds leave the scan; they are kept, with the words around
+them, in the shared folder. The seeds alone are joined and counted per diagonal: a
+window that passes always holds some number of hits (``least_hits``, by enumeration),
+so diagonals with fewer are dropped before any words are read for verification.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the lower-cased (A-Z) text, so
 punctuation does not count. Defined results: null and empty texts overlap with
@@ -22,6 +24,8 @@ either side gives an empty result.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,7 +39,9 @@ WINDOW = 13
 SHARE = 0.8
 FEWEST = 5
 BITS = 23
-SLICE = 4_000_000
+# Up to so many diagonals (three numbers each) are broadcast.
+BROADCAST_ROWS = 500_000
+SLICE = 500_000
 SEPARATORS = bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 # Capital letters are made small first, so they are word characters.
 SEPARATORS = bytes(b for b in SEPARATORS if not 65 <= b <= 90)
@@ -54,6 +60,23 @@ def seeds(words: np.ndarray, mask: int) -> np.ndarray:
         return _mix(total)
 
 
+def least_hits(width: int) -> int:
+    """How many seeds a window of ``width`` words holds at least if 80 % of them are equal.
+
+    Of the windows with the most wrong words allowed; fewer wrong words only add hits.
+    """
+
+    def hits(wrong: tuple[int, ...]) -> int:
+        equal = [i not in wrong for i in range(width)]
+        return sum(
+            all(equal[at + place] for place in mask)
+            for mask in MASKS
+            for at in range(width - mask[-1])
+        )
+
+    return min(hits(wrong) for wrong in combinations(range(width), width // 5))
+
+
 def _slots(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - BITS)).astype(np.int64)
 
@@ -185,17 +208,27 @@ def _verified(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = stretches.select(
         "stretch", F.explode(F.arrays_zip("places", "masks", "seeds")).alias("hit")
     ).select("stretch", "hit.*")
+    # One item's list of words stands in one of its rows; its length is wanted with every seed.
+    texts = stage(items.where("mask = 0 and place = 0").select("item", "item_id", "item_words"))
+    # A window's hits may fall in two neighbouring stretches, of which one has half of them.
+    least = F.array(*[F.lit((least_hits(w) + 1) // 2) for w in range(FEWEST, WINDOW + 1)])
+    width = F.least(F.size("item_words"), F.lit(WINDOW))
+    wanted = texts.select("item", F.get(least, width - FEWEST).alias("least"))
     known = items.select(
         "item", F.col("mask").alias("masks"), "place", F.col("seed").alias("seeds")
     )
-    diagonals = (
+    counted = (
         hits.join(known, ["seeds", "masks"])
-        .select("stretch", "item", (F.col("places") - F.col("place")).alias("diagonal"))
-        .distinct()
+        .groupBy("stretch", "item", (F.col("places") - F.col("place")).alias("diagonal"))
+        .agg(F.count(F.lit(1)).alias("hits"))
+    )
+    diagonals = stage(
+        counted.join(wanted, "item").where("hits >= least").select("stretch", "item", "diagonal")
     )
-    texts = items.where("mask = 0 and place = 0").select("item", "item_id", "item_words")
+    few = diagonals.count() <= BROADCAST_ROWS
     pairs = (
-        diagonals.join(stretches.select("stretch", "doc_id", "print", "low", "words"), "stretch")
+        stretches.select("stretch", "doc_id", "print", "low", "words")
+        .join(F.broadcast(diagonals) if few else diagonals, "stretch")
         .join(texts, "item")
         .select("doc_id", "print", "item_id", "diagonal", "low", "words", "item_words")
     )
