@@ -12,7 +12,9 @@ template. A phrase of n words stands where a single diagonal has n - 1 votes.
 Only DataFrame functions are used. Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of
 the lower-cased text. Defined results: null and empty texts have no words; every
 row gives one row, repeated rows included; doc_id may be null; score is 1 where a
-phrase stands, else the best coverage of a verified span, else 0.
+phrase stands, else the best coverage of a verified span, else 0. An empty table gives
+an empty result; other columns, whatever their names, are not looked at. A text is
+split as a whole in one task, however long, and only its hits are shuffled.
 """
 
 from __future__ import annotations

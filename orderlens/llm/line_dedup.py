@@ -19,7 +19,9 @@ one maximal stretch. The first copy (by doc_id, then row, then line) always stay
 Only DataFrame functions are used; every round is written to the shared folder.
 Defined results: null and empty texts have no lines; repeated rows are copies of
 the first of them; null doc_ids come first in the order; lines are compared whole,
-by a 64-bit hash and their length.
+by a 64-bit hash and their length. An empty table gives an empty result; other columns
+are not looked at (or kept, where rows are returned). A text becomes rows of lines at
+once, so a very long one is spread like any others; a single line is hashed whole.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ letters, two check digits, mod 97 = 1, after the cue ``IBAN``) and account (6 to
 
 Defined results: null and empty texts have no spans and the digest of the empty
 string; each row gives one row, repeated rows included; doc_id may be null.
-Offsets count code points, the end exclusive.
+Offsets count code points, the end exclusive. An empty table gives an empty result;
+other columns, whatever their names, are not looked at. Each text is scanned whole in
+one task, in time proportional to its length and its anchors.
 """
 
 from __future__ import annotations
