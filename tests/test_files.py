@@ -245,3 +245,25 @@ def test_report_run_writes_its_tables(spark, tmp_path):
     for name, path in written.items():
         read = spark.read.option("header", "true").csv(path)
         assert read.columns == reports.REPORTS[name](sales).columns and read.count() > 0
+
+
+def test_report_run_agrees_with_sql(spark, tmp_path):
+    """Every report that has a registered query of its name, written, read back and compared with the SQL."""
+    from checks.compare import compare, connect
+    from checks.registry import ORACLES, plain
+    from orderlens.plans import reports
+
+    import __spark_entry__  # noqa: F401  (registers the queries)
+
+    # Matrices are registered in their long form.
+    wanted = sorted((set(reports.REPORTS) & set(ORACLES)) - {"journey_matrix", "transition_matrix", "revenue_heatmap"})
+    assert len(wanted) > 33
+    digits = {"brand_position": {"average_price": 8}}
+    written = reports.write_all_reports(star.sales(spark, SF), str(tmp_path / "all"), wanted, "parquet")
+    duck = connect(SF)
+    wrong = {}
+    for name, path in written.items():
+        same, note = compare(spark, duck, lambda s, _, n=name, p=path: plain(s.read.parquet(p), digits.get(n)), ORACLES[name], SF)
+        if not same:
+            wrong[name] = note
+    assert not wrong, wrong
