@@ -17,7 +17,10 @@ best units' scores, fitted on documents that the SVM has not seen.
 Defined results: null and empty texts have no units and get the (low) score of
 that; repeated rows get equal scores; rows with a null doc_id are not held out;
 labels that are null, or whose document is missing, teach nothing; without
-labels of both kinds every score is the share of toxic labels (0 if none).
+labels of both kinds every score is the share of toxic labels (0 if none). An empty
+table gives an empty result; other columns, whatever their names, are not looked at (or
+kept, where rows are returned). A text is scored whole in one task, its units by blocks:
+about 30 bytes of memory per character, so texts up to some 30 MB fit an executor of 3 GB.
 """
 
 from __future__ import annotations
@@ -45,7 +48,9 @@ ROUNDS = 5
 C = 0.1
 DELETED = 255
 FACTORS = np.array([2654435761, 2246822519, 3266489917, 668265263, 374761393, 2971215073, 4222234741, 1540483477], dtype=np.uint64)
-SLICE = 1_000_000
+SLICE = 500_000
+# Units that are scored together.
+UNITS = 20_000
 
 
 def _symbols() -> np.ndarray:
@@ -115,12 +120,22 @@ class Units:
             yield room >= c, code, DECAY ** (c + 1 - LENGTH)
 
     def scores(self, weights: np.ndarray, intercept: float) -> np.ndarray:
-        if not len(self):
-            return np.zeros(0)
-        total = np.zeros(self.blanks[-1], dtype=np.float32)
-        for inside, code, weight in self.subsequences():
-            total += weights[code] * (inside * np.float32(weight))
-        return np.add.reduceat(total, self.blanks[:-1]) / norm(self.sizes) + intercept
+        """The score of every unit, by blocks of units, so that little is held at a time."""
+        parts = [np.zeros(0)]
+        for start in range(0, len(self), UNITS):
+            block = self.block(start, min(start + UNITS, len(self)))
+            total = np.zeros(block.blanks[-1], dtype=np.float32)
+            for inside, code, weight in block.subsequences():
+                total += weights[code] * (inside * np.float32(weight))
+            parts.append(np.add.reduceat(total, block.blanks[:-1]) / norm(block.sizes) + intercept)
+        return np.concatenate(parts)
+
+    def block(self, start: int, stop: int) -> Units:
+        units = Units.__new__(Units)
+        low, high = self.blanks[start], self.blanks[stop]
+        units.symbols, units.blanks = self.symbols[low : high + 1], self.blanks[start : stop + 1] - low
+        units.sizes, units.owner = self.sizes[start:stop], self.owner[start:stop]
+        return units
 
 
 def norm(sizes: np.ndarray) -> np.ndarray:
@@ -158,13 +173,13 @@ def kernel(names: list[bytes], landmarks: list[bytes]) -> np.ndarray:
     np.add.at(table, (column[codes], rows), weights)
     table /= norm(marks.sizes)
     out = np.zeros((len(names), len(landmarks)), dtype=np.float32)
-    for start in range(0, len(names), 2000):
-        units = units_of(names[start : start + 2000])
+    for start in range(0, len(names), 500):
+        units = units_of(names[start : start + 500])
         owner = np.repeat(np.arange(len(units)), np.diff(units.blanks))
         for inside, code, weight in units.subsequences():
             found = inside & (column[code] >= 0)
-            np.add.at(out[start : start + 2000], owner[found], weight * table[column[code[found]]])
-        out[start : start + 2000] /= norm(units.sizes)[:, None]
+            np.add.at(out[start : start + 500], owner[found], weight * table[column[code[found]]])
+        out[start : start + 500] /= norm(units.sizes)[:, None]
     return out
 
 
@@ -187,7 +202,8 @@ def svm(features: np.ndarray, labels: np.ndarray, weights: np.ndarray, c: float
     for _ in range(25):
         active = labels * (data @ w) < 1
         x, s = data[active], c * weights[active]
-        fresh = np.linalg.solve(ridge + (x * s[:, None]).T @ x, (x * s[:, None]).T @ labels[active])
+        scaled = (x * s[:, None]).T
+        fresh = np.linalg.solve(ridge + scaled @ x, scaled @ labels[active])
         if np.allclose(fresh, w, atol=1e-6):
             break
         w = fresh
@@ -235,7 +251,7 @@ def with_insertions(unit: bytes) -> list[bytes]:
     return [unit[:i] + bytes([1 + (7 * i + unit[i]) % 26]) + unit[i:] for i in range(2, len(unit) - 1)]
 
 
-def without_copies(bags: list[tuple[set, int]]) -> list[tuple[set, int]]:
+def without_copies(bags: list[tuple[tuple, int]]) -> list[tuple[tuple, int]]:
     """One bag of each group of near copies (half of eight min-hashes equal), so that what a
     copied document happens to say does not look typical of its label."""
     seen: dict[tuple, list[int]] = {}
@@ -262,7 +278,12 @@ def train(rows: list[tuple[str, int]]) -> dict:
     learn = np.arange(len(rows)) % 10 < 7
     if len(set(labels[learn])) < 2 or len(set(labels[~learn])) < 2:
         learn = np.ones(len(rows), dtype=bool)
-    bags = [(set(Units([text]).names()), y) for (text, y), own in zip(rows, learn, strict=True) if own]
+    # Units are shared between bags, and bags are tuples: the driver holds them all.
+    pool: dict[bytes, bytes] = {}
+    bags = []
+    for (text, y), own in zip(rows, learn, strict=True):
+        if own:
+            bags.append((tuple({pool.setdefault(u, u) for u in Units([text]).names()}), y))
     bags = without_copies(bags)
     toxic, clean = [b for b, y in bags if y], [b for b, y in bags if not y]
     if not toxic or not clean:
@@ -289,7 +310,9 @@ def train(rows: list[tuple[str, int]]) -> dict:
     usual = clean_units[:USUAL] + [clean_units[i] for i in sorted(others[:USUAL])]
     rest = [row for row, own in zip(rows, learn, strict=True) if not own] or rows
     rest_labels = np.array([y for _, y in rest], float)
-    rest_units = Units([text for text, _ in rest])
+    # By hundreds of texts, so that only their symbols are held, not what they are made from.
+    parts = [[text for text, _ in rest[i : i + 100]] for i in range(0, len(rest), 100)]
+    rest_units = [(Units(texts), len(texts)) for texts in parts]
     least, best = np.inf, {}
     picks = Counter()
     for bag in toxic:
@@ -317,7 +340,9 @@ def train(rows: list[tuple[str, int]]) -> dict:
         weight[y > 0] *= weight[y < 0].sum() / (2 * weight[y > 0].sum())
         w, intercept = svm(kernel(examples, marks) @ root, y, weight, C)
         table = fold(marks, root @ w)
-        features = document_features(rest_units, rest_units.scores(table, intercept), len(rest))
+        features = np.concatenate(
+            [document_features(u, u.scores(table, intercept), n) for u, n in rest_units]
+        )
         shape = logistic(features, rest_labels)
         odds = np.hstack([features, np.ones((len(rest), 1))]) @ shape
         loss = np.logaddexp(0, np.where(rest_labels > 0, -odds, odds)).mean()
