@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -90,6 +91,14 @@ def row_slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.Re
         yield batch.slice(start)
 
 
+def give_back() -> None:
+    """Return memory that a reused worker process holds from earlier tasks to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (the public splitmix64 constants)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

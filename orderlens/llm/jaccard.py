@@ -22,8 +22,15 @@ or more must share one of the first ``n - ceil(0.8 n) + 1``. So:
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased; a
 text with one to four words has one shingle, its whole sequence; null and empty
 texts have none and are linked with nothing (their component is their own id);
-repeated rows are copies; a null doc_id never names a component. Shingles are
-64-bit hashes, compared by 40 of their bits.
+repeated rows are copies; a null doc_id never names a component. An empty table
+gives an empty result; other columns, whatever their names, are not looked at (or
+kept, where rows are returned). A text's set is made in one task (about 50 bytes per
+byte of text, beyond the usual slice for a text longer than one).
+
+Shingles are 64-bit hashes. Equal sets are recognised by 64 bits of the whole set, and
+overlaps are counted on 40 bits of each hash: of two sets with n shingles each, one
+unequal pair in 2^40 / n^2 or so counts as shared, which matters only for pairs within
+one shingle of the threshold.
 """
 
 from __future__ import annotations
@@ -35,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import WordHasher, _mix, pick, row_slices, shingles, stage
+from orderlens.llm.common import WordHasher, _mix, give_back, pick, row_slices, shingles, stage
 from orderlens.llm.components import roots
 from orderlens.operators.skew import attach
 
@@ -48,6 +55,8 @@ FILTER_BITS = 25
 # many nodes.
 FAMILY = 16
 BLOCK = 512
+# Bytes of packed sets in a block, so that long sets make smaller blocks.
+BLOCK_BYTES = 4_000_000
 # Tables of at most so many rows of two or three numbers are broadcast.
 BROADCAST_ROWS = 500_000
 SLICE = 500_000
@@ -99,6 +108,7 @@ def _each_set(batch: pa.RecordBatch, column: int, hasher: WordHasher):
     for piece in row_slices(batch, column, SLICE):
         words, bounds = hasher(piece.column(column))
         yield piece, list(document_sets(words, bounds))
+    give_back()
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -275,7 +285,7 @@ def _sets(documents: DataFrame, families: DataFrame, shared) -> DataFrame:
 
 
 def _good(contents: list[np.ndarray], sides: np.ndarray) -> np.ndarray:
-    """Which sets are linked across (or, on one side only, within) a block pair.
+    """Which sets are linked across a block pair (``sides`` -1 and 1) or within a block (all 0).
 
     Overlaps come from products of 0/1 matrices over the shingles that occur twice.
     """
@@ -299,7 +309,7 @@ def _good(contents: list[np.ndarray], sides: np.ndarray) -> np.ndarray:
     sizes = np.array([len(c) for c in contents])
     good = linked(overlap.astype(np.int64), sizes[:, None], sizes[None, :])
     np.fill_diagonal(good, False)
-    if sides.min() != sides.max():
+    if sides.any():
         good &= sides[:, None] != sides[None, :]
     return good
 
@@ -328,10 +338,14 @@ def _family_links(sets: DataFrame, every: bool = False) -> DataFrame:
     block pair: ``b`` is the root of its tree there, and ``links`` the sum of the
     copies of the sets it is linked with. A pair meets in one block pair only.
     """
-    members = sets.groupBy("family").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    members = sets.groupBy("family").agg(
+        F.count(F.lit(1)).alias("members"), F.sum(F.length("content")).alias("bytes")
+    ).where("members > 1")
     members = members.withColumn("rows", F.col("members"))
     sized = attach(sets, members, ["family"], "rows").where("members IS NOT NULL")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("bigint")
+    most = F.greatest(F.col("members") / BLOCK, F.col("bytes") / BLOCK_BYTES)
+    # A set longer than a block stands alone; more blocks than sets are of no use.
+    blocks = F.least(F.ceil(most), F.col("members")).cast("bigint")
     # Each block meets each other block once: key (smaller, larger).
     placed = (
         sized.withColumn("blocks", blocks)
@@ -342,7 +356,7 @@ def _family_links(sets: DataFrame, every: bool = False) -> DataFrame:
             F.least("block", "other").alias("low"),
             F.greatest("block", "other").alias("high"),
             "node",
-            (F.col("block") > F.col("other")).cast("int").alias("side"),
+            F.signum(F.col("block") - F.col("other")).cast("int").alias("side"),
             "content",
             "copies",
         )

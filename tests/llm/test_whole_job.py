@@ -210,3 +210,19 @@ def test_least_hits_of_windows_that_pass():
                     all(equal[at + p] for p in mask) for mask in decontamination.MASKS for at in range(width - mask[-1])
                 ))
         assert min(found) == decontamination.least_hits(width) > 0
+
+
+def test_long_sets_make_small_blocks(spark, monkeypatch):
+    """Blocks cut by bytes lose no link."""
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 4_000)
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10_000)}" for _ in range(400)]
+    texts = [" ".join([*base[:k], "x", *base[k + 1 :]]) for k in range(0, 400, 10)]
+    sets = [frozenset(tuple(t.split()[i : i + 5]) for i in range(396)) for t in texts]
+    expected = [0] * len(texts)
+    for i, j in itertools.permutations(range(len(texts)), 2):
+        both = len(sets[i] & sets[j])
+        expected[i] += 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard.components(docs).collect()}
+    assert got == {i: (0, n) for i, n in enumerate(expected)}
