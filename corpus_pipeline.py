@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from orderlens.llm import decontamination, jaccard, mixing, tokenids, toxicity
-from orderlens.llm.common import stage, table
+from orderlens.llm.common import scratch, table
+from orderlens.operators.settle import release, stage
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,10 +51,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; every result is written as Parquet and reread."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; every result is written as Parquet and reread.
+
+    What a stage staged on its way, and the result it started from, is deleted once its own
+    result is written.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, function in STAGES:
-        docs = stage(function(spark, docs, sf_dir))
+        with scratch():
+            docs = stage(function(spark, docs, sf_dir))
+        if before is not None:
+            release(before)
+        before = docs
     return docs
 
 
