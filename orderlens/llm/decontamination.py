@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import WordHasher, _mix, pick, row_slices, stage, without_rows
+from orderlens.llm.common import WordHasher, _mix, give_back, pick, row_slices, stage, without_rows
 
 MASKS = ((0, 1, 2, 3), (0, 2, 3, 4), (0, 1, 3, 4), (0, 1, 2, 4))
 SPAN = 5
@@ -148,6 +148,7 @@ def _verified(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     sent = spark.sparkContext.broadcast(_bit_table(items))
 
     def scan(batches):
+        give_back()
         hasher = WordHasher(SEPARATORS)
         table = sent.value
         for batch in batches:

@@ -375,6 +375,8 @@ def _family_links(sets: DataFrame, every: bool = False) -> DataFrame:
             i = np.flatnonzero(good.any(axis=1))
             a, b = node[i], node[_trees(good)[i]]
             links_ = np.array([copies[row].sum() for row in good[i]], dtype=np.int64)
+        if len(contents) > BLOCK // 2:
+            give_back()
         return pa.table({"a": pa.array(a), "b": pa.array(b), "links": pa.array(links_)})
 
     return placed.groupBy("family", "low", "high").applyInArrow(compare, "a long, b long, links long")

@@ -41,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import WordHasher, _mix, flat_bytes, pick, row_slices, stage
+from orderlens.llm.common import WordHasher, _mix, flat_bytes, give_back, pick, row_slices, stage
 
 END = 0
 VOCABULARY = 1 << 17
@@ -412,6 +412,7 @@ def write(documents: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
+        give_back()
         part = TaskContext.get().partitionId()
         encode = encoder(tokenizer)
         held: list[np.ndarray] = []
@@ -471,6 +472,7 @@ def read(blocks: DataFrame) -> DataFrame:
     def run(batches):
         # A worker that has encoded before needs its tokenizer no more.
         encoder.cache_clear()
+        give_back()
         for batch in batches:
             for place in range(batch.num_rows):
                 row = batch.slice(place, 1).to_pylist()[0]

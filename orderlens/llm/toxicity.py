@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import pick, row_slices
+from orderlens.llm.common import give_back, pick, row_slices
 
 LENGTH, WINDOW, DECAY = 4, 6, 0.5
 OFFSETS = list(combinations(range(1, WINDOW), LENGTH - 1))
@@ -434,6 +434,7 @@ def accepted(documents: DataFrame, labels: DataFrame) -> DataFrame:
                 texts = [x or "" for x in piece.column(place).to_pylist()]
                 keep = score_texts(texts, sent.value) < 0.5
                 yield piece.filter(pa.array(keep))
+        give_back()
 
     plain = documents.toDF(*[f"_{i}" for i in range(len(names))])
     return plain.mapInArrow(run, plain.schema).toDF(*[f.name for f in schema.fields])
