@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from checks.registry import I, R, add
 from orderlens.functions import bins, dates, delivery, payment, text
 from orderlens.operators import duplicates, outliers
-from orderlens.operators.settle import shared_folder
+from orderlens.operators.settle import shared_folder, stage
 from orderlens.plans import cleaning
 
 
@@ -184,14 +184,19 @@ DUPLICATE_COLUMNS = (
 
 
 def with_copies(sales: DataFrame) -> DataFrame:
+    """Every row, and some of them twice, in one read."""
     sales = sales.withColumn("row_id", F.concat_ws("-", "transaction_id", "l_linenumber", "l_suppkey"))
-    copies = sales.where(product() % 50 == 0).select(
-        *[c for c in sales.columns if c not in ("row_id", "quantity")],
-        F.when(product() % 100 == 0, F.col("quantity") + 1)
-        .otherwise(F.col("quantity")).alias("quantity"),
-        F.concat("row_id", F.lit("-dup")).alias("row_id"),
-    )
-    return sales.unionByName(copies)
+    copies = F.when(product() % 50 == 0, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    copied = F.col("_copy")
+    return sales.withColumn("_copy", F.explode(copies)).withColumns({
+        "quantity": F.when(copied & (product() % 100 == 0), F.col("quantity") + 1).otherwise(F.col("quantity")),
+        "row_id": F.when(copied, F.concat("row_id", F.lit("-dup"))).otherwise(F.col("row_id")),
+    }).drop("_copy")
+
+
+def kept_copies(sales: DataFrame) -> DataFrame:
+    """``with_copies`` computed once: the operators read their rows several times."""
+    return stage(with_copies(sales).select(*duplicates.DUPLICATE_KEYS, "quantity", "row_id"))
 
 
 COPIES = """s AS (SELECT *, transaction_id || '-' || l_linenumber || '-' || l_suppkey AS row_id

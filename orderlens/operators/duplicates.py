@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.operators.settle import stage
+from orderlens.operators.settle import settle, stage
 from orderlens.operators.skew import attach
 
 # ---- Fixed values -----------------------------------------------------------------
@@ -22,9 +23,52 @@ DUPLICATE_KEYS = (
 BULK_ORDER, ERROR_DUPLICATE, NORMAL = "bulk_order", "error_duplicate", "normal"
 TOLERANCE = 0.01
 NO_MONTH = "none"
+# The table of repeated hashes: bits per hash, its least and greatest size in bits (8 KB to 32 MB).
+BITS_PER_HASH = 32
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 28
 # -------------------------------------------------------------------------------------
 
 
+class Repeats(NamedTuple):
+    """Bits of the hashes of the key combinations that occur more than once.
+
+    ``table`` holds 512 bits a row (``_piece``, ``_words``), rows without a bit are left out; ``bits`` is the
+    number of places.
+    """
+
+    table: DataFrame
+    bits: int
+
+
+def _place(keys: Sequence[str], bits: int) -> Column:
+    return F.xxhash64(*keys).bitwiseAND(F.lit(bits - 1))
+
+
+def repeated_hashes(df: DataFrame, keys: Sequence[str] = DUPLICATE_KEYS, most_bits: int = MOST_BITS) -> Repeats:
+    """Which key combinations may occur more than once, from one narrow grouping of their hashes.
+
+    The table is small enough to be broadcast, whatever the data: with more hashes than it has room
+    for, more rows that occur once pass as possibly repeated, and none that is repeated is missed.
+    """
+    counted = df.groupBy(F.xxhash64(*keys).alias("_hash")).agg(F.count(F.lit(1)).alias("_n"))
+    repeated = settle(counted.where("_n > 1").select("_hash"))
+    wanted = min(max(repeated.count() * BITS_PER_HASH, LEAST_BITS), most_bits)
+    bits = 1 << (wanted - 1).bit_length()
+    place = F.col("_hash").bitwiseAND(F.lit(bits - 1))
+    words = [f"coalesce(bit_or(shiftleft(1L, cast(_at & 63 AS int))) FILTER (WHERE shiftright(_at, 6) & 7 = {i}), 0L)" for i in range(8)]
+    pieces = repeated.select(place.alias("_at")).groupBy(F.expr("shiftright(_at, 9)").alias("_piece"))
+    return Repeats(settle(pieces.agg(F.expr(f"array({', '.join(words)})").alias("_words"))), bits)
+
+
+def parted(df: DataFrame, repeats: Repeats, keys: Sequence[str] = DUPLICATE_KEYS) -> tuple[DataFrame, DataFrame]:
+    """Rows that certainly occur once, and the others; no row is shuffled."""
+    placed = df.withColumn("_at", _place(keys, repeats.bits)).join(
+        F.broadcast(repeats.table), F.expr("shiftright(_at, 9) = _piece"), "left"
+    )
+    bit = "coalesce(getbit(_words[cast(shiftright(_at, 6) & 7 AS int)], cast(_at & 63 AS int)) = 1, false)"
+    return tuple(placed.where(F.expr(bit) == flag).select(*df.columns) for flag in (F.lit(False), F.lit(True)))
+
+
 def duplicate_summary(
     df: DataFrame,
     keys: Sequence[str] = DUPLICATE_KEYS,
@@ -72,10 +116,12 @@ def duplicate_groups(df: DataFrame, keys: Sequence[str] = DUPLICATE_KEYS, **name
     A group is a bulk order when its quantities explain its amounts at the unit
     price of the first row (by ``row_id``); groups with a missing key are not
     judged and stay 'normal'. Grouping combines copies before the shuffle, so a
-    key with very many copies costs one row per task. ``names`` are those of
-    ``duplicate_summary``.
+    key with very many copies costs one row per task. ``df`` is read twice: first for the
+    hashes of its keys, then only rows whose hash is repeated are grouped. ``names`` are
+    those of ``duplicate_summary``.
     """
-    return judged(duplicate_summary(df, keys, **names), keys)
+    _, several = parted(df, repeated_hashes(df, keys), keys)
+    return judged(duplicate_summary(several, keys, **names), keys)
 
 
 # ---- A summary that is kept, and grows with every year's file -------------------------------
@@ -136,8 +182,19 @@ def attach_classes(
     ).withColumn("duplicate_type", F.coalesce("duplicate_type", F.lit(NORMAL)))
 
 
-def classify_duplicates(df: DataFrame, keys: Sequence[str] = DUPLICATE_KEYS, **names) -> DataFrame:
-    return attach_classes(df, duplicate_groups(df, keys, **names), keys)
+def classify_duplicates(
+    df: DataFrame, keys: Sequence[str] = DUPLICATE_KEYS, repeats: Repeats | None = None, **names
+) -> DataFrame:
+    """Every row with its class, as ``attach_classes`` adds it.
+
+    Only rows whose key may be repeated are kept aside, grouped and joined; the others stay where
+    they are. ``repeats`` is given where the keys can be read from a plainer table than ``df``.
+    """
+    single, several = parted(df, repeats or repeated_hashes(df, keys), keys)
+    kept = stage(several)
+    classed = attach_classes(kept, judged(duplicate_summary(kept, keys, **names), keys), keys)
+    alone = single.withColumns({"is_duplicate": F.lit(False), "duplicate_type": F.lit(NORMAL)})
+    return alone.select(*classed.columns).unionAll(classed)
 
 
 def bulk_order_totals(

@@ -20,7 +20,7 @@ from orderlens.functions.text import (
     flag_to_int,
     plain_amount,
 )
-from orderlens.operators.duplicates import attach_classes, duplicate_groups
+from orderlens.operators.duplicates import classify_duplicates, repeated_hashes
 from orderlens.operators.outliers import flag_price_outliers
 from orderlens.operators.settle import stage
 
@@ -166,15 +166,13 @@ def clean_sales(
 
     The typed rows are read several times (for the group statistics, then for the
     rows themselves), so they are written once as Parquet to ``staging`` or the
-    session's shared folder: the raw text is parsed a single time. They are
-    rebalanced first, so that the later passes run in parallel even where the raw
-    file is a single task.
+    session's shared folder: the raw text is parsed a single time, and not shuffled.
     """
     parsed = type_columns(raw, delivery, day_first, date_formats)
-    typed = stage(parsed.hint("rebalance"), staging)
-    # Groups are taken from the typed rows, not from the flagged ones, so that
+    typed = stage(parsed, staging)
+    # Repeated keys are looked for in the typed rows, not in the flagged ones, so that
     # neither statistic has to repeat the other's joins.
-    marked = attach_classes(flag_price_outliers(typed), duplicate_groups(typed))
+    marked = classify_duplicates(flag_price_outliers(typed), repeats=repeated_hashes(typed))
     return fill_missing(marked, final)
 
 
