@@ -246,7 +246,7 @@ WITH {COPIES}, g AS (SELECT duplicate_type, count(*) AS n, sum(quantity) AS q FR
 SELECT duplicate_type, count(*) AS "groups", {I('sum(n)')} AS "rows", {I('sum(q)')} AS quantity FROM g
 GROUP BY 1""")
 add("consolidated_bulk_orders", DUPLICATE_COLUMNS,
-    lambda sales: duplicates.consolidate_bulk_orders(with_copies(sales), row_id="row_id"), f"""
+    lambda sales: duplicates.consolidate_bulk_orders(kept_copies(sales), row_id="row_id"), f"""
 WITH {COPIES} SELECT order_date, {I('customer_id')} AS customer_id,
   {I('product_id')} AS product_id, CAST(original_price AS DOUBLE) AS original_price,
   CAST(discounted_price AS DOUBLE) AS discounted_price,
@@ -258,7 +258,7 @@ FROM t WHERE duplicate_type = 'bulk_order' GROUP BY t.order_date, t.customer_id,
 
 add("bulk_order_totals", DUPLICATE_COLUMNS,
     lambda sales: duplicates.bulk_order_totals(
-        with_copies(sales).withColumn("subtotal", F.col("original_price") * F.col("quantity")),
+        kept_copies(sales).withColumn("subtotal", F.col("original_price") * F.col("quantity")),
         row_id="row_id", totals=["subtotal"]), f"""
 WITH {COPIES} SELECT order_date, {I('customer_id')} AS customer_id,
   {I('product_id')} AS product_id, CAST(original_price AS DOUBLE) AS original_price,

@@ -212,10 +212,26 @@ def bulk_order_members(
     df: DataFrame, keys: Sequence[str] = DUPLICATE_KEYS, row_id: str = "transaction_id"
 ) -> DataFrame:
     """Long form: the keys of every bulk order with each of its row ids, one per row."""
-    orders = bulk_order_totals(df, keys, row_id).select(*keys, "copies")
-    marked = orders.withColumn("_bulk", F.lit(True))
-    rows = attach(df.select(*keys, row_id), marked, keys, "copies")
-    return rows.where("_bulk").drop("_bulk")
+    rows = _repeated_rows(df, keys, row_id)
+    return _members(rows, _orders(rows, keys, row_id), keys, row_id)
+
+
+def _repeated_rows(df: DataFrame, keys: Sequence[str], row_id: str, totals: Sequence[str] = ()) -> DataFrame:
+    """The rows whose key may be repeated, kept: all members of bulk orders are among them."""
+    needed = list(dict.fromkeys([*keys, row_id, "quantity", "final_amount", *totals]))
+    _, several = parted(df.select(*needed), repeated_hashes(df, keys), keys)
+    return stage(several)
+
+
+def _orders(rows: DataFrame, keys: Sequence[str], row_id: str, totals: Sequence[str] = ()) -> DataFrame:
+    groups = judged(duplicate_summary(rows, keys, row_id=row_id, totals=totals), keys)
+    return groups.where(F.col("duplicate_type") == BULK_ORDER).drop("duplicate_type")
+
+
+def _members(rows: DataFrame, orders: DataFrame, keys: Sequence[str], row_id: str) -> DataFrame:
+    marked = orders.select(*keys, "copies", F.lit(True).alias("_bulk"))
+    found = attach(rows.select(*keys, row_id), marked, keys, "copies")
+    return found.where("_bulk").drop("_bulk")
 
 
 def consolidate_bulk_orders(
@@ -229,9 +245,10 @@ def consolidate_bulk_orders(
     The text grows with the order; where orders may be huge, use
     ``bulk_order_totals`` and ``bulk_order_members`` instead.
     """
-    orders = bulk_order_totals(df, keys, row_id, totals).drop("copies")
+    rows = _repeated_rows(df, keys, row_id, totals)
+    orders = stage(_orders(rows, keys, row_id, totals))
     ids = F.array_sort(F.collect_list(F.col(row_id).cast("string")))
-    members = bulk_order_members(df, keys, row_id).groupBy(*keys).agg(
+    members = _members(rows, orders, keys, row_id).groupBy(*keys).agg(
         F.array_join(ids, ",").alias("transaction_ids")
     )
-    return orders.join(members, list(keys))
+    return orders.drop("copies").join(members, list(keys))

@@ -29,6 +29,7 @@ def rows(spark, n, seed=1):
 
 
 WORK = {
+    "consolidate_bulk_orders": lambda df, path: duplicates.consolidate_bulk_orders(df, KEYS, row_id="id"),
     "classify_duplicates": lambda df, path: duplicates.classify_duplicates(df, KEYS, row_id="id"),
     "duplicate_groups": lambda df, path: duplicates.duplicate_groups(df, KEYS, row_id="id"),
 }
