@@ -230,7 +230,7 @@ WITH {COPIES} SELECT duplicate_type, count(*) AS "rows",
   count(*) FILTER (is_duplicate) AS duplicates FROM t GROUP BY 1""")
 def grown_summary(sales: DataFrame) -> DataFrame:
     """Groups per class, from a kept summary of the early years to which the others are added."""
-    rows, path = with_copies(sales), f"{shared_folder(sales.sparkSession)}/summary-{uuid.uuid4().hex}"
+    rows, path = kept_copies(sales), f"{shared_folder(sales.sparkSession)}/summary-{uuid.uuid4().hex}"
     early = F.col("order_date") < F.lit("1996-07-10").cast("date")
     duplicates.write_summary(rows.where(early), path, row_id="row_id")
     duplicates.add_to_summary(rows.where(~early), path, row_id="row_id")

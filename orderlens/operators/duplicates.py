@@ -135,14 +135,48 @@ def _month(date: str) -> Column:
 def write_summary(
     df: DataFrame, path: str, keys: Sequence[str] = DUPLICATE_KEYS, date: str = "order_date", **names
 ) -> None:
-    """The summary of ``df`` by months of ``date``, one of the keys, replacing what is at ``path``."""
-    summary = duplicate_summary(df, keys, **names).withColumn("month", _month(date))
-    _save(summary, path, "static")
+    """The summary of ``df`` by months of ``date``, one of the keys, replacing what is at ``path``.
+
+    ``df`` is read three times, here and in ``add_to_summary``.
+    """
+    _save(_monthly_summary(df, keys, date, **names), path, "static")
+
+
+def _monthly_summary(
+    df: DataFrame,
+    keys: Sequence[str],
+    date: str,
+    quantity: str = "quantity",
+    amount: str = "final_amount",
+    row_id: str = "transaction_id",
+    totals: Sequence[str] = (),
+) -> DataFrame:
+    """``duplicate_summary`` with ``month``; rows of a month come together in as many tasks as they fill.
+
+    Only rows whose key may be repeated are grouped. A row that occurs once is its own summary, which is
+    spelled out behind the shuffle.
+    """
+    needed = list(dict.fromkeys([*keys, row_id, quantity, amount, *totals]))
+    single, several = parted(df.select(*needed), repeated_hashes(df, keys), keys)
+    grouped = duplicate_summary(several, keys, quantity, amount, row_id, totals)
+    read_from = {"total_quantity": quantity, "total_amount": amount, **{f"total_{name}": name for name in totals}}
+    sums = [
+        F.col(read_from[f.name]).cast(f.dataType).alias(f.name) for f in grouped.schema.fields if f.name in read_from
+    ]
+    first = F.struct(F.col(row_id).alias("id"), F.col(quantity).alias("q"), F.col(amount).alias("a"))
+    alone = _by_month(single.withColumn("month", _month(date))).select(
+        *keys, F.lit(1).cast("bigint").alias("copies"), *sums, first.alias("_first"), "month"
+    )
+    together = _by_month(grouped.withColumn("month", _month(date)))
+    return alone.select(*together.columns).unionAll(together)
+
+
+def _by_month(df: DataFrame) -> DataFrame:
+    return df.hint("rebalance", F.col("month"))
 
 
 def _save(summary: DataFrame, path: str, mode: str) -> None:
-    # Rows of a month come together in as many files as they fill.
-    writer = summary.hint("rebalance", F.col("month")).write.mode("overwrite").partitionBy("month")
+    writer = summary.write.mode("overwrite").partitionBy("month")
     writer.option("partitionOverwriteMode", mode).parquet(path)
 
 
@@ -152,18 +186,20 @@ def add_to_summary(
     """Merge new rows into the summary at ``path``; returns the groups of their keys, judged anew.
 
     Only the months in which the new rows lie are read and rewritten, so a new year's file
-    costs what it holds itself. A failed run leaves every month as it was or as it should be;
+    costs what it holds itself; months the summary did not hold are added as they are. A failed run leaves every month as it was or as it should be;
     adding the same rows twice counts them twice.
     """
     spark = df.sparkSession
-    new = stage(duplicate_summary(df, keys, **names).withColumn("month", _month(date)))
+    new = stage(_monthly_summary(df, keys, date, **names))
     # At most one value per month of the calendar.
     months = [r.month for r in new.select("month").distinct().collect()]
     old = spark.read.parquet(path).where(F.col("month").isin(months)).select(*new.columns)
-    merged = stage(merged_summary(old.unionAll(new), [*keys, "month"]))
-    _save(merged, path, "dynamic")
+    held = F.col("month").isin([r.month for r in old.select("month").distinct().collect()])
+    fresh, known = new.where(~held), new.where(held)
+    merged = stage(_by_month(merged_summary(old.unionAll(known), [*keys, "month"])))
+    _save(fresh.unionAll(merged), path, "dynamic")
     same = [F.col(f"m.{key}").eqNullSafe(F.col(f"n.{key}")) for key in keys]
-    touched = merged.alias("m").join(new.select(*keys).alias("n"), same, "left_semi")
+    touched = fresh.unionAll(merged.alias("m").join(known.select(*keys).alias("n"), same, "left_semi"))
     return judged(touched.drop("month"), keys)
 
 

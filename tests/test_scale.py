@@ -28,7 +28,12 @@ def rows(spark, n, seed=1):
     return spark.createDataFrame(made, SCHEMA).withColumn("order_date", F.to_date("d")).drop("d")
 
 
+def grouped(df, path):
+    duplicates.write_summary(df, path, KEYS, row_id="id")
+
+
 WORK = {
+    "write_summary": grouped,
     "consolidate_bulk_orders": lambda df, path: duplicates.consolidate_bulk_orders(df, KEYS, row_id="id"),
     "classify_duplicates": lambda df, path: duplicates.classify_duplicates(df, KEYS, row_id="id"),
     "duplicate_groups": lambda df, path: duplicates.duplicate_groups(df, KEYS, row_id="id"),
@@ -65,6 +70,14 @@ def test_parted_rows_miss_no_copy_in_a_crowded_table(spark, bits):
         assert single.count() > 0
 
 
+def test_the_summary_holds_single_rows_as_grouping_gives_them(spark, tmp_path):
+    df, path = rows(spark, 500), str(tmp_path / "summary")
+    grouped(df, path)
+    kept, wanted = duplicates.read_summary(spark, path), duplicates.duplicate_summary(df, KEYS, row_id="id")
+    assert kept.select(*wanted.columns).dtypes == wanted.dtypes
+    assert sorted(map(str, kept.select(*wanted.columns).collect())) == sorted(map(str, wanted.collect()))
+
+
 def test_lines_meet_orders_and_customers_at_once(spark):
     text = plan(star.sales(spark, SF, ["quantity", "customer_tier"]), "optimizedPlan")
     assert text.index("= o_orderkey") < text.index("= c_custkey")
