@@ -269,7 +269,7 @@ WITH {COPIES} SELECT order_date, {I('customer_id')} AS customer_id,
 FROM t WHERE duplicate_type = 'bulk_order' GROUP BY t.order_date, t.customer_id, t.product_id,
   t.original_price, t.discounted_price, t.final_amount""")
 add("bulk_order_members", DUPLICATE_COLUMNS,
-    lambda sales: duplicates.bulk_order_members(with_copies(sales), row_id="row_id"), f"""
+    lambda sales: duplicates.bulk_order_members(kept_copies(sales), row_id="row_id"), f"""
 WITH {COPIES} SELECT order_date, {I('customer_id')} AS customer_id,
   {I('product_id')} AS product_id, CAST(original_price AS DOUBLE) AS original_price,
   CAST(discounted_price AS DOUBLE) AS discounted_price,

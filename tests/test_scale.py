@@ -35,6 +35,7 @@ def grouped(df, path):
 WORK = {
     "write_summary": grouped,
     "consolidate_bulk_orders": lambda df, path: duplicates.consolidate_bulk_orders(df, KEYS, row_id="id"),
+    "bulk_order_members": lambda df, path: duplicates.bulk_order_members(df, KEYS, row_id="id"),
     "classify_duplicates": lambda df, path: duplicates.classify_duplicates(df, KEYS, row_id="id"),
     "duplicate_groups": lambda df, path: duplicates.duplicate_groups(df, KEYS, row_id="id"),
 }
