@@ -218,7 +218,7 @@ COPIES = """s AS (SELECT *, transaction_id || '-' || l_linenumber || '-' || l_su
           WHEN q1 <> 0 AND abs(q * (a1 / q1) - a) < 0.01 THEN 'bulk_order'
           ELSE 'error_duplicate' END AS duplicate_type FROM k)"""
 add("duplicate_classes", DUPLICATE_COLUMNS,
-    lambda sales: duplicates.classify_duplicates(with_copies(sales), row_id="row_id").select(
+    lambda sales: duplicates.classify_duplicates(kept_copies(sales), row_id="row_id").select(
         "row_id", "quantity", "is_duplicate", "duplicate_type"), f"""
 WITH {COPIES} SELECT row_id, {I('quantity')} AS quantity, is_duplicate, duplicate_type
 FROM t""")
