@@ -223,7 +223,7 @@ add("duplicate_classes", DUPLICATE_COLUMNS,
 WITH {COPIES} SELECT row_id, {I('quantity')} AS quantity, is_duplicate, duplicate_type
 FROM t""")
 add("duplicate_class_counts", DUPLICATE_COLUMNS,
-    lambda sales: duplicates.classify_duplicates(with_copies(sales), row_id="row_id").groupBy(
+    lambda sales: duplicates.classify_duplicates(kept_copies(sales), row_id="row_id").groupBy(
         "duplicate_type").agg(F.count(F.lit(1)).alias("rows"),
         F.count_if("is_duplicate").alias("duplicates")), f"""
 WITH {COPIES} SELECT duplicate_type, count(*) AS "rows",
