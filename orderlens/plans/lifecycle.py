@@ -87,11 +87,12 @@ def early_quantity(sales: DataFrame) -> DataFrame:
         .agg(total("quantity").alias("quantity"))
     )
     early = F.sum(F.when(F.col("_age") <= EARLY_LAST_MONTH, F.col("quantity")))
+    # Months become one row per product and subcategory before the product's rows meet again.
     per_product = (
         _since_launch(monthly)
-        .withColumn("_early", early.over(Window.partitionBy("product_id")))
         .groupBy("product_id", "subcategory")
-        .agg(F.max("_early").alias("_early"))
+        .agg(early.alias("_early"))
+        .withColumn("_early", F.sum("_early").over(Window.partitionBy("product_id")))
     )
     return (
         with_keys(per_product, "subcategory")

@@ -121,9 +121,13 @@ def sales(
             orders = orders.join(table("customer"), F.expr("o_custkey = c_custkey"))
         lines = lines.join(orders, F.expr("l_orderkey = o_orderkey"))
     if "part" in tables:
-        lines = lines.join(table("part"), F.expr("l_partkey = p_partkey"))
+        # What a part's own columns say is worked out per part, not per line.
+        own = [f"{DEFINITIONS[name][1]} AS {name}" for name in wanted if DEFINITIONS[name][0] == _PART]
+        lines = lines.join(table("part").selectExpr("p_partkey", *own), F.expr("l_partkey = p_partkey"))
     if "nation" in tables:
         lines = lines.join(F.broadcast(table("nation")), F.expr("c_nationkey = n_nationkey"))
     if "region" in tables:
         lines = lines.join(F.broadcast(table("region")), F.expr("n_regionkey = r_regionkey"))
-    return lines.selectExpr(*[f"{DEFINITIONS[name][1]} AS {name}" for name in wanted])
+    return lines.selectExpr(
+        *[name if DEFINITIONS[name][0] == _PART else f"{DEFINITIONS[name][1]} AS {name}" for name in wanted]
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from checks import cleaning_queries
 from orderlens.operators import duplicates
-from orderlens.plans import cleaning
+from orderlens.plans import cleaning, lifecycle
 from orderlens.sources import star
 
 SF = "/root/testdata/sf0.001"
@@ -95,3 +95,15 @@ def test_typed_rows_are_kept_without_a_shuffle(spark, monkeypatch):
     monkeypatch.setattr(cleaning, "stage", lambda df, path: kept.append(plan(df, "optimizedPlan")) or stage(df, path))
     cleaning.clean_sales(cleaning_queries.dirty_text(sales))
     assert len(kept) == 1 and "Rebalance" not in kept[0]
+
+
+def test_early_months_are_added_up_before_the_products_rows_meet(spark):
+    made = [
+        (1, "s", "2020-01-31", 2), (1, "t", "2020-03-01", 3), (1, "u", "2021-01-01", 9), (1, None, "2020-02-01", 4),
+        (2, "s", "2020-05-01", None), (3, "s", "2020-05-01", 7), (3, "s", None, 8), (None, "s", "2020-05-01", 8),
+    ]
+    sales = spark.createDataFrame(made, "product_id int, subcategory string, d string, quantity int").withColumn("order_date", F.to_date("d"))
+    found, again = lifecycle.early_quantity(sales), lifecycle.early_quantity(sales)
+    assert {r.subcategory: r.average_early_quantity for r in found.collect()} == {"s": pytest.approx(16 / 3), "t": 9.0, "u": 9.0}
+    between = plan(again).split("Window [")
+    assert len(between) == 3 and "HashAggregate" in between[1]
