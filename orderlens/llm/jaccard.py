@@ -10,7 +10,9 @@ or more must share one of the first ``n - ceil(0.8 n) + 1``. So:
 3. Nodes with the same prefix and the same size are one group. Groups meet by
    prefix shingle. Where few groups share one, pairs of groups are counted: a pair
    is dropped if sizes rule a link out or it shares fewer prefix shingles than a
-   link needs. Where many share one, they are candidates without being paired.
+   link needs. Where many share one, they are candidates without being paired, but
+   only groups whose sizes and places of the shingle allow it to be the first common
+   one, so that passages in otherwise different texts do not make one large family.
 4. Candidates form families. Groups are expanded to their nodes, families are cut
    into blocks and blocks are compared as matrices of whole sets. For classes and
    numbers of links every node of a block pair gives one row, with the sum of its
@@ -55,6 +57,8 @@ FILTER_BITS = 25
 # many nodes.
 FAMILY = 16
 BLOCK = 512
+# Classes of size between a set and one a quarter larger.
+CLASSES = 4
 # Bytes of packed sets in a block, so that long sets make smaller blocks.
 BLOCK_BYTES = 4_000_000
 # Tables of at most so many rows of two or three numbers are broadcast.
@@ -394,28 +398,82 @@ def _least_shared(n: str, m: str) -> F.Column:
     return overlap + 1 - longest
 
 
+def _may_begin(n: str, m: str, place: str) -> F.Column:
+    """Can a link between sets of these sizes have its first common shingle at this place of the first?
+
+    All shingles before it are missing in the other set, and of n shingles a link leaves
+    at most n - 4 (n + m) / 9 missing.
+    """
+    return 9 * F.col(place) <= 5 * F.col(n) - 4 * F.col(m)
+
+
+def _stars(large: DataFrame) -> DataFrame:
+    """a, b: groups connected where their sets may have a widely shared shingle as first common one.
+
+    Groups that share a shingle meet by classes of size, the smaller set's class and how far
+    the larger one's is above it. A group takes part in a meeting only if its place of the
+    shingle allows a link with some size of the other class.
+    """
+    start = lambda number: F.floor(F.pow(F.lit(1.25), number / CLASSES))
+    kind = F.floor(F.log(F.col("n")) / F.log(F.lit(1.25)) * CLASSES)
+    # Sizes of a link differ by a quarter at most; one class more for rounding.
+    apart = F.explode(F.sequence(F.lit(0), F.lit(CLASSES + 1)))
+    rows = large.select("token", "group", "n", "place", kind.alias("kind"), apart.alias("apart"))
+    smaller = rows.withColumn("m", F.greatest("n", start(F.col("kind") + F.col("apart"))))
+    least = F.greatest(F.ceil(4 * F.col("n") / 5), start(F.col("kind") - F.col("apart")))
+    larger = rows.withColumn("m", least).withColumn("kind", F.col("kind") - F.col("apart"))
+    names = [F.xxhash64("token", "kind", "apart").alias("meeting"), "group"]
+    met = _may_begin("n", "m", "place")
+    members = smaller.where(met).select(*names, F.lit(False).alias("larger")).unionAll(
+        larger.where(met).select(*names, F.lit(True).alias("larger"))
+    )
+    heads = (
+        members.groupBy("meeting")
+        .agg(
+            F.min("group").alias("head"), F.max("group").alias("last"), F.count(F.lit(1)).alias("rows"),
+            (F.bool_or("larger") & F.bool_or(~F.col("larger"))).alias("both"),
+        )
+        .where("both AND head <> last")
+        .select("meeting", "head", "rows")
+    )
+    starred = attach(members, heads, ["meeting"], "rows").where("head <> group")
+    return starred.select(F.col("head").alias("a"), F.col("group").alias("b"))
+
+
 def _candidates(met: DataFrame) -> DataFrame:
-    """a, b: groups to be compared, not all pairs of them, but all connected."""
+    """a, b: groups to be compared, not all pairs of them, but all connected.
+
+    Two linked sets have a first common shingle, which is in both prefixes: one that many
+    groups share (then ``_stars`` connects them), or one of few groups, which are paired.
+    """
     large = met.where(F.col("size") > FAMILY)
-    heads = large.groupBy("token").agg(F.min("group").alias("head"), F.count(F.lit(1)).alias("rows"))
-    starred = attach(large, heads, ["token"], "rows").select(
-        F.col("head").alias("a"), F.col("group").alias("b")
-    )
     several = met.where("low <> high").select(F.col("group").alias("a"), F.col("group").alias("b"))
-    small = met.where(F.col("size").between(2, FAMILY)).select("token", "group", "n")
+    small = met.where(F.col("size").between(2, FAMILY)).select("token", "group", "n", "place")
+    wide = large.groupBy("group").agg(F.count(F.lit(1)).alias("wide"))
     x, y = small.alias("x"), small.alias("y")
-    paired = (
+    shared = (
         x.join(y, F.col("x.token") == F.col("y.token"))
         .where("x.group < y.group AND 5 * x.n >= 4 * y.n AND 5 * y.n >= 4 * x.n")
         .groupBy(
             F.col("x.group").alias("a"), F.col("y.group").alias("b"),
             F.col("x.n").alias("n"), F.col("y.n").alias("m"),
         )
-        .agg(F.count(F.lit(1)).alias("shared"))
-        .where(F.col("shared") >= _least_shared("n", "m"))
-        .select("a", "b")
+        .agg(
+            F.count(F.lit(1)).alias("shared"),
+            F.min("x.place").alias("place"), F.min("y.place").alias("other"),
+        )
+        .where(_may_begin("n", "m", "place") & _may_begin("m", "n", "other"))
     )
-    return stage(starred.unionAll(several).distinct().unionAll(paired))
+    # Widely shared shingles are not paired, so what two groups have of them is bounded.
+    wide_of = lambda name: wide.toDF(name, f"{name}_wide")
+    most = F.least(*[F.coalesce(f"{name}_wide", F.lit(0)) for name in "ab"])
+    paired = (
+        shared.join(wide_of("a"), "a", "left")
+        .join(wide_of("b"), "b", "left")
+        .where(F.col("shared") + most >= _least_shared("n", "m"))
+        .select("a", "b")
+    )
+    return stage(_stars(large).unionAll(several).distinct().unionAll(paired))
 
 
 def _families(documents: DataFrame) -> DataFrame:
@@ -423,12 +481,13 @@ def _families(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(Among(_shared_tokens(documents)))
     spread = _prefixes(documents, shared).select(
-        F.explode("tokens").alias("token"), "group", "n", "node"
+        F.posexplode("tokens").alias("place", "token"), "group", "n", "node"
     )
     # One shuffle serves the grouping and the window.
     met = spread.repartition("token").groupBy("token", "group").agg(
-        F.max("n").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")
-    )
+        F.max("n").alias("n"), F.min("place").alias("place"),
+        F.min("node").alias("low"), F.max("node").alias("high"),
+    )
     bucket = Window.partitionBy("token")
     met = met.withColumn("size", F.count(F.lit(1)).over(bucket)).where("size > 1 OR low <> high")
     edges = _candidates(stage(met))

@@ -226,3 +226,47 @@ def test_long_sets_make_small_blocks(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard.components(docs).collect()}
     assert got == {i: (0, n) for i, n in enumerate(expected)}
+
+
+def test_texts_with_one_passage_are_no_family(spark):
+    """A passage that many otherwise different texts hold is no reason to compare all of them."""
+    passage = [f"shared{i}" for i in range(100)]
+    texts = []
+    for d in range(60):
+        own = [f"own{d}x{i}" for i in range(300)]
+        texts.append(" ".join(own[:150] + passage + own[150:]))
+    texts += [f"{texts[d]} more{d}" for d in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    families = jaccard._families(docs).groupBy("family").count().collect()
+    # At most the three pairs of copies, which share all of the passage.
+    assert max(r["count"] for r in families) <= 6
+    got = {r.doc_id: r.component_id for r in jaccard.components(docs).collect()}
+    assert got == {d: d - 60 if d >= 60 else d for d in range(63)}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_links_of_sets_of_all_allowed_sizes(spark, monkeypatch, seed):
+    """Cut copies, up to a fifth shorter, among texts that hold parts of one another."""
+    monkeypatch.setattr(jaccard, "FAMILY", 1 if seed == 1 else 4)
+    rng = random.Random(seed)
+    texts = []
+    for base in range(4):
+        whole = [f"w{base}x{i}" for i in range(rng.randint(30, 300))]
+        texts.append(whole)
+        for _ in range(14):
+            cut = rng.randint(0, len(whole) // 4)
+            at = rng.randint(0, cut)
+            texts.append(whole[at : len(whole) - cut + at])
+        texts += [[f"u{base}x{k}x{i}" for i in range(60)] + whole[:40] for k in range(6)]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    pairs = {
+        (a, b)
+        for a, b in itertools.combinations(range(len(sets)), 2)
+        if sets[a] != sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    }
+    least = {a: min(b for b in range(len(sets)) if sets[b] == sets[a]) for a in range(len(sets))}
+    expected = {tuple(sorted((least[a], least[b]))) for a, b in pairs}
+    docs = spark.createDataFrame(
+        [(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string"
+    ).repartition(3)
+    assert {tuple(r) for r in jaccard.pairs(docs).collect()} == expected and len(expected) > 50
