@@ -51,6 +51,8 @@ LEAST = 16
 USES = 4
 # Bytes of text that are encoded together.
 SLICE = 500_000
+# New pieces given to the tokenizer's model in one call.
+TOGETHER = 64
 COUNT_BITS = 18
 # Pieces (and ids behind them) of one generation of the encoder's memory; there are two.
 CACHE = 400_000
@@ -156,6 +158,20 @@ def _cuts_as_assumed(tokenizer) -> bool:
     )
 
 
+def _parting(tokenizer) -> tuple[str, int] | None:
+    """A character (and its id) that no piece holds and that merges with none, if there is one."""
+    model = json.loads(tokenizer.to_str())["model"]
+    if model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+        return None
+    merges = (m if isinstance(m, str) else "".join(m) for m in model["merges"])
+    merged = set(chain.from_iterable(merges))
+    for code in BYTE_CHARACTERS[CLASSES == WHOLE].tolist():
+        number = model["vocab"].get(chr(code))
+        if number is not None and chr(code) not in merged:
+            return chr(code), number
+    return None
+
+
 class Encoder:
     """The tokenizer, with the ids of pieces remembered.
 
@@ -178,6 +194,7 @@ class Encoder:
         if self.tokenizer.get_vocab_size(with_added_tokens=True) > VOCABULARY:
             raise ValueError(f"a vocabulary of at most {VOCABULARY} ids is needed")
         self.cuts, self.model = _cuts_as_assumed(self.tokenizer), self.tokenizer.model
+        self.between = _parting(self.tokenizer) if self.cuts else None
         self.hasher = WordHasher(b"")
         self.hasher.values = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         line = self._hashes(np.array([10], dtype=np.uint8), np.array([0]), np.array([1]))
@@ -199,10 +216,25 @@ class Encoder:
         return self.hasher.spans(raw, start, stop)
 
     def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
-        """Encode new pieces (as byte-level characters) by the tokenizer's model, without cutting again."""
-        ids = [[token.id for token in self.model.tokenize(piece)] for piece in pieces]
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        self.young.add(hashes, np.fromiter(chain.from_iterable(ids), dtype=np.uint32), sizes)
+        """Encode new pieces (as byte-level characters) by the tokenizer's model, without cutting again.
+
+        Many are encoded in one call, parted by a character that merges with none.
+        """
+        if self.between is None:
+            own = [[token.id for token in self.model.tokenize(piece)] for piece in pieces]
+            sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
+            ids = np.fromiter(chain.from_iterable(own), dtype=np.uint32)
+        else:
+            sign, number = self.between
+            joined = (
+                sign.join([*pieces[at : at + TOGETHER], ""]) for at in range(0, len(pieces), TOGETHER)
+            )
+            found = (token.id for text in joined for token in self.model.tokenize(text))
+            ids = np.fromiter(found, dtype=np.uint32)
+            ends = np.flatnonzero(ids == number)
+            sizes = np.diff(np.r_[-1, ends]) - 1
+            ids = ids[ids != number]
+        self.young.add(hashes, ids, sizes)
 
     def _entries(self, hashes: np.ndarray, raw: np.ndarray, start, stop) -> np.ndarray:
         """The young entry of every piece, new ones being learnt."""
@@ -285,7 +317,8 @@ def _slots(first: np.ndarray, second: np.ndarray, seed: int, bits: int) -> np.nd
     """A hash of some bits per pair, another one for each seed."""
     mixed = first * np.uint32(0x9E3779B1) + second * np.uint32(0x85EBCA77)
     mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x2C1B3C6D) + np.uint32(seed * 0x632BE5AB & 0xFFFFFFFF)
-    return (mixed ^ (mixed >> np.uint32(13))) * np.uint32(0x297A2D39) >> np.uint32(32 - bits)
+    mixed = (mixed ^ (mixed >> np.uint32(13))) * np.uint32(0x297A2D39) >> np.uint32(32 - bits)
+    return mixed.astype(np.intp)
 
 
 def _winners(place: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -321,16 +354,17 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         # A slot stands for the pair that comes first in it; others wait for another seed.
         shown = np.zeros(1 << bits, dtype=np.int64)
         shown[slots[::-1]] = np.arange(len(at))[::-1]
-        own = (first == first[shown[slots]]) & (second == second[shown[slots]])
+        pair = first.astype(np.uint64) << np.uint64(32) | second
+        own = pair == pair[shown][slots]
         counts = np.bincount(slots[own], minlength=1 << bits)
-        hidden = np.bincount(slots[~own], minlength=1 << bits)
+        hidden = np.bincount(slots, minlength=1 << bits) - counts
         frequent = counts >= LEAST
         still = np.where(own, frequent[slots], (hidden >= LEAST)[slots])
         hopeful[at[~still]] = False
         good = np.flatnonzero(own & still)
         if not len(good):
             continue
-        own = slots[good].astype(np.int64)
+        own = slots[good]
         chosen = good[_winners(at[good], (np.frexp(counts)[1].astype(np.int64) << 32)[own] | own)]
         uses = np.bincount(slots[chosen], minlength=1 << bits)
         # The most frequent pair wins wherever it is, so some rule is always made.

@@ -270,3 +270,34 @@ def test_links_of_sets_of_all_allowed_sizes(spark, monkeypatch, seed):
         [(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string"
     ).repartition(3)
     assert {tuple(r) for r in jaccard.pairs(docs).collect()} == expected and len(expected) > 50
+
+
+def test_new_pieces_are_encoded_together():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rng = random.Random(3)
+    texts = [
+        " ".join("".join(rng.choices("abcdéß019.,-", k=rng.randint(1, 12))) for _ in range(rng.randint(1, 60)))
+        for _ in range(40)
+    ]
+    calls = []
+
+    class Counted:
+        def __init__(self, model):
+            self.model = model
+
+        def tokenize(self, text):
+            calls.append(text)
+            return self.model.tokenize(text)
+
+    for parted in (True, False):
+        encode = tokenids.Encoder(path)
+        assert encode.between is not None
+        encode.model = Counted(encode.model)
+        if not parted:
+            encode.between = None
+        calls.clear()
+        ids, lengths = encode(pa.array(texts))
+        own = [[*x, tokenids.END] for x in encode.whole(texts)]
+        assert ids.tolist() == [*itertools.chain.from_iterable(own)]
+        assert lengths.tolist() == [len(x) for x in own]
+        assert len(calls) <= 40 if parted else len(calls) > 500
