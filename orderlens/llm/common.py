@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -134,7 +135,8 @@ class WordHasher:
         self.values = values
         self.inside = np.ones(256, dtype=bool)
         self.inside[list(separators)] = False
-        self._grow(1 << 20)
+        # Room for a slice of 500,000 bytes; longer texts let it grow.
+        self._grow(1 << 19)
 
     def _grow(self, n: int) -> None:
         inverse = pow(self.BASE, -1, 1 << 64)
@@ -173,6 +175,12 @@ class WordHasher:
         return words, np.searchsorted(start, bounds)
 
 
+@lru_cache(maxsize=1)
+def word_hasher(separators: bytes) -> WordHasher:
+    """One per worker process; its tables are shared by all its tasks."""
+    return WordHasher(separators)
+
+
 def shingles(words: np.ndarray, width: int) -> np.ndarray:
     """Hash of each run of ``width`` words (``len(words) - width + 1`` of them)."""
     n = len(words) - width + 1

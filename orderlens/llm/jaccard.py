@@ -37,14 +37,21 @@ one shingle of the threshold.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import WordHasher, _mix, give_back, pick, row_slices, shingles, stage
+from orderlens.llm.common import (
+    WordHasher,
+    _mix,
+    give_back,
+    pick,
+    row_slices,
+    shingles,
+    stage,
+    word_hasher,
+)
 from orderlens.llm.components import roots
 from orderlens.operators.skew import attach
 
@@ -66,12 +73,6 @@ BROADCAST_ROWS = 500_000
 SLICE = 500_000
 
 
-@lru_cache(maxsize=1)
-def word_hasher() -> WordHasher:
-    """One per worker process; its tables are shared by all its tasks."""
-    return WordHasher(SEPARATORS)
-
-
 def prefix_length(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1
 
@@ -125,7 +126,7 @@ def nodes(documents: DataFrame) -> DataFrame:
     """Per row: doc_id, print (hash of the text), n, node."""
 
     def run(batches):
-        hasher = word_hasher()
+        hasher = word_hasher(SEPARATORS)
         for batch in batches:
             for piece, sets in _each_set(batch, 2, hasher):
                 yield pa.RecordBatch.from_arrays(
@@ -160,7 +161,7 @@ def _prefixes(documents: DataFrame, shared=None) -> DataFrame:
     """node, group, n, tokens: the prefix of every set, once per task."""
 
     def run(batches):
-        hasher = word_hasher()
+        hasher = word_hasher(SEPARATORS)
         seen: set[int] = set()
         late = shared.value if shared is not None else None
         for batch in batches:
@@ -260,7 +261,7 @@ def _sets(documents: DataFrame, families: DataFrame, shared) -> DataFrame:
     sent = spark.sparkContext.broadcast(words.view(np.uint8))
 
     def run(batches):
-        hasher = word_hasher()
+        hasher = word_hasher(SEPARATORS)
         late = shared.value
         seen: set[int] = set()
         for batch in batches:

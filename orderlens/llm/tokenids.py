@@ -41,7 +41,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import WordHasher, _mix, flat_bytes, give_back, pick, row_slices, stage
+from orderlens.llm.common import (
+    WordHasher,
+    _mix,
+    flat_bytes,
+    give_back,
+    pick,
+    row_slices,
+    stage,
+    word_hasher,
+)
 
 END = 0
 VOCABULARY = 1 << 17
@@ -446,6 +455,8 @@ def write(documents: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
+        # A worker that has served another operator needs its tables no more.
+        word_hasher.cache_clear()
         give_back()
         part = TaskContext.get().partitionId()
         encode = encoder(tokenizer)
@@ -477,6 +488,7 @@ def write(documents: DataFrame, tokenizer: str) -> DataFrame:
                     yield flush()
                     block, first = block + 1, first + size
                     held, counts, names, size = [], [], [], 0
+                    give_back()
         if held:
             yield flush()
 
